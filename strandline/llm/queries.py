@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import load
 from . import conversations as conv
+from . import ranking
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +26,27 @@ def p1_clock_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.clock_offsets(conv.read_messages(load(spark, sf_dir, "messages")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_turns": p1_turns, "p1_clock_offsets": p1_clock_offsets}
+#: The entries of context_symbols.scores.
+SCORES = ("graph_score", "semantic_score", "lexical_score", "intent_weight")
+
+
+def _closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = {n: F.col(n) for n in ("utility_score", "relevance_score")} | {n: F.col("scores")[n] for n in SCORES}
+    return ranking.closeness(load(spark, sf_dir, "context_symbols"), "feedback_token", "uid", scores)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols to show for each snapshot, by one ranking of six scores."""
+    picked = ranking.top(_closeness(spark, sf_dir), load(spark, sf_dir, "retrieval_snapshots"), "feedback_token", "uid", "selected_count")
+    return picked.select("feedback_token", "uid")
+
+
+def p2_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rank key of every symbol of every snapshot."""
+    return _closeness(spark, sf_dir).withColumn("closeness", F.round("closeness", 6))
+
+
+QUERIES = {"p2_found": p2_found, "p2_closeness": p2_closeness, "p1_found": p1_found, "p1_turns": p1_turns, "p1_clock_offsets": p1_clock_offsets}
 
 #: Messages as read, shared by the statements of problem 1.
 _READ = r"""
@@ -51,7 +72,31 @@ found AS (SELECT conversation_id, CASE WHEN NOT coalesce(m.t, false) THEN 'empty
   WHEN conversation_id NOT IN (SELECT id FROM conversations WHERE id IS NOT NULL) OR m.x OR s.b THEN 'broken' WHEN s.u THEN 'no_reply' END AS reason
   FROM ids LEFT JOIN m USING (conversation_id) LEFT JOIN s USING (conversation_id))
 """
+_NAMES = ("utility_score", "relevance_score", *SCORES)
+
+
+def _each(template: str, sep: str = ", ") -> str:
+    return sep.join(template.replace("$", n) for n in _NAMES)
+
+
+_CLOSENESS = f"""
+s AS (SELECT feedback_token AS g, uid AS k, {_each("max(CASE WHEN isfinite($) THEN $ END) AS $")} FROM
+  (SELECT feedback_token, uid, utility_score, relevance_score, {", ".join(f"scores['{n}'] AS {n}" for n in SCORES)} FROM context_symbols)
+  WHERE feedback_token IS NOT NULL AND uid IS NOT NULL GROUP BY 1, 2),
+m AS (SELECT g, {_each("quantile_disc($, 0.5) AS $_m")} FROM s GROUP BY 1),
+d AS (SELECT g, {_each("quantile_disc(abs($ - $_m), 0.5) AS $_d, avg(abs($ - $_m)) AS $_a")} FROM s JOIN m USING (g) GROUP BY 1),
+c AS (SELECT g, k, {_each("CASE WHEN $ IS NOT NULL THEN least(greatest($, $_m - 3 * CASE WHEN $_d > 0 THEN 1.4826 * $_d ELSE 1.2533 * $_a END), $_m + 3 * CASE WHEN $_d > 0 THEN 1.4826 * $_d ELSE 1.2533 * $_a END) END AS $")}
+  FROM s JOIN m USING (g) JOIN d USING (g)),
+e AS (SELECT g, {_each("max($) AS $_h, min($) AS $_l, var_pop($) * count($) AS $_n")} FROM c GROUP BY 1),
+b AS (SELECT g, k, {_each("CASE WHEN $_n > 0 THEN coalesce(($ - $_h) ** 2 / $_n, 0) ELSE 0 END", " + ")} AS b, {_each("CASE WHEN $_n > 0 THEN coalesce(($ - $_l) ** 2 / $_n, 0) ELSE 0 END", " + ")} AS w,
+  {_each("($ IS NOT NULL)::INT", " + ")} AS t FROM c JOIN e USING (g)),
+closeness AS (SELECT g AS feedback_token, k AS uid, CASE WHEN t > 0 AND b + w > 0 THEN sqrt(w / t) / (sqrt(b / t) + sqrt(w / t)) ELSE 0.5 END AS closeness FROM b)
+"""
 ORACLES = {
+    "p2_closeness": f"WITH {_CLOSENESS} SELECT feedback_token, uid, round(closeness, 6) AS closeness FROM closeness",
+    "p2_found": f"""WITH {_CLOSENESS}, l AS (SELECT feedback_token, max(selected_count) AS n FROM retrieval_snapshots GROUP BY 1),
+r AS (SELECT feedback_token, uid, row_number() OVER (PARTITION BY feedback_token ORDER BY closeness DESC, uid) AS rn FROM closeness)
+SELECT feedback_token, uid FROM r JOIN l USING (feedback_token) WHERE rn <= n""",
     "p1_found": f"WITH {_READ}, {_FOUND} SELECT conversation_id, reason FROM found WHERE reason IS NOT NULL",
     "p1_turns": f"""WITH {_READ}, {_FOUND}
 SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY "at", CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, request_id NULLS FIRST, content_hash NULLS FIRST) AS turn,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import load
 from . import conversations as conv
-from . import ranking
+from . import ranking, tokens, vectors
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,31 @@ def p2_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _closeness(spark, sf_dir).withColumn("closeness", F.round("closeness", 6))
 
 
-QUERIES = {"p2_found": p2_found, "p2_closeness": p2_closeness, "p1_found": p1_found, "p1_turns": p1_turns, "p1_clock_offsets": p1_clock_offsets}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar keys of each probe, among the rows of its model and version."""
+    group = F.to_json(F.array("model_name", "model_version"))
+    cache = load(spark, sf_dir, "embedding_cache").where(vectors.well_formed(F.col("vector"), F.col("dimensions")) & F.col("content_hash").isNotNull())
+    order = F.struct("last_used_at", "created_at", "embedding_hash")
+    rows = cache.select(group.alias("g"), F.col("content_hash").alias("key"), F.col("vector").alias("v"), order.alias("v_order"))
+    probes = load(spark, sf_dir, "vector_probes").select(F.col("probe_id").alias("query_id"), group.alias("g"), F.col("content_hash").alias("key"))
+    return vectors.nearest(rows, probes).select(F.col("query_id").alias("probe_id"), F.col("key").alias("content_hash"))
+
+
+def p3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search in embeddings: every 50th vector against all."""
+    e = load(spark, sf_dir, "embeddings").where(vectors.well_formed(F.col("embedding"), F.size("embedding")) & F.col("vec_id").isNotNull())
+    key = F.col("vec_id").cast("string")
+    rows = e.select(F.lit("all").alias("g"), key.alias("key"), F.col("embedding").alias("v"), F.lit(0).alias("v_order"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.lit("all").alias("g"), key.alias("key"))
+    return vectors.nearest(rows, asked).select(F.col("query_id").alias("vec_id"), F.col("key").cast("bigint").alias("neighbour"), "rank")
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return tokens.encode_corpus(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_embeddings": p3_embeddings, "p7_ids": p7_ids, "p2_found": p2_found, "p2_closeness": p2_closeness, "p1_found": p1_found, "p1_turns": p1_turns, "p1_clock_offsets": p1_clock_offsets}
 
 #: Messages as read, shared by the statements of problem 1.
 _READ = r"""
@@ -93,6 +117,15 @@ b AS (SELECT g, k, {_each("CASE WHEN $_n > 0 THEN coalesce(($ - $_h) ** 2 / $_n,
 closeness AS (SELECT g AS feedback_token, k AS uid, CASE WHEN t > 0 AND b + w > 0 THEN sqrt(w / t) / (sqrt(b / t) + sqrt(w / t)) ELSE 0.5 END AS closeness FROM b)
 """
 ORACLES = {
+    "p3_found": """WITH v AS (SELECT model_name, model_version, content_hash, vector, row_number() OVER (PARTITION BY model_name, model_version, content_hash ORDER BY last_used_at DESC NULLS LAST, created_at DESC NULLS LAST, embedding_hash DESC NULLS LAST) AS n
+  FROM embedding_cache WHERE vector IS NOT NULL AND len(vector) = dimensions AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 AND content_hash IS NOT NULL),
+u AS (SELECT * FROM v WHERE n = 1),
+p AS (SELECT DISTINCT probe_id, model_name, model_version, content_hash, vector FROM vector_probes JOIN u USING (model_name, model_version, content_hash)),
+s AS (SELECT probe_id, u.content_hash, row_number() OVER (PARTITION BY probe_id ORDER BY list_cosine_similarity(p.vector::DOUBLE[], u.vector::DOUBLE[]) DESC, u.content_hash) AS r
+  FROM p JOIN u ON p.model_name = u.model_name AND p.model_version = u.model_version AND p.content_hash <> u.content_hash)
+SELECT probe_id, content_hash FROM s WHERE r <= 10""",
+    "p3_embeddings": """WITH s AS (SELECT a.vec_id, b.vec_id AS neighbour, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id::VARCHAR) AS rank
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0) SELECT * FROM s WHERE rank <= 10""",
     "p2_closeness": f"WITH {_CLOSENESS} SELECT feedback_token, uid, round(closeness, 6) AS closeness FROM closeness",
     "p2_found": f"""WITH {_CLOSENESS}, l AS (SELECT feedback_token, max(selected_count) AS n FROM retrieval_snapshots GROUP BY 1),
 r AS (SELECT feedback_token, uid, row_number() OVER (PARTITION BY feedback_token ORDER BY closeness DESC, uid) AS rn FROM closeness)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import load
 from . import conversations as conv
-from . import ranking, tokens, vectors
+from . import ranking, splitting, tokens, vectors
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,12 +65,28 @@ def p3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(rows, asked).select(F.col("query_id").alias("vec_id"), F.col("key").cast("bigint").alias("neighbour"), "rank")
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "context_docs").select(F.lit("doc").alias("item_type"), F.col("chunk_id").alias("item_id"), F.col("content").alias("text"))
+    code = load(spark, sf_dir, "context_symbols").select(F.lit("symbol").alias("item_type"), F.col("uid").alias("item_id"), F.col("code").alias("text"))
+    return docs.unionByName(code)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents and symbols that had to be split, and whether inside a word."""
+    return splitting.cuts(_items(spark, sf_dir), load(spark, sf_dir, "split_limits"))
+
+
+def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all documents and symbols."""
+    return splitting.pieces(_items(spark, sf_dir), load(spark, sf_dir, "split_limits"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return tokens.encode_corpus(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_embeddings": p3_embeddings, "p7_ids": p7_ids, "p2_found": p2_found, "p2_closeness": p2_closeness, "p1_found": p1_found, "p1_turns": p1_turns, "p1_clock_offsets": p1_clock_offsets}
+QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p3_found": p3_found, "p3_embeddings": p3_embeddings, "p7_ids": p7_ids, "p2_found": p2_found, "p2_closeness": p2_closeness, "p1_found": p1_found, "p1_turns": p1_turns, "p1_clock_offsets": p1_clock_offsets}
 
 #: Messages as read, shared by the statements of problem 1.
 _READ = r"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import load
 from . import conversations as conv
-from . import ranking, splitting, tokens, vectors
+from . import leakage, ranking, splitting, tokens, vectors
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,18 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p3_found": p3_found, "p3_embeddings": p3_embeddings, "p7_ids": p7_ids, "p2_found": p2_found, "p2_closeness": p2_closeness, "p1_found": p1_found, "p1_turns": p1_turns, "p1_clock_offsets": p1_clock_offsets}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents and the evaluation items that leaked into them."""
+    return leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items")).where("exact").select("doc_id", "item_id").distinct()
+
+
+def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of an item's text is in a document, edited copies included: shorter seeds, scored by alignment."""
+    found = leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"), seed_words=5).where("share >= 0.5")
+    return leakage.best_fields(found).withColumn("share", F.round("share", 6))
+
+
+QUERIES = {"p8_found": p8_found, "p8_alignments": p8_alignments, "p6_found": p6_found, "p6_pieces": p6_pieces, "p3_found": p3_found, "p3_embeddings": p3_embeddings, "p7_ids": p7_ids, "p2_found": p2_found, "p2_closeness": p2_closeness, "p1_found": p1_found, "p1_turns": p1_turns, "p1_clock_offsets": p1_clock_offsets}
 
 #: Messages as read, shared by the statements of problem 1.
 _READ = r"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import load
 from . import conversations as conv
-from . import leakage, ranking, splitting, tokens, vectors
+from . import leakage, markup, moderation, ranking, splitting, tokens, vectors
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,32 @@ def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.best_fields(found).withColumn("share", F.round("share", 6))
 
 
-QUERIES = {"p8_found": p8_found, "p8_alignments": p8_alignments, "p6_found": p6_found, "p6_pieces": p6_pieces, "p3_found": p3_found, "p3_embeddings": p3_embeddings, "p7_ids": p7_ids, "p2_found": p2_found, "p2_closeness": p2_closeness, "p1_found": p1_found, "p1_turns": p1_turns, "p1_clock_offsets": p1_clock_offsets}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of markup in each chunk."""
+    return markup.kinds(load(spark, sf_dir, "context_docs"), "chunk_id", "content").select("chunk_id", "markup")
+
+
+def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean text of each chunk."""
+    return markup.clean(load(spark, sf_dir, "context_docs"), "chunk_id", "content").select("chunk_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are abusive, hateful or sexual."""
+    return moderation.cases(moderation.score_documents(load(spark, sf_dir, "documents")))
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of every document."""
+    return moderation.score_documents(load(spark, sf_dir, "documents"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rates of such documents for each source."""
+    return moderation.rates(moderation.score_documents(load(spark, sf_dir, "documents"), keep=("source",)))
+
+
+QUERIES = {"p5_found": p5_found, "p5_clean": p5_clean, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p8_found": p8_found, "p8_alignments": p8_alignments, "p6_found": p6_found, "p6_pieces": p6_pieces, "p3_found": p3_found, "p3_embeddings": p3_embeddings, "p7_ids": p7_ids, "p2_found": p2_found, "p2_closeness": p2_closeness, "p1_found": p1_found, "p1_turns": p1_turns, "p1_clock_offsets": p1_clock_offsets}
 
 #: Messages as read, shared by the statements of problem 1.
 _READ = r"""

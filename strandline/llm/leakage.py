@@ -139,7 +139,8 @@ def pairs(docs: DataFrame, seed: DataFrame, n: int) -> DataFrame:
                     h = h[wanted.value[at] == h] if len(wanted.value) else h[:0]
                 out.append(h)
             hit = np.fromiter((len(h) > 0 for h in out), bool, len(out))
-            yield pdf[hit].assign(hs=[h for h in out if len(h)])
+            kept = pdf[hit]
+            yield kept.assign(hs=pd.Series([h for h in out if len(h)], index=kept.index, dtype=object))
 
     hits = spread(docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")).mapInPandas(scan, "doc_id long, text string, hs array<bigint>")
     met = hits.select("doc_id", "text", F.explode("hs").alias("h")).join(seed, "h")

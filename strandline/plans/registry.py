@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problem4
+from . import aggregates, graphs, joins, problem4, ranking, sources, streams
 
-MODULES = (problem4,)
+MODULES = (problem4, sources, joins, aggregates, graphs, ranking, streams)
 
 
 def queries() -> dict:

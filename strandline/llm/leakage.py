@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import checkpoint_dir
 from ..sources.tables import spread
 
 WORDS = re.compile(r"[^\W_]+")
@@ -202,9 +203,10 @@ def leaks(docs: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("questio
     consecutive words of the text, in no other item, stand in the document. Items that repeat another item's text word for word have no
     passage of their own there. Repeated rows count once; null and empty texts have no words; empty tables give no rows.
     """
-    parts = item_words(items, fields)
-    passages = lone_passages(parts, least)
-    texts = pairs(docs, seeds(passages, seed_words), seed_words).join(passages, "item_id")
+    checkpoint_dir(docs.sparkSession)
+    # What is made of the items is used several times and small beside the corpus; it is made once.
+    passages = lone_passages(item_words(items, fields).checkpoint(), least).checkpoint()
+    texts = pairs(docs, seeds(passages, seed_words).checkpoint(), seed_words).join(passages, "item_id")
 
     @F.pandas_udf("struct<score int, share double, exact boolean>")
     def judge(text: pd.Series, ws: pd.Series, ends: pd.Series) -> pd.DataFrame:

@@ -168,7 +168,12 @@ b AS (SELECT g, k, {_each("CASE WHEN $_n > 0 THEN coalesce(($ - $_h) ** 2 / $_n,
   {_each("($ IS NOT NULL)::INT", " + ")} AS t FROM c JOIN e USING (g)),
 closeness AS (SELECT g AS feedback_token, k AS uid, CASE WHEN t > 0 AND b + w > 0 THEN sqrt(w / t) / (sqrt(b / t) + sqrt(w / t)) ELSE 0.5 END AS closeness FROM b)
 """
+#: White space of Unicode, for RE2.
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 ORACLES = {
+    "p6_found": f"""WITH i AS (SELECT DISTINCT 'doc' AS item_type, chunk_id AS item_id, content AS t FROM context_docs UNION SELECT DISTINCT 'symbol', uid, code FROM context_symbols),
+l AS (SELECT i.*, max_chars FROM i JOIN (SELECT item_type, min(max_chars) AS max_chars FROM split_limits WHERE max_chars > 0 GROUP BY 1) USING (item_type) WHERE length(t) > max_chars)
+SELECT item_type, item_id, CASE WHEN max(list_max(list_transform(regexp_split_to_array(t, '{_SPACE}'), lambda x: length(x))) - max_chars) > 0 THEN 'hard' ELSE 'natural' END AS cut FROM l GROUP BY 1, 2""",
     "p3_found": """WITH v AS (SELECT model_name, model_version, content_hash, vector, row_number() OVER (PARTITION BY model_name, model_version, content_hash ORDER BY last_used_at DESC NULLS LAST, created_at DESC NULLS LAST, embedding_hash DESC NULLS LAST) AS n
   FROM embedding_cache WHERE vector IS NOT NULL AND len(vector) = dimensions AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0 AND content_hash IS NOT NULL),
 u AS (SELECT * FROM v WHERE n = 1),

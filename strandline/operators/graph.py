@@ -28,13 +28,21 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, hops: int, stop: DataFrame | None = None) -> DataFrame:
+def hold(edges: DataFrame) -> DataFrame:
+    """The edges written once, by source, for an iteration that joins with them again and again."""
+    return _cut(edges.repartition("src"))
+
+
+def reach(edges: DataFrame, seeds: DataFrame, hops: int, stop: DataFrame | None = None, held: bool = False) -> DataFrame:
     """``seed, node, depth``: the nodes within ``hops`` of each seed (``seeds``: seed, node), depth 0 included.
 
-    ``edges`` as from directed(). Nodes in ``stop`` (node) are reached but not walked through. Ends early when a frontier is empty.
+    ``edges`` as from directed(); for several hops they are held unless the caller did that already (``held``). Nodes in ``stop`` (node) are
+    reached but not walked through. Ends early when a frontier is empty.
     """
     if not isinstance(hops, int) or isinstance(hops, bool) or hops < 1:
         raise ValueError("hops must be an integer of at least 1")
+    if hops > 1 and not held:
+        edges = hold(edges)
     seen = frontier = _cut(seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, hops + 1):
         start = frontier if stop is None or depth == 1 else frontier.join(stop, "node", "left_anti")
@@ -87,7 +95,7 @@ def closure_bounded(edges: DataFrame, sources: DataFrame, levels: int = 4, per_l
     ``edges``: src depends on dst, so the closure of a source goes from dst to src. Discovery is ordered by the parent's place in its level, then by
     name; a node met from several parents takes the first place. What is cut off is not walked from and may be found later.
     """
-    e = edges.select(F.col("dst").alias("__from"), F.col("src").alias("__to")).where("src <> dst").distinct()
+    e = hold(directed(edges, "reverse")).select(F.col("src").alias("__from"), F.col("dst").alias("__to"))
     seen = frontier = _cut(sources.select(F.col("node").alias("source"), "node").distinct().withColumns({"depth": F.lit(0), "place": F.lit(1)}))
     for depth in range(1, levels + 1):
         met = frontier.join(e, F.col("node") == F.col("__from")).groupBy("source", F.col("__to").alias("node")).agg(F.min("place").alias("parent"))
@@ -107,8 +115,8 @@ def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 6) -> Dat
     that is one nearer to its end, which any such neighbour's path completes.
     """
     spark = edges.sparkSession
-    e = directed(edges, "undirected")
-    r = reach(e, spark.createDataFrame([("a", start), ("b", goal)], "seed string, node string"), (most + 1) // 2)
+    e = hold(directed(edges, "undirected"))
+    r = reach(e, spark.createDataFrame([("a", start), ("b", goal)], "seed string, node string"), (most + 1) // 2, held=True)
     side = {s: r.where(F.col("seed") == s).select("node", "depth") for s in "ab"}
     both = side["a"].withColumnRenamed("depth", "da").join(side["b"].withColumnRenamed("depth", "db"), "node")
     meet = both.select(F.min(F.struct((F.col("da") + F.col("db")).alias("n"), "node", "da", "db")).alias("m")).first()["m"]

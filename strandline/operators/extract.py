@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..sources.tables import spread
+from ..sources.tables import deal
 
 
 def facts_of(source: str) -> list[tuple[str, str, int]]:
@@ -44,4 +44,4 @@ def python_facts(files: DataFrame, key: str, text: str) -> DataFrame:
             rows = [(k, *f) for k, t in zip(pdf[key], pdf[text], strict=True) if isinstance(t, str) for f in facts_of(t)]
             yield pd.DataFrame(rows, columns=[key, "kind", "name", "line"])
 
-    return spread(files.select(key, text)).mapInPandas(parse, f"{key} {dict(files.dtypes)[key]}, kind string, name string, line int")
+    return deal(files.select(key, text)).mapInPandas(parse, f"{key} {dict(files.dtypes)[key]}, kind string, name string, line int")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.tables import deal
+
 
 def cap_by_file(df: DataFrame, order: list[Column], by: list[str], file: str = "file_path", per_file: int = 2, files: int = 5, total: int = 10) -> DataFrame:
     """The first rows in ``order`` with at most ``per_file`` of a file, ``files`` files and ``total`` rows for each ``by``; a file past the caps stays out.
@@ -59,7 +61,7 @@ def pack(candidates: DataFrame, query: str, budget: int, new_file: float = 0.2,
         return pd.DataFrame({query: [pdf[query].iloc[0]] * len(out), "uid": out, "place": range(1, len(out) + 1)})
 
     kind = dict(candidates.dtypes)[query]
-    return candidates.select(query, "uid", "file_path", "utility", "tokens").groupBy(query).applyInPandas(one, f"{query} {kind}, uid string, place int")
+    return deal(candidates.select(query, "uid", "file_path", "utility", "tokens"), query).groupBy(query).applyInPandas(one, f"{query} {kind}, uid string, place int")
 
 
 def render(code: Column, rung: str) -> Column:

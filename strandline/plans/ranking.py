@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..operators import lookups as lk
 from ..operators import ranking as rk
 from ..operators import selection as se
-from ..sources.tables import load
+from ..sources.tables import load, spread
 from .base import Registry
 
 R = Registry()
@@ -75,7 +75,7 @@ TERMS = ("resolver", "queue", "timeout", "cache")
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    terms = load(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(tx.identifier_parts(F.col("text"))).alias("term"))
+    terms = spread(load(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("doc"), F.explode(tx.identifier_parts(F.col("text"))).alias("term"))
     return terms.groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 

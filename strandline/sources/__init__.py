@@ -1 +1 @@
-from .tables import load, spread  # noqa: F401
+from .tables import deal, load, spread  # noqa: F401

@@ -86,6 +86,12 @@ LATEX = {
     ),
     "environment": re.compile(r"\\(?:begin|end)\{[A-Za-z]+\*?\}"),
 }
+#: What a text must hold for a pattern to match at all; looking for that costs little.
+NEEDED = {
+    "atx": "#", "setext": ("===", "---"), "rule": "--", "quote": ">", "task": "] ", "image": "![", "link": "](", "reference": "][", "definition": "]:", "auto": "<",
+    "strong": "**", "strong_": "__", "em": "*", "strike": "~~",
+}
+TAKEN_SIGN = re.compile(r"[`<\\$]|~~~")
 #: Paths with fewer text nodes than this in the document are not judged.
 MIN_NODES = 12
 
@@ -124,7 +130,8 @@ class Parsed:
         if not content or not content.strip():
             return
         s = content.replace("\r\n", "\n").replace("\r", "\n").replace(HOLD, "")
-        s = TAKEN.sub(self._take, s)
+        if TAKEN_SIGN.search(s):
+            s = TAKEN.sub(self._take, s)
         s = self._html(s)
         s = self._wiki(s)
         s = self._latex(s)
@@ -229,6 +236,8 @@ class Parsed:
 
     def _wiki(self, s: str) -> str:
         before = s
+        if not any(x in s for x in ("==", "[[", "''", "{{", "{|", "#", "__")):
+            return s
         if WIKI["directive"].search(s):
             s = WIKI["directive"].sub("", s)
             self.kinds.add("wiki")
@@ -251,7 +260,7 @@ class Parsed:
         return s
 
     def _latex(self, s: str) -> str:
-        if not any(p.search(s) for p in LATEX.values()):
+        if "\\" not in s or not any(p.search(s) for p in LATEX.values()):
             return s
         self.kinds.add("latex")
         level = {"part": 1, "chapter": 1, "section": 1, "subsection": 2, "subsubsection": 3, "paragraph": 4, "subparagraph": 5, "title": 1}
@@ -273,6 +282,9 @@ class Parsed:
 
         def sub(name: str, to, s: str) -> str:
             nonlocal found
+            need = NEEDED[name]
+            if need not in s if isinstance(need, str) else not any(x in s for x in need):
+                return s
             out, n = MARKDOWN[name].subn(to, s)
             found |= n > 0
             return out
@@ -303,18 +315,22 @@ def parse(content: str | None) -> tuple[list[str], str]:
 
 
 def clean(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id_col, kinds, text``: one row for each distinct row of id and content, with the kinds of markup found and the clean text.
+    """``id_col, kinds, text``: the kinds of markup found in each row's content and its clean text; rows that agree in all three are one.
 
-    Null and blank content has no kinds and empty text. Other columns are not read.
+    Null and blank content has no kinds and empty text. Other columns are not read. Content is read where it lies; what is shuffled to
+    make rows distinct is the result.
     """
+    return _read(docs, id_col, text_col).distinct()
+
 
+def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     @F.pandas_udf("struct<kinds array<string>, text string>")
     def read(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse(t) for t in texts], columns=["kinds", "text"])
 
-    return spread(docs.select(id_col, text_col)).dropDuplicates([id_col, text_col]).select(id_col, read(text_col).alias("__p")).select(id_col, "__p.kinds", "__p.text")
+    return spread(docs.select(id_col, text_col)).select(id_col, read(text_col).alias("__p")).select(id_col, "__p.kinds", "__p.text")
 
 
 def kinds(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id_col, markup``: one row for each item and kind of markup in its content."""
-    return clean(docs, id_col, text_col).select(id_col, F.explode("kinds").alias("markup")).distinct()
+    return _read(docs, id_col, text_col).select(id_col, F.explode("kinds").alias("markup")).distinct()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import spread
+from ..sources.tables import deal
 
 #: Where a unit may begin, from the coarsest level to words; what matches belongs to the unit before it.
 LEVELS = {
@@ -112,7 +112,7 @@ def split_items(large: DataFrame) -> DataFrame:
     def cut(kind: pd.Series, text: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
         return pd.Series([[{"start": s, "end": e, "level": v, "text": t} for s, e, v, t in split(x, k if k in LEVELS else "doc", int(n), int(o))] for k, x, n, o in zip(kind, text, limit, overlap, strict=True)])
 
-    return spread(large, 1).select("item_type", "item_id", cut("item_type", "text", "max_chars", "overlap_chars").alias("pieces"))
+    return deal(large).select("item_type", "item_id", cut("item_type", "text", "max_chars", "overlap_chars").alias("pieces"))
 
 
 def pieces(items: DataFrame, limits: DataFrame) -> DataFrame:

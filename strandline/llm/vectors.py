@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources.tables import deal
+
 #: Vectors in a block, about, of a group that holds all rows; smaller groups have smaller blocks.
 BLOCK_ROWS = 16_384
 #: Bound of the sample that codewords are fitted on, for each group; and of the sample of all groups together, about.
@@ -184,7 +186,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     salts = max(1, -(-total // BLOCK_ROWS))
     salt = F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")
     rows = (
-        vectors.withColumn("s", salt).repartition("g", "s").groupBy("g", "s", "key").agg(F.max(F.struct("v_order", "v"))["v"].alias("v"))
+        deal(vectors.withColumn("s", salt), "g", "s").groupBy("g", "s", "key").agg(F.max(F.struct("v_order", "v"))["v"].alias("v"))
     )
     r = F.xxhash64(F.lit(7), "key")
     share = min(1.0, FIT_ALL / max(1, total))

@@ -44,9 +44,12 @@ def closeness(items: DataFrame, group: str, key: str, scores: Mapping[str, Colum
     rows = rows.where(F.col("__g").isNotNull() & F.col("__k").isNotNull()).repartition("__g", "__s").groupBy("__g", "__s", "__k").agg(*[F.max(x[n]).alias(x[n]) for n in names])
 
     def with_stats(df: DataFrame, stats: list[Column]) -> DataFrame:
-        """``df`` with statistics over its groups: partial sums by salt, one row a group, back to every salt."""
+        """``df`` with statistics over its groups: partial sums by salt, one row a group, back to every salt.
+
+        A merge join: the rows lie by group and salt already, and the statistics grow with the number of groups, so they are not broadcast.
+        """
         one = df.groupBy("__g").agg(*stats)
-        return df.join(one.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["__g", "__s"])
+        return df.join(one.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge"), ["__g", "__s"])
 
     rows = with_stats(rows, [F.percentile_approx(x[n], 0.5, ACCURACY).alias(f"__m{i}") for i, n in enumerate(names)])
     dev = {n: F.abs(F.col(x[n]) - F.col(f"__m{i}")) for i, n in enumerate(names)}
@@ -78,7 +81,7 @@ def top(ranked: DataFrame, limits: DataFrame, group: str, key: str, limit: str,
     """
     lim = limits.where(F.col(group).isNotNull() & F.col(limit).isNotNull()).groupBy(group).agg(F.max(limit).alias("__limit"))
     salted = ranked.withColumn("__s", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    rows = salted.join(lim.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [group, "__s"])
+    rows = salted.join(lim.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge"), [group, "__s"])
     order = [F.desc("closeness"), F.asc(key)]
     rows = rows.withColumn("rank", F.row_number().over(W.partitionBy(group, "__s").orderBy(*order))).where(F.col("rank") <= F.col("__limit"))
     rows = rows.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("rank") <= F.col("__limit"))

@@ -12,6 +12,7 @@ of equal words in them are checked exactly.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 
 import numpy as np
@@ -53,6 +54,12 @@ def hashes(ws: list[str], n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _inside(split: list[list[str]], n: int) -> np.ndarray:
+    """Which n-grams of the words of several texts, end to end, lie within one text."""
+    at = np.repeat(np.arange(len(split)), [len(w) for w in split])
+    return at[: len(at) - n + 1] == at[n - 1 :]
+
+
 def item_words(items: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """``item_id, field, words``: one row for each distinct text of an item; null and wordless texts are left out."""
 
@@ -106,7 +113,7 @@ def lone_passages(parts: DataFrame, least: int) -> DataFrame:
 
 
 def seeds(passages: DataFrame, n: int) -> DataFrame:
-    """``h, item_id``: the rarest n-gram of each passage of lone_passages()."""
+    """``h, item_id, field``: the rarest n-gram of each passage of lone_passages()."""
 
     @F.pandas_udf("array<bigint>")
     def grams(ws: pd.Series) -> pd.Series:
@@ -117,11 +124,11 @@ def seeds(passages: DataFrame, n: int) -> DataFrame:
     spans = g.select("item_id", "field", "g", F.posexplode("ends").alias("s", "e")).where("e > 0")
     each = spans.select("item_id", "field", "s", F.explode(F.slice("g", F.col("s") + 1, F.col("e") - F.col("s") - n + 1)).alias("h")).join(count, "h")
     best = each.groupBy("item_id", "field", "s").agg(F.min(F.struct("df", "h"))["h"].alias("h"))
-    return best.select("h", "item_id").distinct()
+    return best.select("h", "item_id", "field").distinct()
 
 
 def pairs(docs: DataFrame, seed: DataFrame, n: int) -> DataFrame:
-    """``doc_id, item_id, text``: documents and the items of which they hold a seed. ``docs``: doc_id, text.
+    """``doc_id, item_id, field, text``: documents and the items' texts of which they hold a seed. ``docs``: doc_id, text.
 
     Only documents that hold a seed leave the scan, each with its text, so that the corpus is read once and not shuffled.
     """
@@ -131,21 +138,26 @@ def pairs(docs: DataFrame, seed: DataFrame, n: int) -> DataFrame:
 
     def scan(batches):
         for pdf in batches:
-            out = []
-            for t in pdf["text"]:
-                h = np.unique(hashes(words(t), n))
-                if wanted is not None:
-                    at = np.searchsorted(wanted.value, h)
-                    at[at == len(wanted.value)] = 0
-                    h = h[wanted.value[at] == h] if len(wanted.value) else h[:0]
-                out.append(h)
-            hit = np.fromiter((len(h) > 0 for h in out), bool, len(out))
-            kept = pdf[hit]
-            yield kept.assign(hs=pd.Series([h for h in out if len(h)], index=kept.index, dtype=object))
+            # One array of words for the batch; n-grams that would reach into the next document are left out.
+            split = [words(t) for t in pdf["text"]]
+            at = np.repeat(np.arange(len(split)), [len(w) for w in split])
+            g = hashes(list(itertools.chain.from_iterable(split)), n)
+            at = at[: len(g)]
+            if len(g):
+                whole = _inside(split, n)
+                g, at = g[whole], at[whole]
+            if wanted is not None and len(g):
+                i = np.searchsorted(wanted.value, g)
+                i[i == len(wanted.value)] = 0
+                held_ = wanted.value[i] == g if len(wanted.value) else np.zeros(len(g), bool)
+                g, at = g[held_], at[held_]
+            found = pd.DataFrame({"at": at, "h": g}).drop_duplicates().groupby("at")["h"].agg(list)
+            kept = pdf.iloc[found.index.to_numpy(int)]
+            yield kept.assign(hs=pd.Series(found.to_list(), index=kept.index, dtype=object))
 
     hits = spread(docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")).mapInPandas(scan, "doc_id long, text string, hs array<bigint>")
     met = hits.select("doc_id", "text", F.explode("hs").alias("h")).join(seed, "h")
-    return met.groupBy("doc_id", "item_id", F.xxhash64("text").alias("__t")).agg(F.any_value("text").alias("text")).drop("__t")
+    return met.groupBy("doc_id", "item_id", "field", F.xxhash64("text").alias("__t")).agg(F.any_value("text").alias("text")).drop("__t")
 
 
 def align(doc: list[str], item: list[str]) -> tuple[int, int, int]:
@@ -206,7 +218,7 @@ def leaks(docs: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("questio
     checkpoint_dir(docs.sparkSession)
     # What is made of the items is used several times and small beside the corpus; it is made once.
     passages = lone_passages(item_words(items, fields).checkpoint(), least).checkpoint()
-    texts = pairs(docs, seeds(passages, seed_words).checkpoint(), seed_words).join(passages, "item_id")
+    texts = pairs(docs, seeds(passages, seed_words).checkpoint(), seed_words).join(passages, ["item_id", "field"])
 
     @F.pandas_udf("struct<score int, share double, exact boolean>")
     def judge(text: pd.Series, ws: pd.Series, ends: pd.Series) -> pd.DataFrame:

@@ -5,7 +5,8 @@ and Markdown from what is left. Clean text keeps structure in one plain notation
 code, ``$`` formulas, cells between bars.
 
 HTML content is chosen by tag-path ratios: text length and punctuation are summed for each root-to-leaf path of tags, smoothed along
-the document, fused, and nodes of paths under a threshold are left out, unless they are headings, items, cells or code.
+the document, fused, and nodes of paths under a threshold are left out, unless they are headings, items, cells or code. That needs
+``MIN_NODES`` text nodes; a shorter text keeps all its nodes. The kinds come from patterns alone, before any node is left out.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ NEEDED = {
     "strong": "**", "strong_": "__", "em": "*", "strike": "~~",
 }
 TAKEN_SIGN = re.compile(r"[`<\\$]|~~~")
-#: Paths with fewer text nodes than this in the document are not judged.
+#: Documents with fewer text nodes than this are not judged; all their nodes are content.
 MIN_NODES = 12
 
 
@@ -132,14 +133,21 @@ class Parsed:
         s = content.replace("\r\n", "\n").replace("\r", "\n").replace(HOLD, "")
         if TAKEN_SIGN.search(s):
             s = TAKEN.sub(self._take, s)
-        s = self._html(s)
-        s = self._wiki(s)
-        s = self._latex(s)
-        s = self._markdown(s)
+        whole, s = self._html(s)
+        # The kinds are those of the whole text; what is read again without the nodes left out gives the clean text only.
+        clean = self._rest(whole)
+        if s != whole:
+            kinds = set(self.kinds)
+            clean = self._rest(s)
+            self.kinds = kinds
+        s = clean
         s = re.sub(HOLD + r"(\d+);", lambda m: self.held[int(m[1])], s)
         s = re.sub(r"[ \t]+$", "", s, flags=re.M)
         self.text = re.sub(r"\n{3,}", "\n\n", s).strip()
 
+    def _rest(self, s: str) -> str:
+        return self._markdown(self._latex(self._wiki(s)))
+
     def _hold(self, clean: str) -> str:
         self.held.append(clean)
         return f"{HOLD}{len(self.held) - 1};"
@@ -174,13 +182,14 @@ class Parsed:
         body = re.sub(r"\\label\{[^}]*\}", "", body).strip()
         return self._hold(f"${body}$") if m["rd"] or m["d1"] else self._hold(f"\n$$\n{body}\n$$\n")
 
-    def _html(self, s: str) -> str:
+    def _html(self, s: str) -> tuple[str, str]:
+        """The text without tags: all of it, and what tag-path ratios leave of it."""
         closing = {m[2].lower() for m in TAG.finditer(s) if m[1]}
         real = lambda m: bool(m[1] or m[3] or m[4] or m[2].lower() not in DOUBTFUL or m[2].lower() in closing)
         tags = [m for m in TAG.finditer(s) if real(m)]
         entity = any(html.unescape(e) != e for e in ENTITY.findall(s))
         if not tags and not entity:
-            return s
+            return s, s
         self.kinds.add("html")
         pieces: list[tuple[str, str | None, bool]] = []  # text or mark, path of a text node, whether always kept
         stack: list[str] = []
@@ -232,7 +241,7 @@ class Parsed:
             good = next(content) if p is not None and t.strip() else True
             if good or always:
                 out.append(t)
-        return "".join(out)
+        return "".join(t for t, _, _ in pieces), "".join(out)
 
     def _wiki(self, s: str) -> str:
         before = s

@@ -55,6 +55,13 @@ def test_tag_path_ratios_drop_boilerplate():
     assert "Link" in mk.parse("<div><span>Link</span></div>")[1]
 
 
+def test_kinds_of_nodes_that_are_left_out():
+    nav = "<div><nav>" + "".join(f"<span>Link {i}</span>" for i in range(12)) + "<span>[[Q|r]]</span> <span>**b** x</span><span>\\emph{y}</span></nav></div>"
+    body = "".join(f"<p>This is a sentence of the article, long enough to be read; it has commas, and ends here. {i}</p>" for i in range(8))
+    kinds, text = mk.parse(nav + "<div><article>" + body + "</article></div>")
+    assert kinds == list(mk.KINDS) and "Link" not in text and "[[" not in text
+
+
 def test_table(spark):
     df = spark.createDataFrame([("a", "<b>x</b>", "m"), ("a", "<b>x</b>", "m"), ("b", None, "m"), (None, "# h", "m"), ("c", "x" * 200_000 + "\n" + "<" * 5000 + "*" * 3000 + "`" * 3000 + "{{" * 2000 + "$" * 999, "m")], "id string, text string, markup string")
     got = sorted(((r.id, r.markup) for r in mk.kinds(df, "id", "text").collect()), key=str)

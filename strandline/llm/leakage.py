@@ -5,8 +5,8 @@ begins there is found, and of its n-grams the one in the fewest items is its see
 counts holds its seed; instructions shared by many items yield no seeds of their own.
 
 Documents are reduced to rolling hashes of their n-grams, kept only where a seed has the same hash, and joined with the seeds. Pairs of
-document and item that meet so are aligned (Smith-Waterman over words), which gives a score for edited copies, and the runs
-of equal words in them are checked exactly.
+document and item that meet so are aligned (Smith-Waterman over words), which gives a score, and the runs
+of equal words in them are checked exactly. Such seeds are exact for whole passages only; edited copies are found by edited_copies().
 """
 
 from __future__ import annotations
@@ -236,6 +236,55 @@ def leaks(docs: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("questio
     return judged.select("doc_id", "item_id", "field", "j.score", "j.share", "j.exact").groupBy("doc_id", "item_id", "field").agg(F.max("score").alias("score"), F.max("share").alias("share"), F.max("exact").alias("exact"))
 
 
+def edited_copies(docs: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("question", "reference_answer"), least: int = 12) -> DataFrame:
+    """``doc_id, item_id, field, score, share, exact`` as leaks(), of every document and item text with a share of at least a half.
+
+    Nothing is seeded by n-grams that an edit may have hit. Say an alignment of an item text of L words has m equal words, x unequal ones and
+    g gaps; a share of a half means 2m - x - 2g >= L, so m >= L/2, and, as x <= L/3, m - x - g >= L/3. Hence at least L/2 places
+    of the text have their word in the document, and at least L/3 - 1 have it followed by the text's next word. Documents are counted
+    against both bounds, and what reaches them is aligned; all other pairs are below a half.
+
+    Every task holds the words of all items, which are few beside the corpus; documents are read once and not shuffled.
+    """
+    checkpoint_dir(docs.sparkSession)
+    parts = item_words(items, fields).checkpoint()
+    key = ["item_id", "field", "words"]
+    texts = parts.join(lone_passages(parts, least), key, "left").select(*key, F.coalesce("ends", F.array().cast("array<int>")).alias("ends")).collect()
+    held = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.field, list(r.words), list(r.ends)) for r in texts])
+
+    def scan(batches):
+        each = held.value
+        size = np.array([len(w) for _, _, w, _ in each], np.int64)
+        need = (-(-size // 2), -(-size // 3) - 1)
+        # For n of 1 and 2: the items' n-grams in order, and the item of each place.
+        index = []
+        for n in (1, 2):
+            h = [hashes(w, n) for _, _, w, _ in each]
+            of = np.repeat(np.arange(len(each)), [len(x) for x in h])
+            h = np.concatenate([np.empty(0, np.int64), *h])
+            order = np.argsort(h, kind="stable")
+            known, first, count = np.unique(h[order], return_index=True, return_counts=True)
+            index.append((known, first, count, of[order]))
+        for pdf in batches:
+            out = []
+            for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
+                doc = words(t)
+                good = np.ones(len(each), bool)
+                for n, (known, first, count, of) in enumerate(index, 1):
+                    met = np.flatnonzero(np.isin(known, hashes(doc, n)))
+                    places = np.concatenate([np.empty(0, np.int64), *[of[first[i] : first[i] + count[i]] for i in met]])
+                    good &= np.bincount(places, minlength=len(each)) >= need[n - 1]
+                for i in np.flatnonzero(good):
+                    item, field, w, ends = each[i]
+                    score = align(doc, w)[0]
+                    if score >= len(w) * MATCH / 2:
+                        out.append((d, item, field, score, score / (MATCH * len(w)), holds_passage(doc, w, ends, least)))
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "field", "score", "share", "exact"])
+
+    found = spread(docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")).mapInPandas(scan, "doc_id long, item_id long, field string, score int, share double, exact boolean")
+    return found.groupBy("doc_id", "item_id", "field").agg(F.max("score").alias("score"), F.max("share").alias("share"), F.max("exact").alias("exact"))
+
+
 def best_fields(found: DataFrame) -> DataFrame:
     """Of each document and item the text of greatest score."""
     rank = F.row_number().over(W.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), "field"))

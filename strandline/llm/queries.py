@@ -92,8 +92,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of an item's text is in a document, edited copies included: shorter seeds, scored by alignment."""
-    found = leakage.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"), seed_words=5).where("share >= 0.5")
+    """How much of an item's text is in a document, edited copies included: all with a share of at least a half, by alignment."""
+    found = leakage.edited_copies(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_items"))
     return leakage.best_fields(found).withColumn("share", F.round("share", 6))
 
 

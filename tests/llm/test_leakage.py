@@ -67,3 +67,35 @@ def test_documents_without_any_seed(spark):
     docs = spark.createDataFrame([(i, "nothing of the kind is said here", "") for i in range(40)], DOCS)
     items = spark.createDataFrame([(1, "one two three four five six seven", None, "")], ITEMS)
     assert lk.leaks(docs.repartition(4), items, least=4, seed_words=3).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_edited_copies_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(40)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(i, " ".join(text(rng.randint(1, 30))), rng.choice([None, "", " ".join(text(3))]), "x") for i in range(30)]
+    docs = [(900, None, "x"), (901, "", "x")]
+    for d in range(120):
+        w = list(lk.words(rng.choice(items)[1]))
+        step = rng.choice([3, 4, 6, 7, 50])
+        w = [x for i, x in enumerate(w) for x in ([x] if (i + 1) % step else rng.choice([["zz"], [], [x, "zz"]]))]
+        docs.append((d, " ".join(text(4) + w + text(4)), "x"))
+    docs += docs[:5]
+    want = set()
+    for d, t, _ in docs:
+        for i, q, a, _ in items:
+            for f, x in (("question", q), ("reference_answer", a)):
+                w = lk.words(x)
+                if w and t is not None and (score := lk.align(lk.words(t), w)[0]) >= len(w):
+                    want.add((d, i, f, score))
+    got = lk.edited_copies(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+    assert {(r.doc_id, r.item_id, r.field, r.score) for r in got.collect()} == want
+    old = lk.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), seed_words=5).where("share >= 0.5")
+    assert {(r.doc_id, r.item_id, r.field, r.score) for r in old.collect()} < want
+
+
+def test_edited_copies_of_nothing(spark):
+    d, i = spark.createDataFrame([(1, "a b c", "")], DOCS), spark.createDataFrame([(1, "a b c", None, "")], ITEMS)
+    assert lk.edited_copies(d.where("false"), i).count() == 0 and lk.edited_copies(d, i.where("false")).count() == 0
+    assert [(r.score, r.exact) for r in lk.edited_copies(d, i, least=2).collect()] == [(6, True)]

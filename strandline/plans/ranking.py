@@ -105,13 +105,24 @@ def r11(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("owner_uid").agg(F.min("score").alias("distance")).orderBy("distance", "owner_uid").limit(25)
 
 
+def _fused(spark: SparkSession, d: str, lexical: DataFrame) -> DataFrame:
+    v = _distances(spark, d).select(F.col("vec_id").alias("uid"), F.round(-F.col("d"), 9).alias("score"))
+    b = lexical.select(F.col("doc").alias("uid"), F.round("score", 9).alias("score"))
+    return rk.reciprocal_rank_fusion({"vector": (v, 1.0), "lexical": (b, 1.15)}).select("uid", F.round("score", 9).alias("score"))
+
+
 @register("r13_rank_fusion", f"""WITH {_Q}, {_POST}, {_BM25}, a AS (SELECT vec_id AS uid, 1.0 / (60 + row_number() OVER (ORDER BY round(-d, 9) DESC, vec_id DESC)) AS s FROM v),
 c AS (SELECT doc AS uid, 1.15 / (60 + row_number() OVER (ORDER BY round(score, 9) DESC, doc DESC)) AS s FROM b WHERE doc < 500), u AS (SELECT * FROM a UNION ALL SELECT * FROM c) SELECT uid, round(sum(s) / (1.0 / 61 + 1.15 / 61), 9) AS score FROM u GROUP BY 1""")
 def r13(spark: SparkSession, d: str) -> DataFrame:
-    """Vector and lexical channels fused by reciprocal rank."""
-    v = _distances(spark, d).select(F.col("vec_id").alias("uid"), F.round(-F.col("d"), 9).alias("score"))
-    b = rk.bm25(_postings(spark, d), TERMS).where("doc < 500").select(F.col("doc").alias("uid"), F.round("score", 9).alias("score"))
-    return rk.reciprocal_rank_fusion({"vector": (v, 1.0), "lexical": (b, 1.15)}).select("uid", F.round("score", 9).alias("score"))
+    """Vector and lexical channels fused by reciprocal rank; of the lexical one the documents below 500 only, as its SQL states. r13_rank_fusion_whole has all."""
+    return _fused(spark, d, rk.bm25(_postings(spark, d), TERMS).where("doc < 500"))
+
+
+@register("r13_rank_fusion_whole", f"""WITH {_Q}, {_POST}, {_BM25}, a AS (SELECT vec_id AS uid, 1.0 / (60 + row_number() OVER (ORDER BY round(-d, 9) DESC, vec_id DESC)) AS s FROM v),
+c AS (SELECT doc AS uid, 1.15 / (60 + row_number() OVER (ORDER BY round(score, 9) DESC, doc DESC)) AS s FROM b), u AS (SELECT * FROM a UNION ALL SELECT * FROM c) SELECT uid, round(sum(s) / (1.0 / 61 + 1.15 / 61), 9) AS score FROM u GROUP BY 1""")
+def r13_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Vector and lexical channels fused by reciprocal rank, over all documents; vectors and documents meet by id."""
+    return _fused(spark, d, rk.bm25(_postings(spark, d), TERMS))
 
 
 @register("r14_calibrated_blend", f"""WITH {_Q}, x AS (SELECT vec_id, 1 - d * d / 2 AS sim, (vec_id % 17)::DOUBLE AS base FROM v), m AS (SELECT median(sim) AS med FROM x), a AS (SELECT median(abs(sim - med)) AS mad FROM x, m), w AS (SELECT median(sim) AS weak FROM x, m WHERE sim <= med),

@@ -9,6 +9,7 @@ from .. import views
 from ..functions import text as tx
 from ..operators import lookups as lk
 from ..operators import ranking as rk
+from ..operators import vectors as ve
 from ..sources.tables import load
 from .base import Registry
 
@@ -172,13 +173,20 @@ def j21(spark: SparkSession, d: str) -> DataFrame:
 @register("j22_vector_join", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT label, list(x ORDER BY i) AS m FROM (SELECT label, i, avg(v[i]) AS x FROM e, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1),
 s AS (SELECT c.label AS centre, vec_id, list_distance(m, v) AS x FROM c JOIN e ON e.label = c.label) SELECT centre, vec_id, round(x, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY round(x, 9), vec_id) AS r FROM s) WHERE r <= 5""")
 def j22(spark: SparkSession, d: str) -> DataFrame:
-    """The five vectors nearest to the centre of their label."""
+    """The five vectors nearest to the centre of their label: as its SQL states, no join of vectors with vectors. That is j22_vector_join_whole."""
     e = load(spark, d, "embeddings")
     centres = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
     s = e.join(centres, "label").withColumn("x", rk.l2(F.col("m"), F.col("embedding")))
     return lk.top_by(s, ["label"], [F.round("x", 9), F.col("vec_id")], 5).select(F.col("label").alias("centre"), "vec_id", F.round("x", 6).alias("distance"))
 
 
+@register("j22_vector_join_whole", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.v, b.v) AS x FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+SELECT vec_id, neighbour, round(x, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(x, 9), neighbour) AS r FROM s WHERE x <= 1.5) WHERE r <= 5""")
+def j22_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of every vector the five others nearest by L2, within the threshold."""
+    return ve.nearest_within(load(spark, d, "embeddings"), "vec_id", "embedding", 5, 1.5)
+
+
 @register("j23_pending_resolution", f"""{views.sql('symbols', 'chunks')}, i AS (SELECT chunk_id, {_IDENT} AS names FROM chunks), k AS (SELECT DISTINCT name FROM symbols), p AS (SELECT chunk_id, unnest(names) AS name FROM i) SELECT chunk_id, list(name ORDER BY name) AS pending FROM p WHERE name NOT IN (SELECT name FROM k WHERE name IS NOT NULL) GROUP BY 1""")
 def j23(spark: SparkSession, d: str) -> DataFrame:
     """The names of each chunk that still resolve to nothing, as an array."""

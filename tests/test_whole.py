@@ -35,3 +35,15 @@ def test_fusion_has_all_documents(spark, duck):
     late = f"uid >= 500 and uid > {vectors}"
     lexical = registry.queries()["r07_bm25"](spark, SF).withColumnRenamed("doc", "uid").where(late)
     assert df.where(late).count() == lexical.count() > 0 == old.where(late).count()
+
+
+def test_vector_join_asks_for_every_vector(spark, duck, monkeypatch):
+    from strandline.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 200)
+    df = equal_to_sql(spark, duck, "j22_vector_join_whole")
+    label = {i: x for i, x in duck.execute("SELECT vec_id, label FROM embeddings").fetchall()}
+    got = df.collect()
+    assert any(label[r.vec_id] != label[r.neighbour] for r in got) and max(r.distance for r in got) <= 1.5
+    e = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [9.0, 0.0]), (4, None), (None, [0.0, 0.0])], "i long, v array<float>")
+    assert {tuple(r) for r in vectors.nearest_within(e, "i", "v", 5, 2.0).collect()} == {(1, 2, 1.0), (2, 1, 1.0)}

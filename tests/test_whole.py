@@ -47,3 +47,9 @@ def test_vector_join_asks_for_every_vector(spark, duck, monkeypatch):
     assert any(label[r.vec_id] != label[r.neighbour] for r in got) and max(r.distance for r in got) <= 1.5
     e = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [9.0, 0.0]), (4, None), (None, [0.0, 0.0])], "i long, v array<float>")
     assert {tuple(r) for r in vectors.nearest_within(e, "i", "v", 5, 2.0).collect()} == {(1, 2, 1.0), (2, 1, 1.0)}
+
+
+@pytest.mark.parametrize("name", ["j01_call_resolution", "j15_attribute_access", "j16_best_match", "j40_kind_lookup"])
+def test_references_of_all_symbols(spark, duck, name):
+    df = equal_to_sql(spark, duck, f"{name}_whole")
+    assert df.count() > registry.queries()[name](spark, SF).count()

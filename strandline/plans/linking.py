@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -241,8 +241,13 @@ def r22(spark: SparkSession, d: str) -> DataFrame:
     """The six lines of each symbol that share most words with a query; ties to the first."""
     words = F.array(*map(F.lit, ("queue", "retry", "resolver", "cache", "token")))
     c = load(spark, d, "context_symbols").where("code is not null and code <> '' and uid is not null").groupBy("uid").agg(F.max("code").alias("code"))
-    lines = F.split("code", "\n")
-    spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines) - 5, F.lit(1)), F.lit(3)), lambda i: F.struct(F.size(F.array_intersect(tx.identifier_parts(F.array_join(F.slice(lines, i, 6), " ")), words)).alias("score"), (-i).alias("neg")))
+    return _best_window(c, words)
+
+
+def _best_window(c: DataFrame, words: Column) -> DataFrame:
+    hits = F.transform(F.split("code", "\n"), lambda x: F.array_intersect(tx.identifier_parts(x), words))
+    spans = F.transform(F.sequence(F.lit(1), F.greatest(F.size("hits") - 5, F.lit(1))), lambda i: F.struct(F.size(F.array_distinct(F.flatten(F.slice("hits", i, 6)))).alias("score"), (-i).alias("neg")))
+    c = c.select("uid", hits.alias("hits"))
     return c.select("uid", F.array_max(spans).alias("b")).where("b.score > 0").select("uid", F.col("b.score").alias("score"), (-F.col("b.neg")).alias("line"))
 
 

@@ -53,3 +53,20 @@ def test_vector_join_asks_for_every_vector(spark, duck, monkeypatch):
 def test_references_of_all_symbols(spark, duck, name):
     df = equal_to_sql(spark, duck, f"{name}_whole")
     assert df.count() > registry.queries()[name](spark, SF).count()
+
+
+def test_span_probe_reads_every_window(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.plans import linking
+
+    codes = {"tail": "a\n" * 7 + "retry cache", "two": "queue\na\na\nb\nretry cache\na\nqueue token\nb", "one": "queueRetry", "none": "x\ny"}
+    words = {"queue", "retry", "resolver", "cache", "token"}
+    want = {}
+    for u, code in codes.items():
+        lines = code.replace("queueRetry", "queue retry").split("\n")
+        best = max((len(words & set(" ".join(lines[i : i + 6]).split())), -i - 1) for i in range(max(1, len(lines) - 5)))
+        if best[0]:
+            want[u] = (best[0], -best[1])
+    df = linking._best_window(spark.createDataFrame(list(codes.items()), "uid string, code string"), F.array(*map(F.lit, sorted(words))))
+    assert {r.uid: (r.score, r.line) for r in df.collect()} == want and want["tail"] == (2, 3)

@@ -79,12 +79,24 @@ def capped_bridge(producers: DataFrame, consumers: DataFrame, key: str, cap: int
     return p.join(small(p), key, "left_semi").join(c.join(small(c), key, "left_semi"), key).where("src <> dst").select("src", "dst", key)
 
 
-def shared_pairs(df: DataFrame, item: str, group: str, least: int, cap: int) -> DataFrame:
-    """``a, b, shared``: pairs of items that share at least ``least`` groups; groups of more than ``cap`` items bind nothing and are left out."""
-    d = df.select(item, group).distinct()
-    d = d.join(d.groupBy(group).agg(F.count("*").alias("__c")).where(F.col("__c").between(2, cap)).select(group), group, "left_semi")
-    a, b = d.withColumnRenamed(item, "a"), d.withColumnRenamed(item, "b")
-    return a.join(b, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+#: Items of a group that meet in one task, about; larger groups are dealt into blocks.
+GROUP_BLOCK = 512
+
+
+def shared_pairs(df: DataFrame, item: str, group: str, least: int, exclude: Sequence = ()) -> DataFrame:
+    """``a, b, shared``: pairs of items that share at least ``least`` groups. The groups of ``exclude``, which everybody uses, bind nothing; no other is left out for its size.
+
+    A large group's items are dealt into blocks, and every two blocks meet under their own key, so no key holds more than two blocks' pairs;
+    pairs are counted before they are shuffled.
+    """
+    d = df.where(F.col(item).isNotNull() & F.col(group).isNotNull()).select(F.col(item).alias("__i"), F.col(group).alias("__g")).distinct()
+    d = d.where(~F.col("__g").isin(list(exclude))) if len(exclude) else d
+    sizes = d.groupBy("__g").agg(F.count("*").alias("__c")).where("__c > 1").select("__g", F.ceil(F.col("__c") / GROUP_BLOCK).cast("int").alias("__n"))
+    d = d.join(sizes, "__g").withColumn("__b", F.pmod(F.xxhash64("__i"), F.col("__n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    left = d.select("__g", F.col("__i").alias("a"), F.col("__b").alias("__x"), every.alias("__y"))
+    right = d.select("__g", F.col("__i").alias("b"), F.col("__b").alias("__y"), every.alias("__x"))
+    return left.join(right, ["__g", "__x", "__y"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def innermost(points: DataFrame, spans: DataFrame, on: str, at: str, bin_size: int = 64) -> DataFrame:

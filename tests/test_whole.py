@@ -70,3 +70,18 @@ def test_span_probe_reads_every_window(spark):
             want[u] = (best[0], -best[1])
     df = linking._best_window(spark.createDataFrame(list(codes.items()), "uid string, code string"), F.array(*map(F.lit, sorted(words))))
     assert {r.uid: (r.score, r.line) for r in df.collect()} == want and want["tail"] == (2, 3)
+
+
+def test_shared_pairs_counts_large_groups(spark, monkeypatch):
+    from itertools import combinations
+
+    from strandline.operators import lookups
+
+    monkeypatch.setattr(lookups, "GROUP_BLOCK", 16)
+    groups = {"big": range(60), "mid": range(20, 70), "small": [1, 2, 65], "all": range(70)}
+    rows = [(i, g) for g, members in groups.items() for i in members] + [(1, "small"), (None, "big"), (1, None)]
+    df = spark.createDataFrame(rows, "i int, g string")
+    for exclude in ((), ("all",)):
+        kept = [set(m) for g, m in groups.items() if g not in exclude]
+        want = {(a, b, n) for a, b in combinations(range(70), 2) if (n := sum(a in m and b in m for m in kept)) >= 2}
+        assert {tuple(r) for r in lookups.shared_pairs(df, "i", "g", 2, exclude).collect()} == want

@@ -47,19 +47,63 @@ def test_structure_is_kept():
     assert mk.parse("Top\n===\n\n> **q** [l](u)\n\n```py\na * b * c\n```")[1] == "# Top\n\nq l\n\n```\na * b * c\n```"
 
 
-def test_tag_path_ratios_drop_boilerplate():
-    nav = "<div><nav>" + "".join(f"<span>Link {i}</span>" for i in range(12)) + "</nav></div>"
-    body = "".join(f"<p>This is a sentence of the article, long enough to be read; it has commas, and ends here. {i}</p>" for i in range(8))
-    text = mk.parse(nav + "<div><article>" + body + "</article></div>")[1]
-    assert "Link 5" not in text and "sentence of the article" in text
+NAV = "<div><nav>" + "".join(f"<span>Link {i}</span> " for i in range(12)) + "{}</nav></div>"
+BODY = "".join(f"<p>This is a <b>sentence</b> of the article, long enough to be read; it has commas, and ends here, after which another begins that says as little, but says it at length. {i}</p>" for i in range(8))
+
+
+def cleaned(spark, *texts):
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
+    return {r["id"]: r for r in mk.clean(df, "id", "text").collect()}
+
+
+def test_tag_path_ratios_drop_boilerplate(spark):
+    got = cleaned(spark, NAV.format("") + "<div><article>" + BODY + "</article></div>", *[f"<p>Another sentence that is about as long as those above, and no less dull. {i}</p>" for i in range(5)], "<div><nav><a>Home</a></nav></div><p>A <b>b</b> c.</p>")
+    assert "Link 5" not in got["0"].text and "a sentence of the article" in got["0"].text
+    # Short documents are judged by what the paths hold elsewhere.
+    assert "Home" not in got["6"].text and "A b c." in got["6"].text
     assert "Link" in mk.parse("<div><span>Link</span></div>")[1]
 
 
-def test_kinds_of_nodes_that_are_left_out():
-    nav = "<div><nav>" + "".join(f"<span>Link {i}</span>" for i in range(12)) + "<span>[[Q|r]]</span> <span>**b** x</span><span>\\emph{y}</span></nav></div>"
-    body = "".join(f"<p>This is a sentence of the article, long enough to be read; it has commas, and ends here. {i}</p>" for i in range(8))
-    kinds, text = mk.parse(nav + "<div><article>" + body + "</article></div>")
-    assert kinds == list(mk.KINDS) and "Link" not in text and "[[" not in text
+def test_kinds_of_nodes_that_are_left_out(spark):
+    r = cleaned(spark, NAV.format("<span>[[Q|r]]</span> <span>**b** x</span><span>\\emph{y}</span>") + "<div><article>" + BODY + "</article></div>")["0"]
+    assert r.kinds == list(mk.KINDS) and "Link" not in r.text and "[[" not in r.text
+
+
+@pytest.mark.parametrize("depth", [1, 4, 50, 3000])
+def test_any_depth(depth):
+    assert mk.parse("a " + "{{A|" * depth + "x" + "}}" * depth + " b") == (["wiki"], "a x b")
+    assert mk.parse("a " + "\\textbf{" * depth + "x" + "}" * depth + " b") == (["latex"], "a x b")
+    assert mk.parse("a $x^2$ " + "\\frac{" * depth + "x" + "}{y}" * depth + " b")[1].endswith("x" + "}{y}" * depth + "$ b")
+
+
+def test_templates():
+    assert mk.parse("{{Note|a|k=b {{C|d = e}} f}} g")[1] == "a b e f g"
+    assert mk.parse("{{A|{x} }} and {{A|y}}")[1] == "{{A|{x} }} and y"
+    assert mk.parse("{{ no_template }} {{A|y")[0] == []
+
+
+def test_formulas_outside_dollars_are_kept():
+    assert mk.parse(r"We need \alpha \leq \beta for this bound.") == (["latex"], r"We need $\alpha \leq \beta$ for this bound.")
+    assert mk.parse(r"\section{A} It is \frac{1}{\sqrt{n}} + \sum_{i} x_i, see \cite{knuth} and Section~\ref{sec:b}.")[1] == "# A\n It is $\\frac{1}{\\sqrt{n}} + \\sum_{i}$ x_i, see [knuth] and Section sec:b."
+
+
+def test_every_character_of_the_text_stays():
+    private = "".join(map(chr, range(0xE000, 0xE010)))
+    assert mk.parse(f"a {private} `b` c")[1] == f"a {private} `b` c"
+    assert mk.parse("a \ue0000; `b`")[1] == "a \ue0000; `b`"
+
+
+@pytest.mark.parametrize("bit", ["<pre>", "<code x>", "<!--", "<!DOCTYPE ", "$$ a ", "\\[", "\\( a", "`a ``", "``` ", "\\verb|", "<nowiki>", "{{A|", "{{", "}}", "\\textbf{", "\\frac{", "\\alpha_{", "[[", "$a ", "<a \"", "**", "''", "~~", "<div>", "</div>"])
+def test_openers_without_end_take_linear_time(bit):
+    import time
+
+    def took(n):
+        t = time.process_time()
+        mk.parse("x " + bit * n)
+        return time.process_time() - t
+
+    took(100)
+    assert took(16_000) < 8 * 4 * max(took(4_000), 0.02)
 
 
 def test_table(spark):

@@ -1,9 +1,10 @@
 """Scores for abusive, hateful and sexual content: a weighted lexicon matched by Aho-Corasick on folded text.
 
 Folding undoes the usual disguises: letters of other scripts, digits and signs for letters, invisible characters, accents, letters set
-apart, stretched letters, and stars for letters where one word of the lexicon fits. Exception phrases cover technical and
-neutral uses: what lies in one is not counted. A document is a case of a category if one of its sentences is; its
-score is the weight found in it for each hundred words.
+apart, stretched letters, and stars for letters, which match any word of the lexicon that fits. Exception phrases cover technical and
+neutral uses: what lies in one is not counted. Weights are normalised by length: what counts is the weight for each hundred
+words of a sentence, or of a stretch of ``STRETCH_WORDS`` words of a longer one. A document is a case of a category if one of its
+sentences reaches the threshold; its score is the weight of those sentences for each hundred words of the document.
 """
 
 from __future__ import annotations
@@ -24,10 +25,15 @@ SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 TOKEN = re.compile(r"[a-z0-9@$*|+]+(?:!(?=[a-z0-9]))?[a-z0-9@$*|+]*")
 APART = re.compile(r"(?<![^\W_])[^\W_](?:[ .\-_·*][^\W_]){2,}(?![^\W_])")
 STRETCH = re.compile(r"([a-z])\1{2,}")
+#: Kinds of entries that are abusive by their company.
+INSULTS = ("slur", "beast", "rough")
 DISGUISED = re.compile(r"[0-9@$|+!*]")
-THRESHOLD = 1.0
-#: Readings of a sentence with stars for letters that are tried.
-READINGS = 8
+#: Words of a stretch: shorter sentences count as this long, longer ones are read in stretches that overlap by half.
+STRETCH_WORDS = 40
+#: Weight for each hundred words of a sentence from which it is a case: a weight of 1 in a stretch.
+THRESHOLD = 2.5 - 1e-9
+#: Contempt of this weight is hateful without the name of a group; weaker words count by this part then.
+STRONG, UNNAMED = 0.8, 0.3
 
 
 class Lexicon:
@@ -36,55 +42,104 @@ class Lexicon:
     def __init__(self) -> None:
         import ahocorasick
 
-        self.automaton = ahocorasick.Automaton()
-        entries: dict[str, list[tuple[str, float]]] = {}
+        entries: dict[str, dict[str, float]] = {}
 
-        def add(phrase: str, kind: str, weight: float) -> None:
-            entries.setdefault(phrase, []).append((kind, weight))
+        def add(phrases: str | list[str], kind: str, weight: float) -> None:
+            for p in phrases.split(",") if isinstance(phrases, str) else phrases:
+                kinds = entries.setdefault(p, {})
+                kinds[kind] = max(weight, kinds.get(kind, 0.0))
 
         for kind, weights in zip(CATEGORIES, (lx.ABUSIVE, lx.HATEFUL, lx.SEXUAL), strict=True):
             for weight, phrases in weights.items():
-                for p in phrases.split(","):
-                    add(p, kind, weight)
-        for s in lx.SLURS:
-            add(s, "slur", 0.5)
-            add(f"{s} proof", "exception", 0.0)
-        for a in ("you", "your", "yours", "yourself", "u", "ur", "du", "dich", "dir", "dein", "tu", "te", "t es", "toi", "eres", "tus", "you re"):
-            add(a, "address", 0.0)
-        for g in lx.GROUPS:
-            add(g, "group", 0.0)
-        for e in lx.EXCEPTIONS:
-            add(e, "exception", 0.0)
-        for phrase, what in entries.items():
+                add(phrases, kind, weight)
+        both = lambda first, second: [f"{a} {b}" for a in first for b in second]
+        add(both(lx.VIOLENT, lx.PERSON), "abusive", 1.0)
+        add(both(lx.ROUGH, lx.PERSON), "rough", 0.6)
+        add(both(lx.WISH, lx.HARM), "abusive", 1.0)
+        add(lx.CONTEMPTUOUS, "abusive", 0.4)
+        add(both(lx.ADDRESSED, lx.CONTEMPTUOUS), "abusive", 1.0)
+        add(lx.ANNOUNCED, "announced", 0.0)
+        add(both(lx.OUT_OF, lx.PLACES), "hateful", 0.4)
+        add(lx.SLURS, "slur", 0.5)
+        add(lx.BEASTS, "beast", 0.5)
+        add(both(lx.CALLED, lx.BEASTS), "slur", 0.5)
+        add([f"{s} proof" for s in lx.SLURS + lx.BEASTS] + lx.EXCEPTIONS, "exception", 0.0)
+        add(lx.ADDRESS, "address", 0.0)
+        add(lx.GROUPS, "group", 0.0)
+        self.automaton = ahocorasick.Automaton()
+        #: The same phrases word by word, for texts with stars: word -> what follows; under "" what ends here.
+        self.trie: dict = {}
+        common = frozenset(lx.COMMON)
+        #: One word of each phrase with a weight, the rarest; a text without any of them holds no weight.
+        self.core: set[str] = set()
+        for phrase, kinds in entries.items():
+            what = [*kinds.items()]
             self.automaton.add_word(f" {phrase} ", (len(phrase), what))
+            node = self.trie
+            for w in phrase.split():
+                node = node.setdefault(w, {})
+            node[""] = what
+            if any(weight for _, weight in what):
+                self.core.add(max(phrase.split(), key=lambda w: (w not in common, len(w), w)))
         self.automaton.make_automaton()
-        self.words = {w for p, what in entries.items() if what[0][0] != "exception" for w in p.split()}
-        # Other words of disguised phrases carry no weight but keep phrases whole.
+        self.telling = frozenset(self.core) | {g.split()[-1] for g in lx.GROUPS}
+        # Words of exceptions keep phrases whole but nothing stands for them in disguise.
+        self.words = {w for p, kinds in entries.items() if set(kinds) != {"exception"} for w in p.split()}
         self.by_shape: dict[tuple[int, str], list[str]] = {}
         for w in sorted(self.words):
             self.by_shape.setdefault((len(w), w[0]), []).append(w)
 
     @functools.lru_cache(maxsize=100_000)  # noqa: B019
-    def readings(self, token: str) -> tuple[str, ...]:
-        """What a token may stand for; itself if nothing in the lexicon fits."""
+    def reading(self, token: str) -> str:
+        """What a token stands for: itself if nothing in the lexicon fits; stars are kept where a word of the lexicon does."""
         bare = token.strip("*")
-        if not bare or bare in self.words or not bare.isascii():
-            return (bare or token,)
+        if not bare or not bare.isascii():
+            return bare or token
+        if token.endswith("**") and not token.startswith("*") and self.fits(token):
+            return token
+        if bare in self.words:
+            return bare
         if "*" in bare:
-            shape = re.compile("".join("." if c == "*" else re.escape(lx.SUBSTITUTES.get(c, c)) for c in bare))
-            fits = [w for w in self.by_shape.get((len(bare), bare[0]), ()) if shape.fullmatch(w)]
-            return tuple(fits[:READINGS]) or (bare,)
+            return bare if self.fits(bare) else bare.replace("*", "")
         if DISGUISED.search(bare) and any(c.isalpha() for c in bare) or bare.isdigit() and len(bare) > 2:
             first = "".join(lx.SUBSTITUTES.get(c, c) for c in bare)
             second = "".join("l" if c in "1|" else lx.SUBSTITUTES.get(c, c) for c in bare)
             for r in (first, second):
                 if r in self.words:
-                    return (r,)
+                    return r
         if STRETCH.search(bare):
             for r in (STRETCH.sub(r"\1", bare), STRETCH.sub(r"\1\1", bare)):
                 if r in self.words:
-                    return (r,)
-        return (bare,)
+                    return r
+        return bare
+
+    @functools.lru_cache(maxsize=100_000)  # noqa: B019
+    def fits(self, masked: str) -> frozenset[str]:
+        """The words of the lexicon that a token with stars for letters may be, however many."""
+        shape = re.compile("".join("." if c == "*" else re.escape(lx.SUBSTITUTES.get(c, c)) for c in masked))
+        return frozenset(w for w in self.by_shape.get((len(masked), masked[0]), ()) if shape.fullmatch(w))
+
+    def masked_hits(self, tokens: list[str]) -> list[tuple[int, int, str, float]]:
+        """Hits (from, to, kind, weight) of phrases over a word with stars, which is every word that fits at once; no exceptions."""
+        starts, at = [], 1
+        for t in tokens:
+            starts.append(at)
+            at += len(t) + 1
+        out = []
+        for i in range(len(tokens)):
+            nodes = [(self.trie, False)]
+            for j in range(i, len(tokens)):
+                t = tokens[j]
+                words = self.fits(t) if "*" in t else (t,)
+                nodes = [(n[w], m or "*" in t) for n, m in nodes for w in words if w in n]
+                if not nodes:
+                    break
+                best: dict[str, float] = {}
+                for n, m in nodes:
+                    for kind, weight in n.get("", ()) if m else ():
+                        best[kind] = max(weight, best.get(kind, 0.0))
+                out += [(starts[i], starts[j] + len(t), k, x) for k, x in best.items() if k != "exception"]
+        return out
 
     def join(self, m: re.Match) -> str:
         """Letters set apart, joined where that gives words of the lexicon; the longest ones first from the left."""
@@ -102,21 +157,39 @@ class Lexicon:
                 i += 1
         return m[0] if len(out) == len(letters) else " ".join(out)
 
-    def weigh(self, line: str) -> tuple[dict[str, float], bool, float]:
-        """Weights of a sentence by category without the group's part, whether a group is named in it, and their greatest value."""
+    @staticmethod
+    def likeliest(masked: list[tuple[int, int, str, float]], plain: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+        """Of what a word with stars may be, the longest phrase; in several categories, the one that the plain words of the sentence speak for most."""
+        masked = [h for h in masked if not any((a < h[0] and h[1] <= b) or (a <= h[0] and h[1] < b) for a, b, _, _ in masked)]
+        of = lambda kind: kind if kind in CATEGORIES else "abusive" if kind in INSULTS else None
+        known = dict.fromkeys(CATEGORIES, 0.0)
+        for _, _, kind, weight in plain:
+            if c := of(kind):
+                known[c] += weight
+        choice: dict[tuple[int, int], tuple[float, float, str]] = {}
+        for a, b, kind, weight in masked:
+            if c := of(kind):
+                choice[a, b] = max(choice.get((a, b), (-1.0, 0.0, "")), (known[c], weight, c))
+        return [h for h in masked if of(h[2]) in (None, choice.get(h[:2], (0.0, 0.0, None))[2])]
+
+    def weigh(self, tokens: list[str]) -> tuple[dict[str, float], bool]:
+        """Weights of a sentence by category without the group's part, and whether a group is named in it."""
+        line = f" {' '.join(tokens)} "
         covered: list[tuple[int, int]] = []
         hits: list[tuple[int, int, str, float]] = []
         for end, (n, what) in self.automaton.iter(line):
-            a, b = end - n, end
             for kind, weight in what:
                 if kind == "exception":
-                    covered.append((a, b))
+                    covered.append((end - n, end))
                 else:
-                    hits.append((a, b, kind, weight))
+                    hits.append((end - n, end, kind, weight))
+        if "*" in line:
+            hits += self.likeliest(self.masked_hits(tokens), hits)
         if not hits:
-            return {}, False, 0.0
+            return {}, False
         out = dict.fromkeys(CATEGORIES, 0.0)
-        group = address = slur = False
+        seen = dict.fromkeys(("group", "address", "announced", *INSULTS), 0.0)
+        strong = 0.0  # contempt that needs no name of a group beside it
         # A phrase counts for what it covers; shorter ones inside it add nothing.
         hits.sort(key=lambda h: (h[2], h[0] - h[1], h[0]))
         taken: dict[str, list[tuple[int, int]]] = {}
@@ -124,18 +197,32 @@ class Lexicon:
             if any(x <= a and b <= y for x, y in covered) or any(x <= a and b <= y for x, y in taken.get(kind, ())):
                 continue
             taken.setdefault(kind, []).append((a, b))
-            if kind == "group":
-                group = True
-            elif kind == "address":
-                address = True
-            elif kind == "slur":
-                slur = True
-                out["abusive"] += weight
-            else:
-                out[kind] += weight
-        if slur and address:
+            if kind in seen:
+                seen[kind] = max(seen[kind], weight, 0.1)
+                weight = weight if kind in INSULTS else 0.0
+                kind = "abusive"
+            elif kind == "hateful" and weight >= STRONG:
+                strong += weight
+            out[kind] += weight
+        # A slur said to somebody; the name of a beast only if it is called so or other abuse is near.
+        if seen["address"] and (seen["slur"] or seen["beast"] and out["abusive"] > seen["beast"] + 1e-9):
             out["abusive"] += 0.5
-        return out, group, max(out.values())
+        out["weak"] = out["hateful"] - strong
+        if seen["rough"] and seen["announced"]:
+            out["abusive"] += 0.4
+        return out, bool(seen["group"])
+
+    def may_hold(self, tokens: list[str], text: str) -> bool:
+        """Whether a text can hold any weight at all: the rarest word of some phrase, plain or in disguise."""
+        return not self.core.isdisjoint(tokens) or any(map(self.disguises, set(tokens))) or APART.search(text) is not None
+
+    @functools.lru_cache(maxsize=200_000)  # noqa: B019
+    def disguises(self, token: str) -> bool:
+        """Whether a token that is no word of the lexicon may stand for one."""
+        if not DISGUISED.search(token) and not STRETCH.search(token):
+            return False
+        r = self.reading(token)
+        return r in self.core or "*" in r
 
 
 @functools.lru_cache(maxsize=1)
@@ -157,34 +244,44 @@ def fold(text: str) -> str:
 
 
 def score(text: str | None) -> tuple[int, dict[str, float], dict[str, float]]:
-    """Number of words; weight by category over all sentences that are cases; greatest weight of a sentence by category."""
+    """Number of words; weight by category over all sentences that are cases; greatest weight for a hundred words of a sentence by category."""
     total, most = dict.fromkeys(CATEGORIES, 0.0), dict.fromkeys(CATEGORIES, 0.0)
     if not text:
         return 0, total, most
     lex = lexicon()
+    text = fold(text)
+    tokens = TOKEN.findall(text)
+    if not lex.may_hold(tokens, text):
+        return len(tokens), total, most
     n, group_before = 0, False
-    for s in SENTENCE.split(fold(text)):
-        s = APART.sub(lex.join, s)
-        tokens = TOKEN.findall(s)
+    for s in SENTENCE.split(text):
+        tokens = [t if t in lex.words else lex.reading(t) for t in TOKEN.findall(APART.sub(lex.join, s))]
         if not tokens:
             continue
         n += len(tokens)
-        lines = [" "]
-        for t in tokens:
-            options = lex.readings(t) if t not in lex.words else (t,)
-            if len(options) == 1 or len(lines) * len(options) > READINGS:
-                lines = [x + options[0] + " " for x in lines]
+        if lex.telling.isdisjoint(tokens) and not any("*" in t for t in tokens):
+            group_before = False
+            continue
+        group_here = False
+        sums = dict.fromkeys(CATEGORIES, 0.0)
+        for i in range(0, max(1, len(tokens) - STRETCH_WORDS // 2), STRETCH_WORDS // 2):
+            weights, group = lex.weigh(tokens[i : i + STRETCH_WORDS])
+            group_here |= group
+            if not weights:
+                continue
+            weak = weights.pop("weak")
+            if group or group_before:
+                weights["hateful"] += 0.5 if weights["hateful"] else 0.0
             else:
-                lines = [x + o + " " for x in lines for o in options]
-        best, group, _ = max((lex.weigh(x) for x in lines), key=lambda r: r[2])
-        if best:
-            if (group or group_before) and best["hateful"]:
-                best["hateful"] += 0.5
+                weights["hateful"] -= weak * (1.0 - UNNAMED)
             for c in CATEGORIES:
-                most[c] = max(most[c], best[c])
-                if best[c] >= THRESHOLD:
-                    total[c] += best[c]
-        group_before = group
+                sums[c] = max(sums[c], weights[c])
+        for c in CATEGORIES:
+            density = 100.0 * sums[c] / STRETCH_WORDS
+            most[c] = max(most[c], density)
+            if density >= THRESHOLD:
+                total[c] += sums[c]
+        group_before = group_here
     return n, total, most
 
 

@@ -37,6 +37,42 @@ def test_disguises(said):
     assert found(f"What kind of {said} are you?") == {"abusive"}
 
 
+#: Texts made up after the lexicon, none of them from any table.
+FRESH = {
+    "abusive": ["you absolute nincompoop", "I will stab you tonight", "I'm going to break your legs if you merge this.", "Kill yourself, nobody would miss you.", "You are pathetic and your code is too.", "Go f*** yourself, you w****r.", "Somebody should strangle you.", "Du bist ein Arschloch.", "Ta gueule, connard!", "U r an idi0t", "Shut your mouth, you weasel."],
+    "hateful": ["All Finns are thieving animals", "Jews are vermin.", "Deport all immigrants, they are criminals.", "Muslims should not be allowed here, they are savages.", "We hate Mexicans and they should be shot.", "Women are inferior and belong in the kitchen.", "Romanians: liars and thieves, every single one of them.", "Get rid of them, those refugees are parasites."],
+    "sexual": ["She moaned while he caressed her breasts.", "Looking for casual sex tonight?", "Free porn, hot milf videos.", "I want you naked in my bed tonight.", "He unzipped and she gave him a blowjob."],
+}
+FRESH_NEUTRAL = [
+    "If you kill the worker, the queue drains.", "Don't let the name fool you: this is a cache.", "You can beat the baseline with a larger batch.", "A rat in the maze benchmark is an agent, you can configure it.", "This will cut your bill in half.",
+    "The disabled flag hides dirty rows.", "Women and men were surveyed equally; all of them answered.", "The sex column holds m or f.", "Hot paths are inlined; explicit is better than implicit.", "German and French people use different separators.",
+    "His liver disease was treated; the plague of 1665 killed many in London.", "I hate merge conflicts and typical off-by-one errors.", "You killed the build again.", "The breast cancer data set has 569 rows.", "The clown fish uses you as an example.",
+]
+
+
+@pytest.mark.parametrize(("kind", "text"), [(k, t) for k, ts in FRESH.items() for t in ts])
+def test_fresh_cases(kind, text):
+    assert found(text) == {kind}
+
+
+@pytest.mark.parametrize("text", FRESH_NEUTRAL)
+def test_fresh_neutral(text):
+    assert found(text) == set()
+
+
+def test_any_number_of_words_with_stars():
+    assert found("Sh** up, you m***n, cr*wl b*ck to wh*re you c*me fr*m, you p**hetic sc**bag, *and* take your g*rb*ge and your tr*sh with you") == {"abusive"}
+    assert found("what a **moron** you are") == found("t**t like you") | {"abusive"} == {"abusive"}
+    assert found("s*** f*** b*** c*** d*** e*** g*** h*** i*** k*** l*** m*** " * 50) <= set(md.CATEGORIES)
+
+
+def test_weights_are_normalised_by_length():
+    """What adds up to a case in a sentence does not if it is strewn over a long one; a case within a long one stays."""
+    filler = "the cache is merged and the queue is drained before the index is built again " * 6
+    assert found("trash garbage damn crap") == {"abusive"} and found(f"trash {filler} garbage {filler} damn {filler} crap") == set()
+    assert found(f"{filler} what kind of moron are you {filler}") == {"abusive"}
+
+
 def test_score_is_by_length(spark):
     short, long = "You disgust me.", "You disgust me. " + "The merge is fine here. " * 50
     rows = [(1, short, "s", "x"), (2, long, "s", "x"), (3, None, None, "x"), (4, "", "t", "x"), (1, short, "s", "x")]

@@ -4,9 +4,11 @@ Messages are read (roles in any usual spelling, times in any of the notations),
 conversation is checked as a sequence of turns. Nothing here holds a whole conversation in one task: order is established
 within hours of a conversation, and hours are joined by what stands first and last in them.
 
-Clocks. A reply cannot precede what it answers, nor follow the next question. Each pair of such messages bounds the offset
-between the clocks of the two senders; the least-squares correction under those bounds is the point of the feasible
-interval next to zero, and an empty interval means that no offset explains the times.
+Clocks. A reply cannot precede what it answers, nor follow the next question. Each pair of such messages bounds the offset between
+the clocks of its two senders. The users' clocks are the reference, and one assistant serves a workspace, so all conversations
+of a workspace bound one offset. What most of them allow is an interval; the least-squares correction is its point next to zero,
+or, where the bounds contradict each other, the point that violates both least. Times are corrected by it, and conversations whose turns
+are in an impossible order all the same are rejected.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import checkpoint_dir
+
 #: Spellings of roles in exports of chats, by the role they mean.
 ROLES = {
     "user": ("user", "human", "customer", "client", "prompter", "person", "end_user", "usr"),
@@ -23,6 +27,10 @@ ROLES = {
 }
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 HOUR_MS = 3_600_000
+#: Pairs from which the clock of a sender is estimated; with fewer it is taken to be right.
+LEAST_PAIRS = 20
+#: In place of the bound that a last reply does not have.
+NEVER_MS = 1 << 50
 
 
 def read_role(c: Column) -> Column:
@@ -66,16 +74,12 @@ def read_messages(messages: DataFrame, with_text: bool = False) -> DataFrame:
     return rows.groupBy("conversation_id", "role", "request_id", "content_hash").agg(F.min("at").alias("at"), *([F.min("content").alias("content")] if with_text else []))
 
 
-def clock_offsets(turns: DataFrame) -> DataFrame:
-    """``conversation_id, pairs, low_ms, high_ms, offset_ms, feasible``: the assistant's clock against the user's.
-
-    ``turns`` as from read_messages. A pair is the user's and the assistant's message of one request. With d the reply's
-    delay as stamped and e the time from a reply as stamped to the user's next message, an offset o added to the assistant's
-    times must keep d + o >= 0 and o <= e for all pairs. The offset of least squares (least o², the clocks being taken as shared
-    unless the bounds say otherwise) is 0 clamped to [max(-d), min(e)]; if that interval is empty the constraints are infeasible,
-    offset is null. Conversations without pairs do not appear. Turns without role or time give no bound.
+def pair_bounds(turns: DataFrame) -> DataFrame:
+    """``conversation_id, low, high``: between what an offset added to a reply's time must lie, one row for each pair; high is null for a last one.
 
-    The user's next message is found by request, among the starts of the conversation's requests in order of the user's clock.
+    ``turns`` as from read_messages. A pair is the user's and the assistant's message of one request. The reply must not precede the question
+    (low) nor follow the user's next message (high), which is found among the starts of the conversation's requests in order of the user's clock.
+    Turns without role, time or request give no bound.
     """
     usable = turns.where(F.col("at").isNotNull() & F.col("role").isin("user", "assistant") & F.col("request_id").isNotNull())
     asked = usable.groupBy("conversation_id", "request_id").agg(F.min(F.when(F.col("role") == "user", F.col("at"))).alias("u"), F.min(F.when(F.col("role") == "assistant", F.col("at"))).alias("a"))
@@ -84,24 +88,54 @@ def clock_offsets(turns: DataFrame) -> DataFrame:
     later = firsts.withColumn("after", F.lead("first").over(W.partitionBy("conversation_id").orderBy("h"))).select("conversation_id", "h", "after")
     within = hours.withColumn("next", F.lead("u").over(W.partitionBy("conversation_id", "h").orderBy("u", "request_id")))
     bounds = within.join(later, ["conversation_id", "h"]).withColumn("next", F.coalesce("next", "after"))
-    out = bounds.where(F.col("a").isNotNull()).groupBy("conversation_id").agg(
-        F.count("*").alias("pairs"), F.max(F.col("u") - F.col("a")).alias("low_ms"), F.min(F.col("next") - F.col("a")).alias("high_ms")
-    )
+    return bounds.where(F.col("a").isNotNull()).select("conversation_id", (F.col("u") - F.col("a")).alias("low"), (F.col("next") - F.col("a")).alias("high"))
+
+
+def clock_offsets(turns: DataFrame) -> DataFrame:
+    """``conversation_id, pairs, low_ms, high_ms, offset_ms, feasible``: the offset that one conversation's own pairs ask for.
+
+    It is the least (the clocks being taken as shared unless the bounds say otherwise) that meets all bounds: 0 clamped to the interval from
+    the greatest low to the least high. If that is empty the constraints are infeasible, and offset is null. Conversations without pairs do not appear.
+    """
+    out = pair_bounds(turns).groupBy("conversation_id").agg(F.count("*").alias("pairs"), F.max("low").alias("low_ms"), F.min("high").alias("high_ms"))
     feasible = F.col("high_ms").isNull() | (F.col("low_ms") <= F.col("high_ms"))
     offset = F.greatest(F.col("low_ms"), F.least(F.lit(0).cast("bigint"), F.coalesce("high_ms", F.lit(0).cast("bigint"))))
     return out.withColumn("feasible", feasible).withColumn("offset_ms", F.when(feasible, offset))
 
 
-def correct(turns: DataFrame, offsets: DataFrame | None, max_offset_ms: int) -> DataFrame:
-    """``turns`` with the assistants' times corrected by offsets of at most ``max_offset_ms``; larger ones count as no clock error.
+def _senders(conversations: DataFrame, sender: str) -> DataFrame:
+    name = F.min(F.col(sender).cast("string")) if sender in conversations.columns else F.min(F.lit(None).cast("string"))
+    return conversations.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("conversation_id")).agg(name.alias("sender"))
 
-    With 0 all clocks are one clock, and the times stay.
+
+def sender_offsets(turns: DataFrame, conversations: DataFrame, sender: str = "workspace_id", least_pairs: int = LEAST_PAIRS) -> DataFrame:
+    """``sender, pairs, low_ms, high_ms, offset_ms``: what must be added to the times of each assistant, one for each value of ``sender``.
+
+    low and high are medians over all pairs of the sender's conversations: half the pairs allow no less, half no more. A conversation that is
+    out of order by itself is thus outvoted, and a clock that is wrong shows in most. Between them the least-squares offset is 0 clamped to the
+    interval; if they contradict each other, their mean. Unknown conversations and those without a sender share one. Medians are exact up
+    to 10,000 distinct values and within 1/10,000 of the rank beyond; they are taken map-side first, so one sender may hold any share of the rows.
+    """
+    b = pair_bounds(turns).join(_senders(conversations, sender), "conversation_id", "left")
+    half = lambda c: F.percentile_approx(c, 0.5, 10_000)
+    g = b.groupBy("sender").agg(F.count("*").alias("pairs"), half("low").alias("low_ms"), half(F.coalesce("high", F.lit(NEVER_MS))).alias("high_ms"))
+    zero = F.lit(0).cast("bigint")
+    offset = F.when(F.col("pairs") < least_pairs, zero).when(F.col("low_ms") <= F.col("high_ms"), F.greatest(F.col("low_ms"), F.least(zero, F.col("high_ms")))).otherwise(F.floor((F.col("low_ms") + F.col("high_ms")) / 2))
+    return g.withColumn("offset_ms", offset)
+
+
+def correct(turns: DataFrame, conversations: DataFrame, sender: str = "workspace_id", least_pairs: int = LEAST_PAIRS) -> DataFrame:
+    """``turns`` with the assistants' times corrected by sender_offsets().
+
+    The offsets that are not zero are made first and written; as a rule there are none, and the turns are passed on without being joined.
     """
-    if not max_offset_ms:
+    checkpoint_dir(turns.sparkSession)
+    off = sender_offsets(turns, conversations, sender, least_pairs).where("offset_ms <> 0").select("sender", "offset_ms").checkpoint()
+    if off.isEmpty():
         return turns
-    use = offsets.where(F.col("offset_ms").between(-max_offset_ms, max_offset_ms) & (F.col("offset_ms") != 0)).select("conversation_id", F.col("offset_ms").alias("__o"))
-    moved = F.col("at") + F.when(F.col("role") == "assistant", F.coalesce("__o", F.lit(0))).otherwise(0)
-    return turns.join(use, "conversation_id", "left").withColumn("at", moved).drop("__o")
+    here = turns.join(_senders(conversations, sender), "conversation_id", "left").withColumnRenamed("sender", "__s")
+    moved = F.col("at") + F.when(F.col("role") == "assistant", F.coalesce("offset_ms", F.lit(0))).otherwise(0)
+    return here.join(off, F.col("__s").eqNullSafe(F.col("sender")), "left").withColumn("at", moved).drop("__s", "sender", "offset_ms")
 
 
 def sequence_flags(turns: DataFrame) -> DataFrame:
@@ -136,15 +170,18 @@ def sequence_flags(turns: DataFrame) -> DataFrame:
     )
 
 
-def rejected(messages: DataFrame, conversations: DataFrame, max_offset_ms: int = 0) -> DataFrame:
+def rejected(messages: DataFrame, conversations: DataFrame, sender: str = "workspace_id", least_pairs: int = LEAST_PAIRS) -> DataFrame:
     """``conversation_id, reason``: the conversations to drop, each with the first reason that applies.
 
     ``empty``: no turn besides those of system. ``broken``: unknown in conversations, a role or time that can't be read, or turns in an
-    order that no reply-before constraint allows. ``no_reply``: a user's turn that nobody answers. Null ids never appear;
+    order that no reply-before constraint allows at the senders' clocks. ``no_reply``: a user's turn that nobody answers. Null ids never appear;
     repeated rows of either table change nothing; ids known to one table only are judged like the rest.
     """
     turns = read_messages(messages)
-    turns = correct(turns, clock_offsets(turns) if max_offset_ms else None, max_offset_ms)
+    return _rejected(messages, conversations, correct(turns, conversations, sender, least_pairs))
+
+
+def _rejected(messages: DataFrame, conversations: DataFrame, turns: DataFrame) -> DataFrame:
     known = conversations.where(F.col("id").isNotNull()).select(F.col("id").alias("conversation_id")).distinct().withColumn("known", F.lit(True))
     # Ids of messages whose rows are all blank are conversations too.
     ids = messages.where(F.col("conversation_id").isNotNull()).select("conversation_id").distinct()
@@ -154,15 +191,14 @@ def rejected(messages: DataFrame, conversations: DataFrame, max_offset_ms: int =
     return flags.select("conversation_id", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
-def assemble(messages: DataFrame, conversations: DataFrame, max_offset_ms: int = 0) -> DataFrame:
+def assemble(messages: DataFrame, conversations: DataFrame, sender: str = "workspace_id", least_pairs: int = LEAST_PAIRS) -> DataFrame:
     """``conversation_id, turn, role, at, content``: the turns of the conversations that are kept, numbered from 1 in order of time.
 
     System messages are turns here; at equal times system comes before user and user before assistant, then by request and hash. Turns
     are numbered within hours and shifted by the turns of the hours before, so that no task sorts a whole conversation.
     """
-    turns = read_messages(messages, with_text=True)
-    turns = correct(turns, clock_offsets(turns) if max_offset_ms else None, max_offset_ms)
-    keep = turns.join(rejected(messages, conversations, max_offset_ms), "conversation_id", "left_anti").withColumn("h", F.floor(F.col("at") / HOUR_MS))
+    turns = correct(read_messages(messages, with_text=True), conversations, sender, least_pairs)
+    keep = turns.join(_rejected(messages, conversations, turns), "conversation_id", "left_anti").withColumn("h", F.floor(F.col("at") / HOUR_MS))
     rank = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
     numbered = keep.withColumn("n", F.row_number().over(W.partitionBy("conversation_id", "h").orderBy("at", rank, "request_id", "content_hash")))
     hours = keep.groupBy("conversation_id", "h").agg(F.count("*").alias("k"))

@@ -11,7 +11,7 @@ from . import leakage, markup, moderation, ranking, splitting, tokens, vectors
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations to drop. Times are taken as stamped: the order of created_at is the order of the turns here."""
+    """Conversations to drop, at the clocks of the senders; where those are right, as in the supplied tables, times stay as stamped."""
     return conv.rejected(load(spark, sf_dir, "messages"), load(spark, sf_dir, "conversations"))
 
 
@@ -22,10 +22,15 @@ def p1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_clock_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The assistant's clock against the user's in each conversation, by least squares under the reply-before constraints."""
+    """The assistant's clock against the user's that each conversation by itself asks for."""
     return conv.clock_offsets(conv.read_messages(load(spark, sf_dir, "messages")))
 
 
+def p1_sender_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clock of each workspace's assistant against its users', by least squares under the constraints of all its conversations."""
+    return conv.sender_offsets(conv.read_messages(load(spark, sf_dir, "messages")), load(spark, sf_dir, "conversations"))
+
+
 #: The entries of context_symbols.scores.
 SCORES = ("graph_score", "semantic_score", "lexical_score", "intent_weight")
 
@@ -122,7 +127,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moderation.rates(moderation.score_documents(load(spark, sf_dir, "documents"), keep=("source",)))
 
 
-QUERIES = {"p5_found": p5_found, "p5_clean": p5_clean, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p8_found": p8_found, "p8_alignments": p8_alignments, "p6_found": p6_found, "p6_pieces": p6_pieces, "p3_found": p3_found, "p3_embeddings": p3_embeddings, "p7_ids": p7_ids, "p2_found": p2_found, "p2_closeness": p2_closeness, "p1_found": p1_found, "p1_turns": p1_turns, "p1_clock_offsets": p1_clock_offsets}
+QUERIES = {"p5_found": p5_found, "p5_clean": p5_clean, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p8_found": p8_found, "p8_alignments": p8_alignments, "p6_found": p6_found, "p6_pieces": p6_pieces, "p3_found": p3_found, "p3_embeddings": p3_embeddings, "p7_ids": p7_ids, "p2_found": p2_found, "p2_closeness": p2_closeness, "p1_found": p1_found, "p1_turns": p1_turns, "p1_clock_offsets": p1_clock_offsets, "p1_sender_offsets": p1_sender_offsets}
 
 #: Messages as read, shared by the statements of problem 1.
 _READ = r"""
@@ -191,6 +196,13 @@ SELECT feedback_token, uid FROM r JOIN l USING (feedback_token) WHERE rn <= n"""
     "p1_turns": f"""WITH {_READ}, {_FOUND}
 SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY "at", CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, request_id NULLS FIRST, content_hash NULLS FIRST) AS turn,
 role, "at", content FROM msg WHERE conversation_id NOT IN (SELECT conversation_id FROM found WHERE reason IS NOT NULL)""",
+    "p1_sender_offsets": f"""WITH {_READ},
+asked AS (SELECT conversation_id, request_id, min("at") FILTER (WHERE role = 'user') AS u, min("at") FILTER (WHERE role = 'assistant') AS a FROM msg
+  WHERE "at" IS NOT NULL AND role IN ('user', 'assistant') AND request_id IS NOT NULL GROUP BY 1, 2),
+nx AS (SELECT *, lead(u) OVER (PARTITION BY conversation_id ORDER BY u, request_id) AS n FROM asked WHERE u IS NOT NULL),
+s AS (SELECT id AS conversation_id, min(workspace_id) AS sender FROM conversations WHERE id IS NOT NULL GROUP BY 1),
+g AS (SELECT sender, count(*) AS pairs, quantile_disc(u - a, 0.5) AS low_ms, quantile_disc(coalesce(n - a, {conv.NEVER_MS}), 0.5) AS high_ms FROM nx LEFT JOIN s USING (conversation_id) WHERE a IS NOT NULL GROUP BY 1)
+SELECT *, CASE WHEN pairs < 20 THEN 0 WHEN low_ms <= high_ms THEN greatest(low_ms, least(0, high_ms)) ELSE floor((low_ms + high_ms) / 2) END::BIGINT AS offset_ms FROM g""",
     "p1_clock_offsets": f"""WITH {_READ},
 asked AS (SELECT conversation_id, request_id, min("at") FILTER (WHERE role = 'user') AS u, min("at") FILTER (WHERE role = 'assistant') AS a FROM msg
   WHERE "at" IS NOT NULL AND role IN ('user', 'assistant') AND request_id IS NOT NULL GROUP BY 1, 2),

@@ -95,15 +95,31 @@ def test_clock_offset_is_the_least_that_is_feasible(spark):
     m, c = skewed(spark, -3000)
     o = cv.clock_offsets(cv.read_messages(m)).first()
     assert o.feasible and o.offset_ms == 2000
-    assert cv.rejected(m, c).first().reason == "broken"
-    assert cv.rejected(m, c, max_offset_ms=5000).count() == 0
-    turns = cv.assemble(m, c, max_offset_ms=5000).orderBy("turn").collect()
+    assert cv.rejected(m, c).first().reason == "broken", "two pairs are no evidence about a clock"
+    assert cv.rejected(m, c, least_pairs=1).count() == 0
+    turns = cv.assemble(m, c, least_pairs=1).orderBy("turn").collect()
     assert [(r.turn, r.role) for r in turns] == [(1, "user"), (2, "assistant"), (3, "user"), (4, "assistant")]
     m, c = skewed(spark, 5500)
     o = cv.clock_offsets(cv.read_messages(m)).first()
     assert o.feasible and o.offset_ms == -1500
 
 
+def test_a_senders_clock_is_judged_by_all_its_conversations(spark):
+    """In workspace w the assistant's clock is three seconds late in all conversations, in v only that of one conversation is."""
+    rows, known = [], []
+    for w in "wv":
+        for i in range(12):
+            c, a = f"{w}{i}", -3000 if w == "w" or i == 0 else 0
+            known.append((c, w))
+            for k, (role, ms) in enumerate([("user", 0), ("ai", 1000 + a), ("user", 5000), ("ai", 6000 + a)]):
+                rows.append((c, role, f"r{k // 2}", "t", str(k), str(BASE + ms), f"{c}{k}", ""))
+    m, c = spark.createDataFrame(rows, MESSAGES), spark.createDataFrame([*known, *known], "id string, workspace_id string")
+    got = {r.sender: (r.pairs, r.offset_ms) for r in cv.sender_offsets(cv.read_messages(m), c).collect()}
+    assert got == {"w": (24, 2000), "v": (24, 0)}
+    assert [(r.conversation_id, r.reason) for r in cv.rejected(m, c).collect()] == [("v0", "broken")]
+    assert cv.assemble(m, c).groupBy("conversation_id").count().where("count = 4").count() == 23
+
+
 def test_turns_cross_hours(spark):
     rows = [("c", "user" if i % 2 == 0 else "ai", f"r{i // 2}", f"t{i}", f"h{i}", str(BASE + i * 2_000_000), str(i), "") for i in range(20)]
     random.Random(1).shuffle(rows)

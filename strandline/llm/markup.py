@@ -629,7 +629,8 @@ def _read(docs: DataFrame, id_col: str, text_col: str, ratios: PathRatios | None
     def read(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([parse(t, ratios) for t in texts], columns=["kinds", "text"])
 
-    return spread(docs.select(id_col, text_col)).select(id_col, read(text_col).alias("__p")).select(id_col, "__p.kinds", "__p.text")
+    # Named as not deterministic, so that no filter on its result is pushed below the exchange, where it would be run a second time.
+    return spread(docs.select(id_col, text_col)).select(id_col, read.asNondeterministic()(text_col).alias("__p")).select(id_col, "__p.kinds", "__p.text")
 
 
 def kinds(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

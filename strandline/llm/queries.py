@@ -35,20 +35,22 @@ def p1_sender_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORES = ("graph_score", "semantic_score", "lexical_score", "intent_weight")
 
 
-def _closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _closeness(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame | None]:
     scores = {n: F.col(n) for n in ("utility_score", "relevance_score")} | {n: F.col("scores")[n] for n in SCORES}
-    return ranking.closeness(load(spark, sf_dir, "context_symbols"), "feedback_token", "uid", scores)
+    symbols = load(spark, sf_dir, "context_symbols")
+    hot = ranking.hot_groups(symbols, "feedback_token")
+    return ranking.closeness(symbols, "feedback_token", "uid", scores, hot=hot), hot
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The symbols to show for each snapshot, by one ranking of six scores."""
-    picked = ranking.top(_closeness(spark, sf_dir), load(spark, sf_dir, "retrieval_snapshots"), "feedback_token", "uid", "selected_count")
-    return picked.select("feedback_token", "uid")
+    ranked, hot = _closeness(spark, sf_dir)
+    return ranking.top(ranked, load(spark, sf_dir, "retrieval_snapshots"), "feedback_token", "uid", "selected_count", hot).select("feedback_token", "uid")
 
 
 def p2_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rank key of every symbol of every snapshot."""
-    return _closeness(spark, sf_dir).withColumn("closeness", F.round("closeness", 6))
+    return _closeness(spark, sf_dir)[0].withColumn("closeness", F.round("closeness", 6))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,12 +47,20 @@ def test_matches_brute_force(spark, seed):
     rng = random.Random(seed)
     val = lambda: rng.choice([None, float("nan"), float("inf"), 0.0]) if rng.random() < 0.15 else rng.lognormvariate(0, 2)
     rows = [(rng.choice(["x", "y", None]), rng.choice([*"abcdefghijklm", None]), val(), val(), 1) for _ in range(60)] + [("one", "z", 3.0, None, 1)]
-    got = rk.closeness(spark.createDataFrame(rows, SCHEMA), "g", "k", {"a": F.col("a"), "b": F.col("b")})
+    df = spark.createDataFrame(rows, SCHEMA)
+    hot = rk.hot_groups(df, "g", 5)
+    assert rk.hot_groups(df, "g") is None and {r["__g"] for r in hot.collect()} == {"x", "y"}
     want = brute(rows)
-    have = {(r.g, r.k): r.closeness for r in got.collect()}
-    assert have.keys() == want.keys()
-    for k in want:
-        assert have[k] == pytest.approx(want[k], abs=1e-9)
+    limits = spark.createDataFrame([("x", 4), ("y", 3), ("one", 9)], "g string, n int")
+    firsts = []
+    for h in (None, hot, hot.where("__g = 'x'")):
+        got = rk.closeness(df, "g", "k", {"a": F.col("a"), "b": F.col("b")}, hot=h)
+        have = {(r.g, r.k): r.closeness for r in got.collect()}
+        assert have.keys() == want.keys()
+        for k in want:
+            assert have[k] == pytest.approx(want[k], abs=1e-9)
+        firsts.append(sorted((r.g, r.k, r["rank"]) for r in rk.top(got, limits, "g", "k", "n", h).collect()))
+    assert firsts[0] == firsts[1] == firsts[2] and len(firsts[0]) == 8
 
 
 def test_units_and_extremes_do_not_matter(spark):

@@ -5,8 +5,9 @@ begins there is found, and of its n-grams the one in the fewest items is its see
 counts holds its seed; instructions shared by many items yield no seeds of their own.
 
 Documents are reduced to rolling hashes of their n-grams, kept only where a seed has the same hash, and joined with the seeds. Pairs of
-document and item that meet so are aligned (Smith-Waterman over words), which gives a score, and the runs
-of equal words in them are checked exactly. Such seeds are exact for whole passages only; edited copies are found by edited_copies().
+document and item that meet so are aligned (Smith-Waterman over words, many pairs at a time). A passage of n words alone scores n matches, so
+what scores less holds none; the rest is checked for equal words exactly. Such seeds are exact for whole passages only; edited copies are found
+by edited_copies().
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..session import checkpoint_dir
-from ..sources.tables import spread
+from ..sources.tables import deal, spread
 
 WORDS = re.compile(r"[^\W_]+")
 #: Odd factor of the rolling hash, modulo 2^64.
@@ -31,6 +32,12 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Seeds that are sent to the tasks to drop n-grams that can't meet (8 bytes each); with more seeds nothing is dropped before the join.
 FILTER_SEEDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -2
+#: Words of the documents of a table of alignments, times its pairs, about.
+TABLE_CELLS = 1_000_000
+#: Words of item texts that a task of edited_copies() holds, about; more are taken in turns.
+HELD_WORDS = 4_000_000
+#: Documents that are counted against the items at a time.
+COUNTED = 512
 
 
 def words(text: str | None) -> list[str]:
@@ -128,9 +135,10 @@ def seeds(passages: DataFrame, n: int) -> DataFrame:
 
 
 def pairs(docs: DataFrame, seed: DataFrame, n: int) -> DataFrame:
-    """``doc_id, item_id, field, text``: documents and the items' texts of which they hold a seed. ``docs``: doc_id, text.
+    """``doc_id, text, fields``: documents with the items' texts (item_id, field) of which they hold a seed. ``docs``: doc_id, text.
 
-    Only documents that hold a seed leave the scan, each with its text, so that the corpus is read once and not shuffled.
+    Only documents that hold a seed leave the scan, and they are written, so that the corpus is read once. Seeds meet hashes without the
+    text beside them; it is joined once to what a document has met.
     """
     total = seed.select("h").distinct().limit(FILTER_SEEDS + 1)
     held = np.sort(np.array([r.h for r in total.collect()], np.int64))
@@ -156,8 +164,9 @@ def pairs(docs: DataFrame, seed: DataFrame, n: int) -> DataFrame:
             yield kept.assign(hs=pd.Series(found.to_list(), index=kept.index, dtype=object))
 
     hits = spread(docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")).mapInPandas(scan, "doc_id long, text string, hs array<bigint>")
-    met = hits.select("doc_id", "text", F.explode("hs").alias("h")).join(seed, "h")
-    return met.groupBy("doc_id", "item_id", "field", F.xxhash64("text").alias("__t")).agg(F.any_value("text").alias("text")).drop("__t")
+    hits = hits.withColumn("__t", F.xxhash64("text")).checkpoint()
+    met = hits.select("doc_id", "__t", F.explode("hs").alias("h")).join(seed, "h").groupBy("doc_id", "__t").agg(F.collect_set(F.struct("item_id", "field")).alias("fields"))
+    return hits.select("doc_id", "__t", "text").dropDuplicates(["doc_id", "__t"]).join(met, ["doc_id", "__t"]).drop("__t")
 
 
 def align(doc: list[str], item: list[str]) -> tuple[int, int, int]:
@@ -191,6 +200,41 @@ def align(doc: list[str], item: list[str]) -> tuple[int, int, int]:
     return best
 
 
+def align_scores(docs: list[list[str]], items: list[list[str]]) -> np.ndarray:
+    """The scores of align() for pairs of a document and an item text, many tables at a time."""
+    code: dict[str, int] = {}
+    out = np.zeros(len(docs), np.int64)
+    order = sorted(range(len(docs)), key=lambda i: len(docs[i]))
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end + 1 - at) * len(docs[order[end]]) <= TABLE_CELLS:
+            end += 1
+        some = order[at:end]
+        at = end
+        n, m = max(len(docs[i]) for i in some), max(len(items[i]) for i in some)
+        if not n or not m:
+            continue
+        d, it = np.full((len(some), n), -1, np.int32), np.full((len(some), m), -2, np.int32)
+        for k, i in enumerate(some):
+            d[k, : len(docs[i])] = [code.setdefault(w, len(code)) for w in docs[i]]
+            it[k, : len(items[i])] = [code.setdefault(w, len(code)) for w in items[i]]
+        ramp = (np.arange(n) * -GAP).astype(np.int32)
+        up = np.zeros((len(some), n + 1), np.int32)
+        best = np.zeros(len(some), np.int32)
+        for j in range(m):
+            row = up[:, :-1] + np.where(d == it[:, j, None], np.int32(MATCH), np.int32(MISMATCH))
+            np.maximum(row, up[:, 1:] + GAP, out=row)
+            np.maximum(row, 0, out=row)
+            row += ramp
+            np.maximum.accumulate(row, axis=1, out=row)
+            row -= ramp
+            np.maximum(best, row.max(axis=1), out=best)
+            up[:, 1:] = row
+        out[some] = best
+    return out
+
+
 def holds_passage(doc: list[str], item: list[str], ends: list[int], least: int) -> bool:
     """Whether ``doc`` holds one of the passages item[s:ends[s]]."""
     at: dict[tuple[str, ...], list[int]] = {}
@@ -218,19 +262,17 @@ def leaks(docs: DataFrame, items: DataFrame, fields: tuple[str, ...] = ("questio
     checkpoint_dir(docs.sparkSession)
     # What is made of the items is used several times and small beside the corpus; it is made once.
     passages = lone_passages(item_words(items, fields).checkpoint(), least).checkpoint()
-    texts = pairs(docs, seeds(passages, seed_words).checkpoint(), seed_words).join(passages, ["item_id", "field"])
+    texts = deal(pairs(docs, seeds(passages, seed_words).checkpoint(), seed_words)).select("doc_id", "text", F.explode("fields").alias("f"))
+    texts = texts.select("doc_id", "text", "f.item_id", "f.field").join(passages, ["item_id", "field"])
 
     @F.pandas_udf("struct<score int, share double, exact boolean>")
     def judge(text: pd.Series, ws: pd.Series, ends: pd.Series) -> pd.DataFrame:
-        out = []
-        last, doc = None, []
-        for t, w, e in zip(text, ws, ends, strict=True):
-            if t is not last:
-                last, doc = t, words(t)
-            item = list(w)
-            score, _, _ = align(doc, item)
-            out.append((score, score / (MATCH * len(item)), holds_passage(doc, item, list(e), least)))
-        return pd.DataFrame(out, columns=["score", "share", "exact"])
+        split: dict[str, list[str]] = {}
+        docs_ = [split[t] if t in split else split.setdefault(t, words(t)) for t in text]
+        items_ = [list(w) for w in ws]
+        scores = align_scores(docs_, items_)
+        exact = [bool(x >= MATCH * least) and holds_passage(d, i, list(e), least) for x, d, i, e in zip(scores, docs_, items_, ends, strict=True)]
+        return pd.DataFrame({"score": scores, "share": scores / (MATCH * np.array([len(i) for i in items_] or [1])[: len(scores)]), "exact": exact})
 
     judged = texts.select("doc_id", "item_id", "field", judge("text", "words", "ends").alias("j"))
     return judged.select("doc_id", "item_id", "field", "j.score", "j.share", "j.exact").groupBy("doc_id", "item_id", "field").agg(F.max("score").alias("score"), F.max("share").alias("share"), F.max("exact").alias("exact"))
@@ -244,45 +286,68 @@ def edited_copies(docs: DataFrame, items: DataFrame, fields: tuple[str, ...] = (
     of the text have their word in the document, and at least L/3 - 1 have it followed by the text's next word. Documents are counted
     against both bounds, and what reaches them is aligned; all other pairs are below a half.
 
-    Every task holds the words of all items, which are few beside the corpus; documents are read once and not shuffled.
+    A task holds the words of all items up to ``HELD_WORDS``; more items are taken in turns, each of which reads the documents. They are not shuffled.
     """
     checkpoint_dir(docs.sparkSession)
     parts = item_words(items, fields).checkpoint()
     key = ["item_id", "field", "words"]
-    texts = parts.join(lone_passages(parts, least), key, "left").select(*key, F.coalesce("ends", F.array().cast("array<int>")).alias("ends")).collect()
-    held = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.field, list(r.words), list(r.ends)) for r in texts])
+    texts = parts.join(lone_passages(parts, least), key, "left").select(*key, F.coalesce("ends", F.array().cast("array<int>")).alias("ends")).checkpoint()
+    turns = max(1, -(-(texts.agg(F.sum(F.size("words"))).first()[0] or 0) // HELD_WORDS))
+    source = spread(docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text"))
+    found = None
+    for turn in range(turns):
+        some = texts.where(F.pmod(F.xxhash64("item_id", "field"), F.lit(turns)) == turn) if turns > 1 else texts
+        held = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.field, list(r.words), list(r.ends)) for r in some.collect()])
+        each = source.mapInPandas(_compare(held, least), "doc_id long, item_id long, field string, score int, share double, exact boolean")
+        found = each if found is None else found.unionByName(each)
+    return found.groupBy("doc_id", "item_id", "field").agg(F.max("score").alias("score"), F.max("share").alias("share"), F.max("exact").alias("exact"))
+
 
+def _index(each: list[list[str]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of the item texts in order, where the places of each begin among all places and how many there are, and the text of each place."""
+    h = [hashes(w, n) for w in each]
+    of = np.repeat(np.arange(len(each)), [len(x) for x in h])
+    h = np.concatenate([np.empty(0, np.int64), *h])
+    order = np.argsort(h, kind="stable")
+    known, first, count = np.unique(h[order], return_index=True, return_counts=True)
+    return known, first, count, of[order]
+
+
+def _compare(held, least: int):
     def scan(batches):
         each = held.value
-        size = np.array([len(w) for _, _, w, _ in each], np.int64)
+        texts = [w for _, _, w, _ in each]
+        size = np.array([len(w) for w in texts], np.int64)
         need = (-(-size // 2), -(-size // 3) - 1)
-        # For n of 1 and 2: the items' n-grams in order, and the item of each place.
-        index = []
-        for n in (1, 2):
-            h = [hashes(w, n) for _, _, w, _ in each]
-            of = np.repeat(np.arange(len(each)), [len(x) for x in h])
-            h = np.concatenate([np.empty(0, np.int64), *h])
-            order = np.argsort(h, kind="stable")
-            known, first, count = np.unique(h[order], return_index=True, return_counts=True)
-            index.append((known, first, count, of[order]))
+        index = [_index(texts, n) for n in (1, 2)]
         for pdf in batches:
-            out = []
-            for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                doc = words(t)
-                good = np.ones(len(each), bool)
+            for a in range(0, len(pdf), COUNTED):
+                ids = pdf["doc_id"].to_numpy()[a : a + COUNTED]
+                split = [words(t) for t in pdf["text"][a : a + COUNTED]]
+                good = np.ones((len(split), len(each)), bool)
                 for n, (known, first, count, of) in enumerate(index, 1):
-                    met = np.flatnonzero(np.isin(known, hashes(doc, n)))
-                    places = np.concatenate([np.empty(0, np.int64), *[of[first[i] : first[i] + count[i]] for i in met]])
-                    good &= np.bincount(places, minlength=len(each)) >= need[n - 1]
-                for i in np.flatnonzero(good):
-                    item, field, w, ends = each[i]
-                    score = align(doc, w)[0]
-                    if score >= len(w) * MATCH / 2:
-                        out.append((d, item, field, score, score / (MATCH * len(w)), holds_passage(doc, w, ends, least)))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "field", "score", "share", "exact"])
-
-    found = spread(docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")).mapInPandas(scan, "doc_id long, item_id long, field string, score int, share double, exact boolean")
-    return found.groupBy("doc_id", "item_id", "field").agg(F.max("score").alias("score"), F.max("share").alias("share"), F.max("exact").alias("exact"))
+                    if not len(known):
+                        continue  # no text has two words; none needs a pair
+                    g = [np.unique(hashes(w, n)) for w in split]
+                    doc = np.repeat(np.arange(len(split)), [len(x) for x in g])
+                    g = np.concatenate([np.empty(0, np.int64), *g])
+                    i = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                    hit = known[i] == g
+                    i, doc = i[hit], doc[hit]
+                    # All places of each n-gram met, one after the other.
+                    k = count[i]
+                    place = np.repeat(first[i] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum()) if len(k) else np.empty(0, np.int64)
+                    met = np.bincount(np.repeat(doc, k) * len(each) + of[place], minlength=good.size).reshape(good.shape)
+                    good &= met >= need[n - 1]
+                d, i = np.nonzero(good)
+                score = align_scores([split[x] for x in d], [texts[x] for x in i])
+                out = [
+                    (ids[x], each[y][0], each[y][1], s, s / (MATCH * len(texts[y])), holds_passage(split[x], texts[y], each[y][3], least))
+                    for x, y, s in zip(d, i, score, strict=True) if 2 * s >= len(texts[y]) * MATCH
+                ]
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "field", "score", "share", "exact"])
+
+    return scan
 
 
 def best_fields(found: DataFrame) -> DataFrame:

@@ -56,6 +56,38 @@ def test_alignment():
     assert lk.align([], item)[0] == 0 and lk.align(["x"], item)[0] == 0
 
 
+@pytest.mark.parametrize("cells", [1, 200, 1_000_000])
+def test_many_alignments_at_a_time(cells, monkeypatch):
+    monkeypatch.setattr(lk, "TABLE_CELLS", cells)
+    rng = random.Random(cells)
+    docs = [[rng.choice("abcdef") for _ in range(rng.randint(0, 40))] for _ in range(60)]
+    items = [[rng.choice("abcdef") for _ in range(rng.randint(1, 25))] for _ in range(60)]
+    assert lk.align_scores(docs, items).tolist() == [lk.align(d, i)[0] for d, i in zip(docs, items, strict=True)]
+    assert lk.align_scores([], []).tolist() == []
+
+
+@pytest.mark.parametrize("step", [5, 6, 8, 12])
+def test_recall_of_seeds_and_of_counts_on_edited_copies(spark, step):
+    """Every ``step``-th word of an item is replaced. Counting finds all copies with a share of a half; rare seeds those that keep one."""
+    rng = random.Random(step)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(40)), None, "x") for i in range(40)]
+    docs = [(i, " ".join("zz" if k % step == step - 1 else w for k, w in enumerate(q.split())), "x") for i, q, _, _ in items]
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
+    counted = lk.edited_copies(d, i).where("doc_id = item_id").count()
+    seeded = lk.leaks(d, i, seed_words=5).where("doc_id = item_id and share >= 0.5").count()
+    print("SEEDED", step, seeded)
+    assert seeded <= counted == 40
+
+
+def test_more_items_than_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(lk, "HELD_WORDS", 50)
+    items = [(i, " ".join(f"v{i}x{k}" for k in range(30)), None, "x") for i in range(12)]
+    docs = [(i, f"so {q} it is", "x") for i, q, _, _ in items]
+    got = lk.edited_copies(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert sorted((r.doc_id, r.item_id, r.exact) for r in got) == [(i, i, True) for i in range(12)]
+
+
 def test_empty_tables(spark):
     d, i = spark.createDataFrame([(1, "a b c", "")], DOCS), spark.createDataFrame([(1, "a b c", None, "")], ITEMS)
     assert lk.leaks(d.where("false"), i, least=2, seed_words=2).count() == 0

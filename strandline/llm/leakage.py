@@ -33,7 +33,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 FILTER_SEEDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -2
 #: Words of the documents of a table of alignments, times its pairs, about.
-TABLE_CELLS = 1_000_000
+TABLE_CELLS = 200_000
 #: Words of item texts that a task of edited_copies() holds, about; more are taken in turns.
 HELD_WORDS = 4_000_000
 #: Documents that are counted against the items at a time.
@@ -215,22 +215,25 @@ def align_scores(docs: list[list[str]], items: list[list[str]]) -> np.ndarray:
         n, m = max(len(docs[i]) for i in some), max(len(items[i]) for i in some)
         if not n or not m:
             continue
-        d, it = np.full((len(some), n), -1, np.int32), np.full((len(some), m), -2, np.int32)
+        # Words down, pairs across: the running maximum down a table then takes all pairs at once.
+        d, it = np.full((n, len(some)), -1, np.int32), np.full((m, len(some)), -2, np.int32)
         for k, i in enumerate(some):
-            d[k, : len(docs[i])] = [code.setdefault(w, len(code)) for w in docs[i]]
-            it[k, : len(items[i])] = [code.setdefault(w, len(code)) for w in items[i]]
-        ramp = (np.arange(n) * -GAP).astype(np.int32)
-        up = np.zeros((len(some), n + 1), np.int32)
-        best = np.zeros(len(some), np.int32)
+            d[: len(docs[i]), k] = [code.setdefault(w, len(code)) for w in docs[i]]
+            it[: len(items[i]), k] = [code.setdefault(w, len(code)) for w in items[i]]
+        # The greatest number in a table is that of the ramp and a whole match.
+        kind = np.int16 if (n + m) * max(MATCH, -GAP) < 30_000 else np.int64
+        ramp = (np.arange(n) * -GAP).astype(kind)[:, None]
+        up = np.zeros((n + 1, len(some)), kind)
+        best = np.zeros(len(some), kind)
         for j in range(m):
-            row = up[:, :-1] + np.where(d == it[:, j, None], np.int32(MATCH), np.int32(MISMATCH))
-            np.maximum(row, up[:, 1:] + GAP, out=row)
-            np.maximum(row, 0, out=row)
+            row = up[:-1] + np.where(d == it[j], kind(MATCH), kind(MISMATCH))
+            np.maximum(row, up[1:] + kind(GAP), out=row)
+            np.maximum(row, kind(0), out=row)
             row += ramp
-            np.maximum.accumulate(row, axis=1, out=row)
+            np.maximum.accumulate(row, axis=0, out=row)
             row -= ramp
-            np.maximum(best, row.max(axis=1), out=best)
-            up[:, 1:] = row
+            np.maximum(best, row.max(axis=0), out=best)
+            up[1:] = row
         out[some] = best
     return out
 
@@ -313,6 +316,27 @@ def _index(each: list[list[str]], n: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return known, first, count, of[order]
 
 
+def _stretch(doc: list[np.ndarray], length: int, equal: int, followed: int, own: list[np.ndarray]) -> tuple[int, int] | None:
+    """From where to where a document may hold a copy with a share of a half of a text of ``length`` words; None if nowhere.
+
+    Such a copy has at most length / 2 gaps and so reaches over 3/2 length words at most. ``own`` are the text's distinct words and pairs of words;
+    in such a stretch ``equal`` words must be among the former and ``followed`` pairs among the latter. ``doc``: the document's words and pairs.
+    """
+    n_words = len(doc[0])
+    size = min(n_words, length + length // 2 + 1)
+    good = np.ones(n_words - size + 1, bool)
+    for n, h, known, least in ((1, doc[0], own[0], equal), (2, doc[1], own[1], followed)):
+        if least <= 0:
+            continue
+        if not len(known) or size < n:
+            return None
+        hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+        total = np.concatenate([[0], np.cumsum(hit)])
+        good &= total[size - n + 1 :][: len(good)] - total[: len(good)] >= least
+    at = np.flatnonzero(good)
+    return (int(at[0]), int(at[-1]) + size) if len(at) else None
+
+
 def _compare(held, least: int):
     def scan(batches):
         each = held.value
@@ -320,15 +344,17 @@ def _compare(held, least: int):
         size = np.array([len(w) for w in texts], np.int64)
         need = (-(-size // 2), -(-size // 3) - 1)
         index = [_index(texts, n) for n in (1, 2)]
+        own = functools.lru_cache(maxsize=None)(lambda y, n: np.unique(hashes(texts[y], n)))
         for pdf in batches:
             for a in range(0, len(pdf), COUNTED):
                 ids = pdf["doc_id"].to_numpy()[a : a + COUNTED]
                 split = [words(t) for t in pdf["text"][a : a + COUNTED]]
                 good = np.ones((len(split), len(each)), bool)
+                in_doc = [[hashes(w, n) for w in split] for n in (1, 2)]
                 for n, (known, first, count, of) in enumerate(index, 1):
                     if not len(known):
                         continue  # no text has two words; none needs a pair
-                    g = [np.unique(hashes(w, n)) for w in split]
+                    g = [np.unique(h) for h in in_doc[n - 1]]
                     doc = np.repeat(np.arange(len(split)), [len(x) for x in g])
                     g = np.concatenate([np.empty(0, np.int64), *g])
                     i = np.minimum(np.searchsorted(known, g), len(known) - 1)
@@ -339,11 +365,11 @@ def _compare(held, least: int):
                     place = np.repeat(first[i] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum()) if len(k) else np.empty(0, np.int64)
                     met = np.bincount(np.repeat(doc, k) * len(each) + of[place], minlength=good.size).reshape(good.shape)
                     good &= met >= need[n - 1]
-                d, i = np.nonzero(good)
-                score = align_scores([split[x] for x in d], [texts[x] for x in i])
+                met_ = [(x, y, part) for x, y in zip(*np.nonzero(good), strict=True) if (part := _stretch([h[x] for h in in_doc], len(texts[y]), int(need[0][y]), int(need[1][y]), [own(y, 1), own(y, 2)]))]
+                score = align_scores([split[x][a:b] for x, _, (a, b) in met_], [texts[y] for _, y, _ in met_])
                 out = [
                     (ids[x], each[y][0], each[y][1], s, s / (MATCH * len(texts[y])), holds_passage(split[x], texts[y], each[y][3], least))
-                    for x, y, s in zip(d, i, score, strict=True) if 2 * s >= len(texts[y]) * MATCH
+                    for (x, y, _), s in zip(met_, score, strict=True) if 2 * s >= len(texts[y]) * MATCH
                 ]
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "field", "score", "share", "exact"])
 

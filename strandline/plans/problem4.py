@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.incremental import replay
+from ..session import checkpoint_dir
+from ..sources.incremental import replay_batches
 from ..sources.tables import load
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The targets each succeeded run had to process."""
-    return replay(load(spark, sf_dir, "index_jobs"), load(spark, sf_dir, "index_runs")).select("run_id", "target")
+    """The targets each succeeded run had to process, from the batches that were written and committed for the runs.
+
+    The batches of a table lie in a folder of their own below the shared one of the session, which a second call overwrites.
+    """
+    folder = f"{checkpoint_dir(spark)}/batches-{spark.sparkContext.applicationId}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:12]}"
+    return replay_batches(load(spark, sf_dir, "index_jobs"), load(spark, sf_dir, "index_runs"), folder).select("run_id", "target")
 
 
 QUERIES = {"p4_found": p4_found}

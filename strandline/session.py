@@ -26,8 +26,14 @@ def local_session(cores: int | str = "*", memory: str = "8g", partitions: int =
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``, or, where that is unset (tests), a folder of our own."""
+    """The shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``; in local mode, where that is unset (tests), a folder of our own.
+
+    Executors of a cluster can't read each other's temporary folders, so that there the setting is required.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandline-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local") or named is None and sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-ckpt-"))
     return sc.getCheckpointDir()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
@@ -53,14 +53,32 @@ def p2_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _closeness(spark, sf_dir)[0].withColumn("closeness", F.round("closeness", 6))
 
 
+def _model() -> Column:
+    return F.to_json(F.array("model_name", "model_version"))
+
+
+def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = load(spark, sf_dir, "embedding_cache").where(vectors.well_formed(F.col("vector"), F.col("dimensions")) & F.col("content_hash").isNotNull())
+    return cache.select(_model().alias("g"), F.col("content_hash").alias("key"), F.col("vector").alias("v"), F.struct("last_used_at", "created_at", "embedding_hash").alias("v_order"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 most similar keys of each probe, among the rows of its model and version."""
-    group = F.to_json(F.array("model_name", "model_version"))
-    cache = load(spark, sf_dir, "embedding_cache").where(vectors.well_formed(F.col("vector"), F.col("dimensions")) & F.col("content_hash").isNotNull())
-    order = F.struct("last_used_at", "created_at", "embedding_hash")
-    rows = cache.select(group.alias("g"), F.col("content_hash").alias("key"), F.col("vector").alias("v"), order.alias("v_order"))
-    probes = load(spark, sf_dir, "vector_probes").select(F.col("probe_id").alias("query_id"), group.alias("g"), F.col("content_hash").alias("key"))
-    return vectors.nearest(rows, probes).select(F.col("query_id").alias("probe_id"), F.col("key").alias("content_hash"))
+    probes = load(spark, sf_dir, "vector_probes").select(F.col("probe_id").alias("query_id"), _model().alias("g"), F.col("content_hash").alias("key"))
+    return vectors.nearest(_cache(spark, sf_dir), probes).select(F.col("query_id").alias("probe_id"), F.col("key").alias("content_hash"))
+
+
+#: Share of the cells that a query goes to where every vector is a query.
+PROBED = 0.125
+
+
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar keys of every key, among the rows of its model and version, by a coarse partition."""
+    rows = _cache(spark, sf_dir)
+    number = F.xxhash64("g", "key")
+    asked = rows.select("g", "key").distinct().withColumn("query_id", number)
+    near = vectors.nearest(rows, asked, probed=PROBED)
+    return near.join(asked.select("query_id", "g", F.col("key").alias("content_hash")), "query_id").select("g", "content_hash", F.col("key").alias("neighbour"), "rank")
 
 
 def p3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +147,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moderation.rates(moderation.score_documents(load(spark, sf_dir, "documents"), keep=("source",)))
 
 
-QUERIES = {"p5_found": p5_found, "p5_clean": p5_clean, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p8_found": p8_found, "p8_alignments": p8_alignments, "p6_found": p6_found, "p6_pieces": p6_pieces, "p3_found": p3_found, "p3_embeddings": p3_embeddings, "p7_ids": p7_ids, "p2_found": p2_found, "p2_closeness": p2_closeness, "p1_found": p1_found, "p1_turns": p1_turns, "p1_clock_offsets": p1_clock_offsets, "p1_sender_offsets": p1_sender_offsets}
+QUERIES = {"p5_found": p5_found, "p5_clean": p5_clean, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates, "p8_found": p8_found, "p8_alignments": p8_alignments, "p6_found": p6_found, "p6_pieces": p6_pieces, "p3_found": p3_found, "p3_embeddings": p3_embeddings, "p3_neighbours": p3_neighbours, "p7_ids": p7_ids, "p2_found": p2_found, "p2_closeness": p2_closeness, "p1_found": p1_found, "p1_turns": p1_turns, "p1_clock_offsets": p1_clock_offsets, "p1_sender_offsets": p1_sender_offsets}
 
 #: Messages as read, shared by the statements of problem 1.
 _READ = r"""

@@ -7,6 +7,10 @@ because only the former biases large inner products. A query's products with all
 
 The vectors are held in blocks of bounded size, each with its model's codewords and the model's queries; every vector is coded and
 scanned. A block sends on its exact best for each query, never its vectors.
+
+For queries as many as the vectors that would be all pairs. A coarse partition then puts each vector into the cell of its nearest centre, and a
+query goes to the cells whose centres are nearest to it, the share ``probed`` of them: exact with 1, at the recall that the tests
+measure with less.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import checkpoint_dir
 from ..sources.tables import deal
 
 #: Vectors in a block, about, of a group that holds all rows; smaller groups have smaller blocks.
@@ -31,6 +36,9 @@ FIT_ROUNDS, SWEEPS = 6, 2
 #: Candidates of a block, for each neighbour asked for, that are scored exactly.
 RERANK = 12
 TILE_ROWS, TILE_QUERIES = 2_048, 256
+#: Vectors of a cell, about; and the most cells of a group, which bounds what is sent with a block.
+CELL_ROWS, MOST_CELLS, CELL_ROUNDS = 512, 1_024, 8
+BOOKS = "g string, books binary, cells binary"
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -167,22 +175,84 @@ def well_formed(vector: Column, dimensions: Column) -> Column:
     return F.coalesce(vector.isNotNull() & good, F.lit(False))
 
 
+def centres(x: np.ndarray, n: int) -> np.ndarray:
+    """``n`` centres of the rows ``x`` (length 1) by spherical k-means; rows spread evenly over ``x`` are the start."""
+    c = x[np.linspace(0, len(x) - 1, n).astype(int)].copy()
+    for _ in range(CELL_ROUNDS):
+        near = (x @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        norm = np.linalg.norm(sums, axis=1)
+        c = np.where((norm > 1e-12)[:, None], sums / np.maximum(norm, 1e-12)[:, None], c)
+    return c
+
+
 def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("r", kind="stable").head(FIT_ROWS)
-    books = fit(unit(np.stack(pdf["v"].to_numpy())))
-    return pd.DataFrame({"g": [pdf["g"].iloc[0]], "books": [pickle.dumps(books.astype(np.float32))]})
+    x = unit(np.stack(pdf["v"].to_numpy()))
+    n = int(min(MOST_CELLS, len(x), max(1, -(-int(pdf["n"].iloc[0]) // CELL_ROWS))))
+    return pd.DataFrame({"g": [pdf["g"].iloc[0]], "books": [pickle.dumps(fit(x).astype(np.float32))], "cells": [pickle.dumps(centres(x, n).astype(np.float32))]})
+
+
+def _in_cells(share: float | None):
+    """Rows (g, s, query_id, key, v) of a group with the cell of each, or with the ``share`` of all cells that are nearest; cell 0 where there are no centres."""
+
+    def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = left.rename(columns={"bg": "g", "bkey": "key", "bv": "v"}).reset_index(drop=True)
+        if not len(out):
+            return pd.DataFrame({"g": pd.Series(dtype="object"), "cell": pd.Series(dtype="int32"), "query_id": pd.Series(dtype="int64"), "key": pd.Series(dtype="object"), "v": pd.Series(dtype="object")})
+        if "query_id" not in out:
+            out["query_id"] = 0
+        blobs = [b for b in right["cells"] if b is not None]
+        c = pickle.loads(blobs[0]).astype(np.float64) if blobs else None
+        if c is None:
+            near = np.zeros((len(out), 1), int)
+        else:
+            close = unit(np.stack(out["v"].to_numpy())) @ c.T
+            n = 1 if share is None else max(1, int(np.ceil(share * len(c))))
+            near = close.argmax(1)[:, None] if n == 1 else np.argpartition(-close, n - 1, axis=1)[:, :n] if n < len(c) else np.tile(np.arange(n), (len(out), 1))
+        times = near.shape[1]
+        out = out.loc[np.repeat(np.arange(len(out)), times)]
+        out["cell"] = near.reshape(-1).astype("int32")
+        return out[["g", "cell", "query_id", "key", "v"]]
+
+    return assign
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """``query_id, key, similarity``: the ``k`` vectors of greatest cosine for each query, its own key left out.
+def _search(k: int):
+    """The best ``k`` + 1 of a block for each query that came to it, a query's own key left out."""
+
+    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        # No null among the query ids: pandas would turn them all into floats.
+        q = right[right["v"].notna()]
+        if not len(left) or not len(q):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "key": pd.Series(dtype="object"), "similarity": pd.Series(dtype="float64")})
+        blobs = [b for b in right["books"] if b is not None]
+        books = pickle.loads(blobs[0]).astype(np.float64) if blobs else None
+        x = unit(np.stack(left["bv"].to_numpy()))
+        keys = left["bkey"].to_numpy()
+        hits = search_block(x, unit(np.stack(q["v"].to_numpy())), books, k + 1)
+        ids, own = q["query_id"].to_numpy("int64"), q["key"].to_numpy()
+        parts = [(np.full(len(c), i), keys[c], e) for i, o, (c, e) in zip(ids, own, hits, strict=True) for c, e in [(c[keys[c] != o], e[keys[c] != o])]]
+        return pd.DataFrame({"query_id": np.concatenate([p[0] for p in parts]), "key": np.concatenate([p[1] for p in parts]), "similarity": np.concatenate([p[2] for p in parts])})
+
+    return block
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, probed: float | None = None) -> DataFrame:
+    """``query_id, key, similarity, rank``: the ``k`` vectors of greatest cosine for each query, its own key left out.
 
     ``vectors``: ``g`` (group; only vectors of one group are compared), ``key``, ``v`` (array<float>, well-formed), ``v_order`` (of several
     rows of a key the one with the greatest counts; equal ones by the vector itself). ``queries``: ``query_id, g, key``, by which the
     query's vector is found; repeated queries count once, queries of an unknown key give no rows. Equal similarities go by key.
 
-    The vectors are shuffled once, by group and salt; reduction to one row a key, coding, scanning and reranking all happen there.
+    Without ``probed`` every query meets every vector of its group: right for a table of probes. The vectors are shuffled once, by group and salt;
+    reduction to one row a key, coding, scanning and reranking all happen there. With ``probed``, for queries as many as the vectors, they are
+    shuffled again, by group and cell, and a query goes to the nearest cells only, that share of them. Cells that are too large for a
+    block are salted by their counted size.
     """
-    total = vectors.count()
+    sizes = vectors.groupBy("g").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     salts = max(1, -(-total // BLOCK_ROWS))
     salt = F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")
     rows = (
@@ -191,28 +261,33 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     r = F.xxhash64(F.lit(7), "key")
     share = min(1.0, FIT_ALL / max(1, total))
     sample = vectors.select("g", "v", r.alias("r")).where(F.pmod(r, F.lit(1 << 20)) < int(share * (1 << 20)))
-    books = sample.groupBy("g").applyInPandas(_fit_group, "g string, books binary")
+    books = sample.join(sizes, "g").groupBy("g").applyInPandas(_fit_group, BOOKS)
 
     asked = queries.select("query_id", "g", "key", salt.alias("s")).distinct()
-    found = asked.join(rows, ["g", "s", "key"]).select("g", "query_id", "key", "v", F.lit(None).cast("binary").alias("books"))
-    side = found.unionByName(books.select("g", F.lit(None).cast("bigint").alias("query_id"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("array<float>").alias("v"), "books"))
-    side = side.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        q = right[right["query_id"].notna()]
-        if not len(left) or not len(q):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "key": pd.Series(dtype="object"), "similarity": pd.Series(dtype="float64")})
-        blobs = [b for b in right["books"] if b is not None]
-        books = pickle.loads(blobs[0]).astype(np.float64) if blobs else None
-        x = unit(np.stack(left["bv"].to_numpy()))
-        keys = left["bkey"].to_numpy()
-        hits = search_block(x, unit(np.stack(q["v"].to_numpy())), books, k + 1)
-        ids, own = q["query_id"].to_numpy("int64"), q["key"].to_numpy()
-        parts = [(np.full(len(c), i), keys[c], e) for i, o, (c, e) in zip(ids, own, hits, strict=True) for c, e in [(c[keys[c] != o], e[keys[c] != o])]]
-        return pd.DataFrame({"query_id": np.concatenate([p[0] for p in parts]), "key": np.concatenate([p[1] for p in parts]), "similarity": np.concatenate([p[2] for p in parts])})
-
+    found = asked.join(rows, ["g", "s", "key"])
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     # New names: the queries' side comes from the same rows.
     held = rows.select(F.col("g").alias("bg"), F.col("s").alias("bs"), F.col("key").alias("bkey"), F.col("v").alias("bv"))
-    near = held.groupBy("bg", "bs").cogroup(side.groupBy("g", "s")).applyInPandas(block, "query_id long, key string, similarity double")
+    if probed is None:
+        side = _with_books(found.select("g", "query_id", "key", "v"), books).withColumn("s", every_salt)
+        near = held.groupBy("bg", "bs").cogroup(side.groupBy("g", "s")).applyInPandas(_search(k), "query_id long, key string, similarity double")
+    else:
+        checkpoint_dir(vectors.sparkSession)
+        books = books.checkpoint()
+        to_all = books.select("g", "cells").withColumn("s", every_salt).select(F.col("g").alias("cg"), F.col("s").alias("cs"), "cells")
+        schema = "g string, cell int, query_id long, key string, v array<float>"
+        placed = held.groupBy("bg", "bs").cogroup(to_all.groupBy("cg", "cs")).applyInPandas(_in_cells(None), schema).drop("query_id").checkpoint()
+        asking = found.select("g", "s", "query_id", "key", "v").groupBy("g", "s").cogroup(to_all.groupBy("cg", "cs")).applyInPandas(_in_cells(probed), schema)
+        salted = placed.groupBy("g", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n")).checkpoint()
+        blocks = placed.join(salted, ["g", "cell"]).select(F.col("g").alias("bg"), F.col("cell").alias("bcell"), F.pmod(F.xxhash64("key"), F.col("n")).cast("int").alias("bs"), F.col("key").alias("bkey"), F.col("v").alias("bv"))
+        with_books = salted.join(books, "g").select("g", "cell", F.lit(0).cast("long").alias("query_id"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("array<float>").alias("v"), "books")
+        side = asking.withColumn("books", F.lit(None).cast("binary")).unionByName(with_books).join(salted, ["g", "cell"]).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+        near = blocks.groupBy("bg", "bcell", "bs").cogroup(side.groupBy("g", "cell", "s")).applyInPandas(_search(k), "query_id long, key string, similarity double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "key"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "key", "similarity", "rank")
+
+
+def _with_books(queries: DataFrame, books: DataFrame) -> DataFrame:
+    """Queries (g, query_id, key, v) and codewords (g, books) in one frame."""
+    blank = [F.lit(0).cast("bigint").alias("query_id"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("array<float>").alias("v")]
+    return queries.withColumn("books", F.lit(None).cast("binary")).unionByName(books.select("g", *blank, "books"))

@@ -65,6 +65,27 @@ def test_nearest_whole(spark, table):
     assert vx.nearest(t.where("false"), q).count() == 0 and vx.nearest(t, q.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("probed", "least"), [(1.0, 1.0), (0.25, 0.9)])
+def test_every_vector_by_a_coarse_partition(spark, monkeypatch, probed, least):
+    """All vectors are queries; small cells and blocks, one key twice, and a third of all rows the same vector (a hot cell)."""
+    monkeypatch.setattr(vx, "CELL_ROWS", 64)
+    monkeypatch.setattr(vx, "BLOCK_ROWS", 256)
+    x = clusters(1200, 16, 5)
+    x[800:] = x[0]
+    keys = [f"k{i:04d}" for i in range(1200)]
+    df = spark.createDataFrame([("g", k, [float(a) for a in v], 1) for k, v in zip(keys, x, strict=True)] + [("g", "k0001", [1.0] * 16, 0)], "g string, key string, v array<float>, v_order int")
+    asked = df.select(F.xxhash64("key").alias("query_id"), "g", "key").distinct()
+    got = {}
+    for r in vx.nearest(df, asked, 10, probed).join(asked.select("query_id", F.col("key").alias("of")), "query_id").collect():
+        got.setdefault(r.of, []).append(r.similarity)
+    s = vx.unit(x.astype(np.float32)) @ vx.unit(x.astype(np.float32)).T
+    np.fill_diagonal(s, -2)
+    assert len(got) == 1200
+    edge = np.sort(s, 1)[:, -10] - 1e-6
+    hit = sum(len([1 for v in sims if v >= edge[keys.index(k)]]) for k, sims in got.items())
+    assert all(len(sims) == 10 for sims in got.values()) and hit >= least * 12_000
+
+
 def test_malformed(spark):
     rows = [("a", [1.0, 2.0], 2), ("b", None, 2), ("c", [1.0], 2), ("d", [0.0, 0.0], 2), ("e", [float("nan"), 1.0], 2), ("f", [float("inf"), 1.0], 2), ("h", [None, 1.0], 2), ("i", [1.0, 2.0], None)]
     df = spark.createDataFrame(rows, "k string, v array<float>, n int")

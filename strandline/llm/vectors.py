@@ -9,8 +9,8 @@ The vectors are held in blocks of bounded size, each with its model's codewords
 scanned. A block sends on its exact best for each query, never its vectors.
 
 For queries as many as the vectors that would be all pairs. A coarse partition then puts each vector into the cell of its nearest centre, and a
-query goes to the cells whose centres are nearest to it, the share ``probed`` of them: exact with 1, at the recall that the tests
-measure with less.
+query goes to the cells whose centres are nearest to it, the share ``probed`` of them: every vector is scanned with 1; the tests
+measure the recall with less.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ FIT_ROUNDS, SWEEPS = 6, 2
 #: Candidates of a block, for each neighbour asked for, that are scored exactly.
 RERANK = 12
 TILE_ROWS, TILE_QUERIES = 2_048, 256
-#: Vectors of a cell, about; and the most cells of a group, which bounds what is sent with a block.
-CELL_ROWS, MOST_CELLS, CELL_ROUNDS = 512, 1_024, 8
+#: Vectors of a cell, about; and the most cells of a group: a query's vector is sent once for each cell that it goes to.
+CELL_ROWS, MOST_CELLS, CELL_ROUNDS = 2_048, 64, 8
 BOOKS = "g string, books binary, cells binary"
 
 

@@ -106,27 +106,27 @@ def oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def split_items(large: DataFrame) -> DataFrame:
-    """``item_type, item_id, pieces``: array of struct(start, end, level, text) for each row of oversized()."""
+    """``item_type, item_id, text_key, pieces``: array of struct(start, end, level, text) for each row of oversized()."""
 
     @F.pandas_udf(PIECES)
     def cut(kind: pd.Series, text: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
         return pd.Series([[{"start": s, "end": e, "level": v, "text": t} for s, e, v, t in split(x, k if k in LEVELS else "doc", int(n), int(o))] for k, x, n, o in zip(kind, text, limit, overlap, strict=True)])
 
-    return deal(large).select("item_type", "item_id", cut("item_type", "text", "max_chars", "overlap_chars").alias("pieces"))
+    return deal(large).select("item_type", "item_id", F.xxhash64("text").alias("text_key"), cut("item_type", "text", "max_chars", "overlap_chars").alias("pieces"))
 
 
 def pieces(items: DataFrame, limits: DataFrame) -> DataFrame:
-    """``item_type, item_id, piece, start, end, text``: all pieces of all items, pieces numbered from 0.
+    """``item_type, item_id, text_key, piece, start, end, text``: all pieces of all items, pieces numbered from 0.
 
-    Items within their limit are one piece and never leave the JVM; null and empty texts have no piece. Repeated rows count once.
+    text_key is a hash of the whole text, which tells the pieces of different texts of one item apart. Items within their limit are one piece and never leave the JVM; null and empty texts have no piece. Repeated rows count once.
     """
     lim = limits.where(F.col("max_chars") > 0).groupBy("item_type").agg(F.min("max_chars").alias("max_chars"))
     small = (
         items.select("item_type", "item_id", "text").join(lim, "item_type", "left").where((F.length("text") > 0) & (F.col("max_chars").isNull() | (F.length("text") <= F.col("max_chars"))))
         .select("item_type", "item_id", "text").distinct()
-        .select("item_type", "item_id", F.lit(0).alias("piece"), F.lit(0).alias("start"), F.length("text").alias("end"), "text")
+        .select("item_type", "item_id", F.xxhash64("text").alias("text_key"), F.lit(0).alias("piece"), F.lit(0).alias("start"), F.length("text").alias("end"), "text")
     )
-    large = split_items(oversized(items, limits)).select("item_type", "item_id", F.posexplode("pieces").alias("piece", "p")).select("item_type", "item_id", "piece", "p.start", "p.end", "p.text")
+    large = split_items(oversized(items, limits)).select("item_type", "item_id", "text_key", F.posexplode("pieces").alias("piece", "p")).select("item_type", "item_id", "text_key", "piece", "p.start", "p.end", "p.text")
     return small.unionByName(large)
 
 

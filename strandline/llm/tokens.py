@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import base64
 import functools
-import importlib
 import os
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +88,7 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.pieces = importlib.import_module("regex").compile(PATTERN)
+        self.pieces = regex.compile(PATTERN)
         self.known: dict[str, list[int]] = {}
 
     def encode(self, text: str | None) -> list[int]:

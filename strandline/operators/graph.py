@@ -14,6 +14,11 @@ from pyspark.sql.window import Window as W
 
 from ..session import checkpoint_dir
 from .lookups import top_by
+from .ranking import quantile
+
+
+#: Hops without a bound: a walk ends when its frontier is empty.
+ANY_HOPS = 1 << 30
 
 
 def directed(edges: DataFrame, direction: str, types: Sequence[str] | None = None) -> DataFrame:
@@ -78,13 +83,12 @@ def degrees(edges: DataFrame) -> DataFrame:
 def hub_gate(nodes: DataFrame, fan_in: DataFrame, factor: float = 2.0) -> DataFrame:
     """``nodes`` (node) without hubs: those of a fan-in above max(2, factor x median); ``fan_in``: node, fan_in, absent is 0."""
     f = nodes.join(fan_in, "node", "left").withColumn("fan_in", F.coalesce("fan_in", F.lit(0)))
-    edge = f.agg(F.greatest(F.lit(2.0), factor * F.percentile("fan_in", 0.5)).alias("edge"))
-    return f.where(F.col("fan_in") <= edge.scalar())
+    return f.where(F.col("fan_in") <= max(2.0, factor * (quantile(f, F.col("fan_in"), 0.5) or 0.0)))
 
 
-def depth_from_roots(edges: DataFrame, nodes: DataFrame, roots: DataFrame, most: int = 20) -> DataFrame:
-    """``node, depth``: hops from the nearest root (node); unreachable nodes get the greatest depth and one."""
-    d = reach(edges, roots.select(F.lit("*").alias("seed"), "node"), most).select("node", "depth")
+def depth_from_roots(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node, depth``: hops from the nearest root (node), however many; unreachable nodes get the greatest depth and one."""
+    d = reach(edges, roots.select(F.lit("*").alias("seed"), "node"), ANY_HOPS).select("node", "depth")
     far = d.agg((F.max("depth") + 1).alias("far"))
     return nodes.join(d, "node", "left").select("node", F.coalesce("depth", far.scalar()).alias("depth"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lookups import top_by
@@ -13,8 +13,8 @@ from .lookups import top_by
 BLOCK_ROWS = 2_048
 
 
-def nearest_within(df: DataFrame, id_col: str, vector: str, k: int, threshold: float) -> DataFrame:
-    """``id, neighbour, distance``: of every vector the ``k`` others nearest by L2 at most ``threshold`` away, exactly; ties by id.
+def nearest_within(df: DataFrame, id_col: str, vector: str, k: int, threshold: float, asked: Column | None = None) -> DataFrame:
+    """``id, neighbour, distance``: of every vector, or of those ``asked`` for, the ``k`` others nearest by L2 at most ``threshold`` away, exactly; ties by id.
 
     All rows are compared with all, in pairs of blocks of bounded size; a pair of blocks sends on its best for each row, never its vectors.
     Rows without an id or a vector are left out; ids are distinct and vectors of one size.
@@ -23,7 +23,8 @@ def nearest_within(df: DataFrame, id_col: str, vector: str, k: int, threshold: f
     blocks = max(1, -(-v.count() // BLOCK_ROWS))
     v = v.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = v.withColumn("c", other)
+    left = v if asked is None else v.join(df.where(asked).select(F.col(id_col).cast("bigint").alias("id")).distinct(), "id", "left_semi")
+    left = left.withColumn("c", other)
     # New names: both sides come from the same rows.
     right = v.select(F.col("id").alias("rid"), F.col("v").alias("rv"), other.alias("rb"), F.col("b").alias("rc"))
 

@@ -351,13 +351,9 @@ def k08(spark: SparkSession, d: str) -> DataFrame:
 @register("k10_even_sample", "WITH n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events) SELECT event_id FROM n WHERE floor((i + 1) * 20.0 / n) > floor(i * 20.0 / n)")
 def k10(spark: SparkSession, d: str) -> DataFrame:
     """Twenty rows evenly spaced in order of their key; positions come from counts of range partitions, so no task orders everything."""
-    e = load(spark, d, "events").select("event_id").repartitionByRange(F.col("event_id")).sortWithinPartitions("event_id").withColumn("p", F.spark_partition_id())
-    per = e.groupBy("p").agg(F.count("*").alias("k"))
-    at = per.withColumn("shift", F.coalesce(F.sum("k").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("k")
-    n = e.agg(F.count("*"))
-    i = F.col("shift") + F.row_number().over(W.partitionBy("p").orderBy("event_id")) - 1
-    e = e.join(at, "p").withColumn("i", i).withColumn("n", n.scalar())
-    return e.where(F.floor((F.col("i") + 1) * 20.0 / F.col("n")) > F.floor(F.col("i") * 20.0 / F.col("n"))).select("event_id")
+    e = rk.ranked(load(spark, d, "events").select("event_id"), [F.col("event_id")], "i").withColumn("i", F.col("i") - 1)
+    n = F.lit(load(spark, d, "events").count())
+    return e.where(F.floor((F.col("i") + 1) * 20.0 / n) > F.floor(F.col("i") * 20.0 / n)).select("event_id")
 
 
 @register("u01_pool_union", "SELECT uid, list_sort(list_distinct(list(pool))) AS pools FROM (SELECT uid, 'utility' AS pool FROM context_symbols WHERE utility_score > 100 UNION ALL SELECT uid, 'relevance' FROM context_symbols WHERE relevance_score > 0.5) GROUP BY 1")

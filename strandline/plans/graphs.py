@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import views
 from ..operators import graph as gr
 from ..operators import lookups as lk
+from ..operators import ranking as rk
 from ..operators import selection as se
 from ..sources.tables import load
 from .base import Registry
@@ -204,10 +205,9 @@ def g23(spark: SparkSession, d: str) -> DataFrame:
 @register("g25_fanout_limit", "SELECT uid, CASE WHEN r <= 3 THEN 8 WHEN ch >= 2 THEN 6 ELSE greatest(1, 8 - r // 5) END AS fanout FROM (SELECT uid, max(len(provenance)) AS ch, row_number() OVER (ORDER BY max(utility_score) DESC NULLS LAST, uid) AS r FROM context_symbols WHERE uid IS NOT NULL AND isfinite(utility_score) GROUP BY 1)")
 def g25(spark: SparkSession, d: str) -> DataFrame:
     """Limit of expansion by rank and evidence."""
-    from pyspark.sql.window import Window as W
-
     s = load(spark, d, "context_symbols").where("uid is not null and utility_score is not null and not isnan(utility_score) and abs(utility_score) < double('infinity')")
-    g = s.groupBy("uid").agg(F.max(F.size("provenance")).alias("ch"), F.max("utility_score").alias("u")).withColumn("r", F.row_number().over(W.orderBy(F.desc("u"), "uid")))
+    g = s.groupBy("uid").agg(F.max(F.size("provenance")).alias("ch"), F.max("utility_score").alias("u"))
+    g = rk.ranked(g, [F.desc("u"), F.col("uid")], "r")
     return g.select("uid", F.when(F.col("r") <= 3, 8).when(F.col("ch") >= 2, 6).otherwise(F.greatest(F.lit(1), 8 - F.floor(F.col("r") / 5))).cast("bigint").alias("fanout"))
 
 

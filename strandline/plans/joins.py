@@ -16,18 +16,10 @@ from .base import Registry
 R = Registry()
 register = R.register
 
-_REFS = r"""refs AS (SELECT DISTINCT regexp_replace(symbol, '\(\)$', '') AS callee FROM messages WHERE symbol <> '' UNION SELECT qualified_name FROM symbols WHERE uid LIKE '0%' UNION SELECT qualified_name || '.call' FROM symbols WHERE uid LIKE '1%')"""
-
-_ALL_REFS = r"""refs AS (SELECT DISTINCT regexp_replace(symbol, '\(\)$', '') AS callee FROM messages WHERE symbol <> '' UNION SELECT qualified_name FROM symbols UNION SELECT qualified_name || '.call' FROM symbols)"""
+_REFS = r"""refs AS (SELECT DISTINCT regexp_replace(symbol, '\(\)$', '') AS callee FROM messages WHERE symbol <> '' UNION SELECT qualified_name FROM symbols UNION SELECT qualified_name || '.call' FROM symbols)"""
 
 
 def _refs(spark: SparkSession, d: str, sy: DataFrame) -> DataFrame:
-    """Names that are called: bare, qualified, and members of something qualified, the latter two of a part of the symbols only, as the SQL states."""
-    said = load(spark, d, "messages").where("symbol <> ''").select(F.regexp_replace("symbol", r"\(\)$", "").alias("callee"))
-    return said.union(sy.where("uid like '0%'").select("qualified_name")).union(sy.where("uid like '1%'").select(F.concat("qualified_name", F.lit(".call")))).distinct()
-
-
-def _all_refs(spark: SparkSession, d: str, sy: DataFrame) -> DataFrame:
     """Names that are called: bare, and of every symbol its qualified name and a member of it."""
     said = load(spark, d, "messages").where("symbol <> ''").select(F.regexp_replace("symbol", r"\(\)$", "").alias("callee"))
     return said.union(sy.select("qualified_name")).union(sy.select(F.concat("qualified_name", F.lit(".call")))).distinct()
@@ -38,10 +30,10 @@ x AS (SELECT callee, first(uid ORDER BY file_path, start_line, uid) AS u FROM re
 p AS (SELECT callee, arg_max(uid, {{'n': length(qualified_name), 'u': uid}}) AS u FROM refs JOIN symbols ON starts_with(callee, qualified_name || '.') GROUP BY 1),
 n AS (SELECT callee, min(uid) AS u FROM refs JOIN symbols ON name = callee GROUP BY 1 HAVING count(*) = 1)
 SELECT callee, coalesce(x.u, p.u, n.u) AS uid FROM refs LEFT JOIN x USING (callee) LEFT JOIN p USING (callee) LEFT JOIN n USING (callee) WHERE coalesce(x.u, p.u, n.u) IS NOT NULL""")
-def j01(spark: SparkSession, d: str, named=_refs) -> DataFrame:
+def j01(spark: SparkSession, d: str) -> DataFrame:
     """Callees resolved by exact name, else by the longest name they are a member of, else by a bare name that is unique."""
     sy = views.symbols(spark, d)
-    refs = named(spark, d, sy)
+    refs = _refs(spark, d, sy)
     exact = lk.first_by(sy, ["qualified_name"], [F.col("file_path"), F.col("start_line"), F.col("uid")]).select(F.col("qualified_name").alias("callee"), F.col("uid").alias("x"))
     owners = sy.groupBy("qualified_name").agg(F.max("uid").alias("p"))
     member = lk.longest_owner(refs.withColumnRenamed("callee", "qualified_name"), sy).join(owners.withColumnRenamed("qualified_name", "owner"), "owner").select(F.col("qualified_name").alias("callee"), "p")
@@ -136,44 +128,35 @@ def j14(spark: SparkSession, d: str) -> DataFrame:
 
 @register("j15_attribute_access", f"""{views.sql('symbols')}, {_REFS}, x AS (SELECT callee, min(uid) AS u FROM refs JOIN symbols ON qualified_name = callee GROUP BY 1), n AS (SELECT callee, min(uid) AS u FROM refs JOIN symbols ON name = callee GROUP BY 1 HAVING count(*) = 1)
 SELECT callee, coalesce(x.u, n.u) AS uid, CASE WHEN callee LIKE '%set%' THEN 'WRITES_ATTR' ELSE 'READS_ATTR' END AS rel_type FROM refs LEFT JOIN x USING (callee) LEFT JOIN n USING (callee) WHERE coalesce(x.u, n.u) IS NOT NULL""")
-def j15(spark: SparkSession, d: str, named=_refs) -> DataFrame:
+def j15(spark: SparkSession, d: str) -> DataFrame:
     """Attributes resolved by qualified name, else by a unique bare name; split into reads and writes."""
     sy = views.symbols(spark, d)
     x = sy.groupBy(F.col("qualified_name").alias("callee")).agg(F.min("uid").alias("x"))
     n = lk.unique_by(sy, "name").select(F.col("name").alias("callee"), F.col("uid").alias("n"))
     rel = F.when(F.col("callee").contains("set"), "WRITES_ATTR").otherwise("READS_ATTR")
-    return named(spark, d, sy).join(x, "callee", "left").join(n, "callee", "left").select("callee", F.coalesce("x", "n").alias("uid"), rel.alias("rel_type")).where("uid is not null")
+    return _refs(spark, d, sy).join(x, "callee", "left").join(n, "callee", "left").select("callee", F.coalesce("x", "n").alias("uid"), rel.alias("rel_type")).where("uid is not null")
 
 
 @register("j16_best_match", f"""{views.sql('symbols')}, {_REFS}, m AS (SELECT callee, uid, 0 AS rule, length(qualified_name) AS n FROM refs JOIN symbols ON qualified_name = callee UNION ALL SELECT callee, uid, 1, length(qualified_name) FROM refs JOIN symbols ON name = callee)
 SELECT callee, uid FROM (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY rule, n, uid) AS r FROM m) WHERE r = 1""")
-def j16(spark: SparkSession, d: str, named=_refs) -> DataFrame:
+def j16(spark: SparkSession, d: str) -> DataFrame:
     """The best of all candidates by qualified or bare name: exact first, then the shortest name, then the uid."""
     sy = views.symbols(spark, d)
-    return lk.best_match(named(spark, d, sy), sy, "callee", [("callee", "qualified_name"), ("callee", "name")], [F.col("__rule"), F.length("qualified_name"), F.col("uid")], ["callee", "uid"])
+    return lk.best_match(_refs(spark, d, sy), sy, "callee", [("callee", "qualified_name"), ("callee", "name")], [F.col("__rule"), F.length("qualified_name"), F.col("uid")], ["callee", "uid"])
 
 
 @register("j40_kind_lookup", f"""{views.sql('symbols')}, {_REFS}, m AS (SELECT callee, uid, 0 AS rule, length(qualified_name) AS n FROM refs JOIN symbols ON qualified_name = callee WHERE kind = 'class' UNION ALL SELECT callee, uid, 1, length(qualified_name) FROM refs JOIN symbols ON name = callee WHERE kind = 'class')
 SELECT callee, uid FROM (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY rule, n, uid) AS r FROM m) WHERE r = 1""")
-def j40(spark: SparkSession, d: str, named=_refs) -> DataFrame:
+def j40(spark: SparkSession, d: str) -> DataFrame:
     """The same among symbols of one kind."""
     sy = views.symbols(spark, d)
-    return lk.best_match(named(spark, d, sy), sy.where("kind = 'class'"), "callee", [("callee", "qualified_name"), ("callee", "name")], [F.col("__rule"), F.length("qualified_name"), F.col("uid")], ["callee", "uid"])
-
-
-def _whole(name: str, f) -> None:
-    """The same query and SQL over the references of all symbols."""
-    register(f"{name}_whole", R.oracles[name].replace(_REFS, _ALL_REFS))(lambda spark, d: f(spark, d, _all_refs))
+    return lk.best_match(_refs(spark, d, sy), sy.where("kind = 'class'"), "callee", [("callee", "qualified_name"), ("callee", "name")], [F.col("__rule"), F.length("qualified_name"), F.col("uid")], ["callee", "uid"])
 
 
-for _name, _f in {"j01_call_resolution": j01, "j15_attribute_access": j15, "j16_best_match": j16, "j40_kind_lookup": j40}.items():
-    _whole(_name, _f)
-
-
-@register("j19_integrates_with", """WITH d AS (SELECT DISTINCT l_suppkey AS i, l_partkey AS g FROM lineitem WHERE l_returnflag = 'R'), s AS (SELECT g FROM d GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40)
+@register("j19_integrates_with", """WITH d AS (SELECT DISTINCT l_suppkey AS i, l_partkey AS g FROM lineitem WHERE l_returnflag = 'R'), s AS (SELECT g FROM d GROUP BY 1 HAVING count(*) >= 2)
 SELECT a.i AS a, b.i AS b, count(*) AS shared FROM d a JOIN d b ON a.g = b.g AND a.i < b.i WHERE a.g IN (SELECT g FROM s) GROUP BY 1, 2 HAVING count(*) >= 2""")
 def j19(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs that share at least two packages, however many have them; no package here is plumbing. The SQL leaves out packages of more than 40, which the supplied tables lack."""
+    """Pairs that share at least two packages, however many have them; no package here is plumbing."""
     return lk.shared_pairs(load(spark, d, "lineitem").where("l_returnflag = 'R'"), "l_suppkey", "l_partkey", 2)
 
 
@@ -187,21 +170,11 @@ def j21(spark: SparkSession, d: str) -> DataFrame:
     return views.chunks(spark, d).select("chunk_id", F.explode(tx.identifiers(F.col("content"))).alias("name")).join(names, "name", "left").select("chunk_id", "name", "uid")
 
 
-@register("j22_vector_join", """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT label, list(x ORDER BY i) AS m FROM (SELECT label, i, avg(v[i]) AS x FROM e, range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1),
-s AS (SELECT c.label AS centre, vec_id, list_distance(m, v) AS x FROM c JOIN e ON e.label = c.label) SELECT centre, vec_id, round(x, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY round(x, 9), vec_id) AS r FROM s) WHERE r <= 5""")
-def j22(spark: SparkSession, d: str) -> DataFrame:
-    """The five vectors nearest to the centre of their label: as its SQL states, no join of vectors with vectors. That is j22_vector_join_whole."""
-    e = load(spark, d, "embeddings")
-    centres = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
-    s = e.join(centres, "label").withColumn("x", rk.l2(F.col("m"), F.col("embedding")))
-    return lk.top_by(s, ["label"], [F.round("x", 9), F.col("vec_id")], 5).select(F.col("label").alias("centre"), "vec_id", F.round("x", 6).alias("distance"))
-
-
-@register("j22_vector_join_whole", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.v, b.v) AS x FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+@register("j22_vector_join", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS neighbour, list_distance(a.v, b.v) AS x FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT vec_id, neighbour, round(x, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(x, 9), neighbour) AS r FROM s WHERE x <= 1.5) WHERE r <= 5""")
-def j22_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Of every vector the five others nearest by L2, within the threshold."""
-    return ve.nearest_within(load(spark, d, "embeddings"), "vec_id", "embedding", 5, 1.5)
+def j22(spark: SparkSession, d: str) -> DataFrame:
+    """A batch of vectors joined with all: of every fiftieth the five others nearest by L2, within the threshold."""
+    return ve.nearest_within(load(spark, d, "embeddings"), "vec_id", "embedding", 5, 1.5, F.col("vec_id") % 50 == 0)
 
 
 @register("j23_pending_resolution", f"""{views.sql('symbols', 'chunks')}, i AS (SELECT chunk_id, {_IDENT} AS names FROM chunks), k AS (SELECT DISTINCT name FROM symbols), p AS (SELECT chunk_id, unnest(names) AS name FROM i) SELECT chunk_id, list(name ORDER BY name) AS pending FROM p WHERE name NOT IN (SELECT name FROM k WHERE name IS NOT NULL) GROUP BY 1""")

@@ -74,21 +74,21 @@ b AS (SELECT doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2
 TERMS = ("resolver", "queue", "timeout", "cache")
 
 
-def _postings(spark: SparkSession, d: str) -> DataFrame:
-    terms = spread(load(spark, d, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("doc"), F.explode(tx.identifier_parts(F.col("text"))).alias("term"))
-    return terms.groupBy("doc", "term").agg(F.count("*").alias("tf"))
+def _lexical(spark: SparkSession, d: str) -> DataFrame:
+    return rk.bm25(spread(load(spark, d, "documents").select("doc_id", "text")), "doc_id", [(tx.identifier_parts(F.col("text")), 1.0)], TERMS)
 
 
 @register("r07_bm25", f"WITH {_POST}, {_BM25} SELECT doc, round(score, 6) AS score FROM b")
 def r07(spark: SparkSession, d: str) -> DataFrame:
     """BM25 of all documents for a query."""
-    return rk.bm25(_postings(spark, d), TERMS).select("doc", F.round("score", 6).alias("score"))
+    return _lexical(spark, d).select("doc", F.round("score", 6).alias("score"))
 
 
 @register("r08_rare_terms", f"WITH {_POST}, d AS (SELECT term, count(DISTINCT doc) AS df FROM p WHERE length(term) >= 3 GROUP BY 1) SELECT term, df FROM d WHERE df BETWEEN 2 AND 32")
 def r08(spark: SparkSession, d: str) -> DataFrame:
     """Terms rare enough to lift a row."""
-    return _postings(spark, d).where(F.length("term") >= 3).groupBy("term").agg(F.countDistinct("doc").alias("df")).where("df between 2 and 32")
+    terms = spread(load(spark, d, "documents").select("text")).select(F.explode(F.array_distinct(tx.identifier_parts(F.col("text")))).alias("term"))
+    return terms.where(F.length("term") >= 3).groupBy("term").agg(F.count("*").alias("df")).where("df between 2 and 32")
 
 
 @register("r09_exact_boost", f"{views.sql('symbols')} SELECT uid, CASE WHEN name = 'rank_policy' THEN 12.0 WHEN ends_with(qualified_name, '.rank_policy') THEN 9.0 WHEN contains(qualified_name, 'policy') THEN 1.0 ELSE 0.0 END::DOUBLE AS boost FROM symbols")
@@ -112,17 +112,10 @@ def _fused(spark: SparkSession, d: str, lexical: DataFrame) -> DataFrame:
 
 
 @register("r13_rank_fusion", f"""WITH {_Q}, {_POST}, {_BM25}, a AS (SELECT vec_id AS uid, 1.0 / (60 + row_number() OVER (ORDER BY round(-d, 9) DESC, vec_id DESC)) AS s FROM v),
-c AS (SELECT doc AS uid, 1.15 / (60 + row_number() OVER (ORDER BY round(score, 9) DESC, doc DESC)) AS s FROM b WHERE doc < 500), u AS (SELECT * FROM a UNION ALL SELECT * FROM c) SELECT uid, round(sum(s) / (1.0 / 61 + 1.15 / 61), 9) AS score FROM u GROUP BY 1""")
-def r13(spark: SparkSession, d: str) -> DataFrame:
-    """Vector and lexical channels fused by reciprocal rank; of the lexical one the documents below 500 only, as its SQL states. r13_rank_fusion_whole has all."""
-    return _fused(spark, d, rk.bm25(_postings(spark, d), TERMS).where("doc < 500"))
-
-
-@register("r13_rank_fusion_whole", f"""WITH {_Q}, {_POST}, {_BM25}, a AS (SELECT vec_id AS uid, 1.0 / (60 + row_number() OVER (ORDER BY round(-d, 9) DESC, vec_id DESC)) AS s FROM v),
 c AS (SELECT doc AS uid, 1.15 / (60 + row_number() OVER (ORDER BY round(score, 9) DESC, doc DESC)) AS s FROM b), u AS (SELECT * FROM a UNION ALL SELECT * FROM c) SELECT uid, round(sum(s) / (1.0 / 61 + 1.15 / 61), 9) AS score FROM u GROUP BY 1""")
-def r13_whole(spark: SparkSession, d: str) -> DataFrame:
+def r13(spark: SparkSession, d: str) -> DataFrame:
     """Vector and lexical channels fused by reciprocal rank, over all documents; vectors and documents meet by id."""
-    return _fused(spark, d, rk.bm25(_postings(spark, d), TERMS))
+    return _fused(spark, d, _lexical(spark, d))
 
 
 @register("r14_calibrated_blend", f"""WITH {_Q}, x AS (SELECT vec_id, 1 - d * d / 2 AS sim, (vec_id % 17)::DOUBLE AS base FROM v), m AS (SELECT median(sim) AS med FROM x), a AS (SELECT median(abs(sim - med)) AS mad FROM x, m), w AS (SELECT median(sim) AS weak FROM x, m WHERE sim <= med),

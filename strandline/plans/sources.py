@@ -54,12 +54,13 @@ def s07(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "context_docs").where("owner_uid is not null and trim(owner_uid) <> ''").select("chunk_id", "owner_uid", "anchor_type")
 
 
-@register("s08_columnar_scan", """SELECT feedback_token, uid, scores['semantic_score'] AS semantic_score, scores['graph_score'] AS graph_score, len(provenance) AS n_provenance FROM context_symbols
+@register("s08_columnar_scan", """SELECT feedback_token, uid, CASE WHEN isfinite(scores['semantic_score']) THEN scores['semantic_score'] END AS semantic_score, CASE WHEN isfinite(scores['graph_score']) THEN scores['graph_score'] END AS graph_score, len(provenance) AS n_provenance FROM context_symbols
 WHERE NOT (regexp_matches(lower(file_path), '(^|/)(tests|test|t|__tests__|testfixtures|__testfixtures__|integration|e2e)/') OR regexp_matches(lower(file_path), '(^|/)(test_[^/]*|[^/]*_test)\\.py$|(^|/)conftest\\.py$'))""")
 def s08(spark: SparkSession, d: str) -> DataFrame:
-    """Metadata and unpacked scores of the symbols outside tests."""
+    """Metadata and unpacked scores of the symbols outside tests; scores that are no finite numbers are null."""
+    finite = lambda n: F.when(~F.isnan(F.col("scores")[n]) & (F.abs(F.col("scores")[n]) < float("inf")), F.col("scores")[n]).alias(n)
     s = load(spark, d, "context_symbols").where(~tx.is_test_path(F.col("file_path")))
-    return s.select("feedback_token", "uid", F.col("scores")["semantic_score"].alias("semantic_score"), F.col("scores")["graph_score"].alias("graph_score"), F.size("provenance").alias("n_provenance"))
+    return s.select("feedback_token", "uid", finite("semantic_score"), finite("graph_score"), F.size("provenance").alias("n_provenance"))
 
 
 @register("s09_prefix_scan", f"{views.sql('symbols')} SELECT uid, file_path FROM symbols WHERE file_path = 'sync' OR starts_with(file_path, 'sync/') OR file_path = 'api' OR starts_with(file_path, 'api/')")

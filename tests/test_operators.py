@@ -151,3 +151,32 @@ def test_extract():
     f = {(k, n) for k, n, _ in extract.facts_of(src)}
     assert {("import", "os"), ("import", "a.b.c"), ("decorator", "d.e"), ("class", "X"), ("inherits", "Y"), ("function", "f"), ("raise", "V"), ("call", "g.h")} <= f
     assert extract.facts_of("def (") == [] and extract.facts_of("") == []
+
+
+@pytest.mark.parametrize("rows", [0, 1, 2, 37, 500])
+def test_quantiles_narrow_to_the_exact_value(spark, monkeypatch, rows):
+    import random
+
+    from strandline.operators import ranking as rk
+
+    monkeypatch.setattr(rk, "QUANTILE_ROWS", 5)
+    monkeypatch.setattr(rk, "QUANTILE_PARTS", 4)
+    rng = random.Random(rows)
+    values = [rng.choice([1.0, 2.0, rng.lognormvariate(0, 3)]) for _ in range(rows)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
+    import numpy as np
+
+    for q in (0.0, 0.05, 0.5, 0.95, 1.0):
+        got = rk.quantile(df, F.col("v"), q)
+        assert got is None if not rows else got == pytest.approx(np.quantile(values, q))
+
+
+def test_places_and_sums_by_ranges(spark):
+    from strandline.operators import ranking as rk
+
+    df = spark.createDataFrame([(i * 7 % 100, i % 5) for i in range(100)], "k int, v int").repartition(7)
+    assert sorted((r.k, r["rank"]) for r in rk.ranked(df, [F.desc("k")]).collect()) == [(99 - i, i + 1) for i in reversed(range(100))]
+    got = {r.k: r.b for r in rk.running_sum(df, [F.col("k")], F.col("v"), "b").collect()}
+    value = {r.k: r.v for r in df.collect()}
+    assert all(got[k] == sum(v for j, v in value.items() if j < k) for k in got)
+    assert rk.ranked(df.where("false"), [F.col("k")]).count() == 0

@@ -8,10 +8,7 @@ from strandline.plans import registry
 from tools_compare import norm
 
 SF = "/root/testdata/sf0.001"
-NAMES = (
-    "p4_found s11_span_hydration s18_vector_upsert f13_changed_symbols j01_call_resolution j03_import_suffix j12_metadata_bridge j19_integrates_with j36_enclosing_symbol j43_as_of a03_fan_metrics a13_robust_stats "
-    "a24_recall_precision a28_rank_auc w05_cap_by_file k10_even_sample u09_merge_spans g01_walk g08_shortest_path g09_api_surface r07_bm25 r13_rank_fusion r14_calibrated_blend o04_leader_pool t01_debounce_queue t05_job_states c02_roles"
-).split()
+NAMES = sorted(registry.oracles())
 
 
 @pytest.fixture(scope="module")

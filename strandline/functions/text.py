@@ -96,6 +96,13 @@ def uid(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
 
 
+#: Packages that everybody uses; calls to them bind nobody together.
+PLUMBING_ROOTS = (
+    "abc asyncio builtins collections contextlib copy dataclasses datetime enum functools importlib inspect io itertools json logging operator os pathlib re subprocess sys threading types typing typing_extensions warnings weakref "
+    "annotated_doc doctest pytest rich typer unittest"
+).split()
+
+
 def external_root(name: Column) -> Column:
     """The package of a dotted name."""
     return F.substring_index(name, ".", 1)

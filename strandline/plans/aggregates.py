@@ -31,31 +31,6 @@ def a02(spark: SparkSession, d: str) -> DataFrame:
     return views.edges(spark, d).where("rel_type like 'CALLS%'").groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("fan_in"))
 
 
-_RELS = ("CALLS_DIRECT", "CALLS_SCOPED", "CALLS_IMPORTED", "USES_TYPE", "DEPENDS_ON")
-
-
-@register("a03_fan_metrics", f"{views.sql('edges')}, e AS (SELECT dst AS node, rel_type || '_in' AS k, confidence AS c FROM edges UNION ALL SELECT src, rel_type || '_out', confidence FROM edges) SELECT node, " + ", ".join(f"round(coalesce(sum(c) FILTER (WHERE k = '{r}_{w}'), 0), 6) AS {r.lower()}_{w}" for r in _RELS for w in ("in", "out")) + " FROM e GROUP BY 1")
-def a03(spark: SparkSession, d: str) -> DataFrame:
-    """Weighted fan-in and fan-out by relation, as one conditional aggregation."""
-    e = views.edges(spark, d)
-    both = e.select(F.explode(F.array(F.struct(F.col("dst").alias("node"), F.lit("in").alias("w")), F.struct(F.col("src").alias("node"), F.lit("out").alias("w")))).alias("x"), "rel_type", "confidence")
-    return both.groupBy("x.node").agg(*[F.round(F.sum(F.when((F.col("rel_type") == r) & (F.col("x.w") == w), F.col("confidence")).otherwise(0.0)), 6).alias(f"{r.lower()}_{w}") for r in _RELS for w in ("in", "out")])
-
-
-@register("a04_handler_fan_out", f"{views.sql('edges')}, h AS (SELECT dst FROM edges WHERE rel_type = 'USES_TYPE' GROUP BY 1 HAVING sum(confidence) > 10) SELECT src AS node, round(sum(confidence), 6) AS handled FROM edges WHERE rel_type LIKE 'CALLS%' AND dst IN (SELECT dst FROM h) GROUP BY 1")
-def a04(spark: SparkSession, d: str) -> DataFrame:
-    """Confidence of calls to nodes that are themselves much used."""
-    e = views.edges(spark, d)
-    h = e.where("rel_type = 'USES_TYPE'").groupBy("dst").agg(F.sum("confidence").alias("s")).where("s > 10").select("dst")
-    return e.where("rel_type like 'CALLS%'").join(h, "dst", "left_semi").groupBy(F.col("src").alias("node")).agg(F.round(F.sum("confidence"), 6).alias("handled"))
-
-
-@register("a06_external_fan", f"{views.sql('symbols')} SELECT regexp_extract(file_path, '^([^/]+)/', 1) AS pkg, count(DISTINCT role) AS roots, count(DISTINCT role) FILTER (WHERE role NOT IN ('test', 'executor')) AS roots_plain FROM symbols GROUP BY 1")
-def a06(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct packages with and without those that everybody uses."""
-    return views.symbols(spark, d).groupBy(F.regexp_extract("file_path", "^([^/]+)/", 1).alias("pkg")).agg(F.countDistinct("role").alias("roots"), F.countDistinct(F.when(~F.col("role").isin("test", "executor"), F.col("role"))).alias("roots_plain"))
-
-
 @register("a07_doc_counts", f"{views.sql('symbols', 'chunks')} SELECT s.uid, count(c.chunk_id) AS docs FROM symbols s LEFT JOIN chunks c ON c.owner_uid = s.uid GROUP BY 1")
 def a07(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of each symbol, zero kept."""
@@ -71,12 +46,6 @@ def a08(spark: SparkSession, d: str) -> DataFrame:
     return ok.groupBy("owner_uid").agg(s("definition", "reference").alias("defining"), s("warning", "deprecated").alias("warning"), s("example").alias("example"))
 
 
-@register("a09_presence_gate", "SELECT role, count(*) AS n FROM (SELECT DISTINCT uid, role FROM context_symbols WHERE role IS NOT NULL) GROUP BY 1 HAVING count(*) >= 2")
-def a09(spark: SparkSession, d: str) -> DataFrame:
-    """Roles with enough support."""
-    return load(spark, d, "context_symbols").where("role is not null").select("uid", "role").distinct().groupBy("role").agg(F.count("*").alias("n")).where("n >= 2")
-
-
 @register("a10_dispersion", f"{views.sql('symbols')} SELECT kind, CASE WHEN count(DISTINCT qualified_name) <= 1 THEN 0 ELSE round((count(DISTINCT string_split(qualified_name, '.')[1]) - 1)::DOUBLE / (count(DISTINCT qualified_name) - 1), 9) END AS dispersion FROM symbols GROUP BY 1")
 def a10(spark: SparkSession, d: str) -> DataFrame:
     """How far names spread over packages."""

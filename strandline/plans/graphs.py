@@ -128,23 +128,6 @@ def g14(spark: SparkSession, d: str) -> DataFrame:
     return gr.hub_gate(load(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("node")), fan, 1.2)
 
 
-@register("g15_impact", f"""{views.sql('edges', recursive=True)}, r(tag, node, depth, seed) AS (
-SELECT 'reverse_calls', src, 1, dst FROM edges WHERE rel_type LIKE 'CALLS%' AND dst IN ('P1', 'P2') UNION SELECT 'endpoint', src, 1, dst FROM edges WHERE rel_type = 'USES_TYPE' AND dst IN ('P1', 'P2')
-UNION SELECT 'inheritor', src, 1, dst FROM edges WHERE rel_type = 'DEPENDS_ON' AND dst IN ('P1', 'P2') AND src NOT IN ('P1', 'P2') UNION SELECT 'inheritor', a.src, 2, b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.rel_type = 'DEPENDS_ON' AND b.rel_type = 'DEPENDS_ON' AND b.dst IN ('P1', 'P2') AND a.src NOT IN ('P1', 'P2')),
-g AS (SELECT tag, node, min(depth) AS depth, count(DISTINCT seed) AS reach FROM r GROUP BY 1, 2),
-u AS (SELECT *, round(greatest(0.10, CASE tag WHEN 'reverse_calls' THEN 0.95 WHEN 'endpoint' THEN 0.92 ELSE 0.82 END::DOUBLE - 0.08 * (depth - 1) + least(reach - 1, 9) * 0.002), 3) AS utility FROM g)
-SELECT node, tag, depth, reach, utility FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY utility DESC, tag) AS k FROM u) WHERE k = 1 ORDER BY utility DESC, node DESC LIMIT 35""")
-def g15(spark: SparkSession, d: str) -> DataFrame:
-    """What a change of two parts touches: several walks, the best way of each node, the 35 most useful."""
-    e = views.edges(spark, d)
-    s = _seeds(spark, d, 2)
-    out = None
-    for tag, types, hops in (("reverse_calls", CALLS, 1), ("endpoint", ("USES_TYPE",), 1), ("inheritor", ("DEPENDS_ON",), 2)):
-        w = gr.walk(gr.directed(e, "reverse", types), s, hops).join(s.select("node"), "node", "left_anti").withColumn("tag", F.lit(tag))
-        out = w if out is None else out.unionByName(w)
-    return gr.impact(out).select("node", "tag", "depth", "reach", "utility")
-
-
 @register("g16_trace_chain", f"""{views.sql('edges')}, t AS (SELECT src AS node, 0 AS o FROM edges WHERE rel_type LIKE 'CALLS%' AND dst = 'P3' UNION SELECT dst, 1 FROM edges WHERE rel_type = 'DEPENDS_ON' AND src = 'P3')
 SELECT node, o AS way FROM (SELECT node, min(o) AS o FROM t GROUP BY 1) ORDER BY o, node LIMIT 30""")
 def g16(spark: SparkSession, d: str) -> DataFrame:

@@ -95,15 +95,6 @@ def j42(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "file_path").select("owner", "member").distinct()
 
 
-@register("a05_self_returns", f"{views.sql('edges')} SELECT d.dst AS owner, count(*) AS n FROM (SELECT DISTINCT src, dst FROM edges WHERE rel_type = 'DEPENDS_ON') d JOIN (SELECT DISTINCT src, dst FROM edges WHERE rel_type = 'USES_TYPE') u ON u.dst = d.src GROUP BY 1")
-def a05(spark: SparkSession, d: str) -> DataFrame:
-    """Uses of an owner's members, counted by owner: pre-aggregated by member, never joined row by row."""
-    e = views.edges(spark, d)
-    uses = e.where("rel_type = 'USES_TYPE'").groupBy(F.col("dst").alias("m")).agg(F.countDistinct("src").alias("k"))
-    own = e.where("rel_type = 'DEPENDS_ON'").select(F.col("src").alias("m"), F.col("dst").alias("owner")).distinct()
-    return own.join(uses, "m").groupBy("owner").agg(F.sum("k").alias("n"))
-
-
 @register("a14_bm25_stats", r"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z][a-z0-9]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY 1")
 def a14(spark: SparkSession, d: str) -> DataFrame:
     """Document and collection frequency of every term."""

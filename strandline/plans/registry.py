@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, graphs, joins, linking, problem4, ranking, sources, streams
+from . import aggregates, graphs, joins, linking, problem4, ranking, roles, sources, streams
 
-MODULES = (problem4, sources, joins, linking, aggregates, graphs, ranking, streams)
+MODULES = (problem4, sources, joins, linking, aggregates, graphs, ranking, roles, streams)
 
 
 def queries() -> dict:

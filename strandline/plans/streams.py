@@ -127,30 +127,6 @@ def x03(spark: SparkSession, d: str) -> DataFrame:
     return views.symbols(spark, d).select("uid", tx.uid(F.lit("ws"), F.col("qualified_name"), F.coalesce("kind", F.lit(""))).alias("h"))
 
 
-_ROW = "f AS (SELECT 'P' || p_partkey AS node, p_size AS size, coalesce(i, 0) AS fan_in, coalesce(u, 0) AS users FROM part LEFT JOIN (SELECT dst, count(DISTINCT src) FILTER (WHERE rel_type LIKE 'CALLS%') AS i, count(DISTINCT src) FILTER (WHERE rel_type = 'USES_TYPE') AS u FROM edges GROUP BY 1) ON dst = 'P' || p_partkey)"
-
-
-def _fan(spark: SparkSession, d: str) -> DataFrame:
-    e = views.edges(spark, d).groupBy(F.col("dst").alias("node")).agg(F.countDistinct(F.when(F.col("rel_type").startswith("CALLS"), F.col("src"))).alias("i"), F.countDistinct(F.when(F.col("rel_type") == "USES_TYPE", F.col("src"))).alias("u"))
-    p = load(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("node"), F.col("p_size").alias("size"))
-    return p.join(e, "node", "left").select("node", "size", F.coalesce("i", F.lit(0)).alias("fan_in"), F.coalesce("u", F.lit(0)).alias("users"))
-
-
-@register("c01_first_bucket", f"{views.sql('edges')}, {_ROW} SELECT node, CASE WHEN fan_in = 0 AND users = 0 THEN 'noise' WHEN users > 1.2 * fan_in THEN 'state_types' WHEN fan_in > 30 THEN 'hub' WHEN size > 40 THEN 'container' ELSE 'unclassified' END AS bucket FROM f")
-def c01(spark: SparkSession, d: str) -> DataFrame:
-    """The first rule that fits, in order."""
-    b = F.when((F.col("fan_in") == 0) & (F.col("users") == 0), "noise").when(F.col("users") > 1.2 * F.col("fan_in"), "state_types").when(F.col("fan_in") > 30, "hub").when(F.col("size") > 40, "container").otherwise("unclassified")
-    return _fan(spark, d).select("node", b.alias("bucket"))
-
-
-@register("c02_roles", f"""{views.sql('edges')}, {_ROW}, r AS (SELECT node, list_filter([CASE WHEN fan_in > 35 THEN 'dispatcher' END, CASE WHEN users > 20 THEN 'model' END, CASE WHEN size > 30 THEN 'container' END, CASE WHEN fan_in > 10 THEN 'service' END, CASE WHEN size % 2 = 0 THEN 'leaf' END], lambda x: x IS NOT NULL) AS roles FROM f) SELECT node, coalesce(roles[1], 'none') AS primary_role, roles[2:4] AS supporting FROM r""")
-def c02(spark: SparkSession, d: str) -> DataFrame:
-    """All rules that fit by specificity: one primary role and at most three supporting ones."""
-    rules = [(9, "dispatcher", "fan_in > 35"), (8, "model", "users > 20"), (6, "container", "size > 30"), (4, "service", "fan_in > 10"), (1, "leaf", "size % 2 = 0")]
-    roles = F.filter(F.array(*[F.when(F.expr(cond), F.lit(name)) for _, name, cond in sorted(rules, reverse=True)]), lambda x: x.isNotNull())
-    return _fan(spark, d).withColumn("r", roles).select("node", F.coalesce(F.get("r", F.lit(0)), F.lit("none")).alias("primary_role"), F.slice("r", 2, 3).alias("supporting"))
-
-
 @register("c04_contract_diagnosis", "WITH x AS (SELECT uid, list_sort(list_distinct(flatten(list(provenance)))) AS bits FROM context_symbols WHERE uid IS NOT NULL AND provenance IS NOT NULL GROUP BY 1) SELECT uid, list_filter(['graph:calls', 'lexical', 'vector:symbols'], lambda b: NOT list_contains(bits, b)) AS missing FROM x")
 def c04(spark: SparkSession, d: str) -> DataFrame:
     """Bits that a contract requires and a symbol lacks."""

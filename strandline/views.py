@@ -41,7 +41,56 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("chunk_id").agg(*[F.min(x).alias(x) for x in ("workspace_id", "source_file", "content", "owner_uid", "score")])
 
 
+#: The relations of the wide graph, by a number made of a line's keys.
+RELATIONS = (
+    "CALLS_DIRECT CALLS_SCOPED CALLS_IMPORTED CALLS_DYNAMIC CALLS_INFERRED CALLS_GUESS USES_TYPE USES_TYPE HAS_API INHERITED_API INJECTS DEPENDS_ON HANDLES DECORATED_BY INSTANTIATES RESOLVES_ATTR COMPOSES READS_ATTR "
+    "WRITES_ATTR AFFECTS CALLS_ENDPOINT IMPLEMENTS_ENDPOINT"
+).split()
+TYPE_KINDS, WRITE_KINDS = ("param", "annotation", "return", "isinstance"), ("write", "write_subscript", "write_subscript_local")
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """``uid, kind, file_path, package, name`` and flags: one symbol for each part; every tenth lies in a test."""
+    p = load(spark, d, "part")
+    folder = F.when(F.col("p_size") % 10 == 0, "tests/").otherwise("src/")
+    file = F.concat(folder, F.lower("p_type"), F.lit("/"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("")), F.lit(".py"))
+    return p.select(
+        F.concat(F.lit("P"), "p_partkey").alias("uid"), F.replace("p_name", F.lit(" "), F.lit("_")).alias("name"), F.when(F.col("p_size") % 3 == 0, "class").when(F.col("p_size") % 3 == 1, "function").otherwise("method").alias("kind"),
+        file.alias("file_path"), F.concat(folder, F.lower("p_type")).alias("package"), F.col("p_size").alias("size"), F.col("p_partkey").alias("key"),
+    )
+
+
+def relations(spark: SparkSession, d: str) -> DataFrame:
+    """``src, dst, rel_type, kind, confidence``: a graph over the parts (and endpoints E...) with every relation, each edge once."""
+    from .operators.fans import confidence
+
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_discount")
+    n = F.pmod(F.col("l_orderkey") * 7 + F.col("l_partkey") * 3 + F.col("l_linenumber"), F.lit(len(RELATIONS))).cast("int")
+    q = F.col("l_quantity").cast("int")
+    kind = F.when(n.isin(6, 7), F.element_at(F.array(*map(F.lit, TYPE_KINDS)), q % 4 + 1)).when(n == 18, F.element_at(F.array(*map(F.lit, WRITE_KINDS)), q % 3 + 1)).otherwise("")
+    dst = F.when(n >= 20, F.concat(F.lit("E"), F.col("l_suppkey") % 40)).otherwise(F.concat(F.lit("P"), F.col("l_suppkey") * 3 + F.col("l_linenumber")))
+    e = li.select(F.concat(F.lit("P"), "l_partkey").alias("src"), dst.alias("dst"), F.element_at(F.array(*map(F.lit, RELATIONS)), n + 1).alias("rel_type"), kind.alias("kind"), F.when(F.col("l_returnflag") != "N", F.round(1 - F.col("l_discount"), 2)).alias("stored"))
+    e = e.where("src <> dst").groupBy("src", "dst", "rel_type", "kind").agg(F.max("stored").alias("stored"))
+    return e.select("src", "dst", "rel_type", "kind", confidence(F.col("rel_type"), F.col("stored"), F.col("kind")).alias("confidence"))
+
+
+def _sql_list(names: tuple | list) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+def _relations_sql() -> str:
+    from .operators.fans import CONFIDENCE, TYPE_WEIGHT
+
+    case = lambda c, m: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in m.items()) + " ELSE 1.0 END"
+    return f"""relations AS (SELECT src, dst, rel_type, kind, (CASE WHEN rel_type = 'USES_TYPE' THEN {case('kind', TYPE_WEIGHT)} ELSE coalesce(max(stored), {case('rel_type', CONFIDENCE)}) END)::DOUBLE AS confidence FROM (
+  SELECT 'P' || l_partkey AS src, CASE WHEN n >= 20 THEN 'E' || (l_suppkey % 40) ELSE 'P' || (l_suppkey * 3 + l_linenumber) END AS dst, {_sql_list(RELATIONS)}[n + 1] AS rel_type,
+  CASE WHEN n IN (6, 7) THEN {_sql_list(TYPE_KINDS)}[q % 4 + 1] WHEN n = 18 THEN {_sql_list(WRITE_KINDS)}[q % 3 + 1] ELSE '' END AS kind, CASE WHEN l_returnflag <> 'N' THEN round(1 - l_discount, 2) END AS stored
+  FROM (SELECT *, ((l_orderkey * 7 + l_partkey * 3 + l_linenumber) % {len(RELATIONS)})::INT AS n, trunc(l_quantity)::INT AS q FROM lineitem)) WHERE src <> dst GROUP BY 1, 2, 3, 4)"""
+
+
 SQL = {
+    "nodes": """nodes AS (SELECT 'P' || p_partkey AS uid, replace(p_name, ' ', '_') AS name, CASE WHEN p_size % 3 = 0 THEN 'class' WHEN p_size % 3 = 1 THEN 'function' ELSE 'method' END AS kind,
+  CASE WHEN p_size % 10 = 0 THEN 'tests/' ELSE 'src/' END || lower(p_type) || '/' || replace(lower(p_brand), '#', '') || '.py' AS file_path, CASE WHEN p_size % 10 = 0 THEN 'tests/' ELSE 'src/' END || lower(p_type) AS package, p_size AS size, p_partkey AS key FROM part)""",
     "symbols": r"""symbols AS (SELECT *, concat_ws('.', replace(regexp_replace(file_path, '\.[a-z]+$', ''), '/', '.'), name) AS qualified_name FROM
   (SELECT uid, min(symbol) AS name, min(file_path) AS file_path, min(kind) AS kind, min(role) AS role, min(start_line) AS start_line, max(end_line) AS end_line FROM context_symbols WHERE uid IS NOT NULL GROUP BY uid))""",
     "edges": """edges AS (SELECT src, dst, rel_type, CASE rel_type WHEN 'CALLS_DIRECT' THEN 1.0 WHEN 'CALLS_SCOPED' THEN 0.9 WHEN 'CALLS_IMPORTED' THEN 0.85 WHEN 'USES_TYPE' THEN 1.0 ELSE 0.9 END::DOUBLE AS confidence FROM (
@@ -55,4 +104,6 @@ SQL = {
 
 def sql(*names: str, recursive: bool = False) -> str:
     """WITH clause of the named relations."""
+    if "relations" in names and "relations" not in SQL:
+        SQL["relations"] = _relations_sql()
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(SQL[n] for n in names)

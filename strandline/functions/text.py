@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Folders that hold tests.
@@ -16,12 +16,22 @@ def is_test_path(path: Column) -> Column:
     return F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*map(F.lit, TEST_FOLDERS))) | name.rlike(r"^(test_.*|.*_test)\.py$|^conftest\.py$")
 
 
-def file_tier(path: Column) -> Column:
-    """test, example, doc, stub or core, in this order of precedence."""
-    p = F.lower(path)
+#: Folders and file names that tell a file's tier; the first tier that fits counts.
+TIER_TEST_FOLDERS = "tests test t qa __tests__ testfixtures __testfixtures__ integration e2e".split()
+TIER_TEST_NAME = r"^(test_[^/]+\.(py|js|jsx|ts|tsx)|[^/]+_test\.(py|js|jsx|ts|tsx)|[^/]+\.(spec|test)\.[a-z]+|conftest\.py)$"
+EXAMPLE_FOLDERS = "examples example tutorial tutorials demo demos sample samples docs_src benchmarks codemods".split()
+DOC_FOLDERS, DOC_NAME = ("docs", "doc"), r"\.(md|rst|txt)$"
+
+
+def file_tier(path: Column, reexport: Column | None = None) -> Column:
+    """test, example, doc, stub, reexport or core, in this order of precedence; ``reexport`` tells files that only pass names on. No path is core."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda p: p != "")
+    name = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+    folders = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.lower)
+    lies_in = lambda names: F.arrays_overlap(folders, F.array(*map(F.lit, names)))
     return (
-        F.when(is_test_path(path), "test").when(p.rlike(r"(^|/)(examples?|samples?|demos?|tutorials?)/"), "example").when(p.rlike(r"(^|/)docs?/|\.(md|rst|txt|tex|wiki|html)$"), "doc")
-        .when(p.rlike(r"\.pyi$|(^|/)(stubs?|typings)/"), "stub").otherwise("core")
+        F.when(F.coalesce(path, F.lit("")) == "", "core").when(lies_in(TIER_TEST_FOLDERS) | name.rlike(TIER_TEST_NAME), "test").when(lies_in(EXAMPLE_FOLDERS), "example")
+        .when(lies_in(DOC_FOLDERS) | F.lower(name).rlike(DOC_NAME), "doc").when(F.lower(name).endswith(".pyi"), "stub").when(F.coalesce(reexport, F.lit(False)) if reexport is not None else F.lit(False), "reexport").otherwise("core")
     )
 
 
@@ -72,23 +82,50 @@ def http_path(path: Column) -> Column:
     return F.when(F.length(p) > 1, F.regexp_replace(p, "/$", "")).otherwise(p)
 
 
-def anchor_type(text: Column) -> Column:
-    """What a passage of documentation is, by its first telling word."""
-    t = F.lower(text)
+#: Whole words of a passage, and of its headings, that tell what it is.
+DEPRECATED_WORDS = "deprecated deprecation migration migrate removed renamed".split()
+WARNING_WORDS = "warning caution danger security important avoid".split()
+HEADING_WORDS = "api reference parameter parameters return returns class function method".split()
+DEFINITION_WORDS = "argument arguments parameter parameters return returns raises signature".split()
+
+
+def _any_word(words: list[str]) -> str:
+    return r"(^|[^a-z])(" + "|".join(words) + r")([^a-z]|$)"
+
+
+def anchor_type(text: Column, path: Column | None = None) -> Column:
+    """What a passage of documentation is, by its words, its headings of up to four levels, its code and the folder of its file; the first that fits.
+
+    Letters here are those from a to z.
+    """
+    t, p = F.lower(text), F.lower(F.coalesce(path, F.lit(""))) if path is not None else F.lit("")
+    heading = r"(?m)^[ \t]*#{1,4}[ \t]([^\n]*[^a-z\n])?(" + "|".join(HEADING_WORDS) + r")([^a-z]|$)"
     return (
-        F.when(t.rlike("deprecated|no longer"), "deprecated").when(t.rlike("warning|caution|do not"), "warning").when(t.rlike("example|for instance|usage"), "example")
-        .when(t.rlike("is named|is called|means|defines"), "definition").otherwise("reference")
+        F.when(t.rlike(_any_word(DEPRECATED_WORDS)), "deprecated").when(t.rlike(_any_word(WARNING_WORDS)), "warning")
+        .when(F.contains(text, F.lit("```")) | F.contains(p, F.lit("/examples/")) | F.contains(p, F.lit("/tutorial/")), "example")
+        .when(F.contains(p, F.lit("/reference/")) | t.rlike(heading) | t.rlike(_any_word(DEFINITION_WORDS)), "definition").otherwise("reference")
     )
 
 
-def anchor_confidence(base: Column, text: Column, name: Column, kind: Column) -> Column:
-    """Confidence that a passage documents a symbol: a base by resolver, raised by a whole-word, heading or code mention and by the kind of passage; 0.05 to 1."""
-    has = lambda pattern: F.when(F.regexp_like(text, pattern), 1.0).otherwise(0.0)
-    word = F.concat(F.lit(r"(?m)\b"), name, F.lit(r"\b"))
-    head = F.concat(F.lit(r"(?m)^#{1,6} .*\b"), name, F.lit(r"\b"))
-    code = F.concat(F.lit("`"), name)
-    bonus = F.when(kind.isin("definition", "warning", "deprecated"), 0.05).when(kind == "example", -0.04).otherwise(0.0)
-    return F.round(F.greatest(F.lit(0.05), F.least(F.lit(1.0), base + 0.14 * has(word) + 0.10 * has(head) + 0.08 * has(code) + bonus)), 3)
+#: Confidence of a link by its resolver (a semantic one has its score within bounds), and what raises or lowers it.
+RESOLVER_BASE, SEMANTIC_BOUNDS = {"identifier": 0.68, "pending_identifier": 0.62}, (0.25, 0.72)
+WORD_BONUS, HEADING_BONUS, CODE_BONUS, KIND_BONUS, EXAMPLE_BONUS = 0.14, 0.10, 0.08, 0.05, -0.04
+
+
+def anchor_confidence(resolver: Column, semantic: Column, text: Column, name: Column, kind: Column) -> Column:
+    """Confidence that a passage documents a symbol: a base by resolver, raised by a whole-word, heading or code mention and by the kind of passage; 0.05 to 1.
+
+    A code mention is the name between back ticks or before a bracket. ``name`` consists of letters, digits and underscores.
+    """
+    table = F.create_map(*[F.lit(x) for kv in RESOLVER_BASE.items() for x in kv])
+    base = F.coalesce(table[resolver], F.greatest(F.lit(SEMANTIC_BOUNDS[0]), F.least(F.lit(SEMANTIC_BOUNDS[1]), F.coalesce(semantic, F.lit(0.0)))))
+    has = lambda cond, value: F.when(cond, value).otherwise(0.0)
+    word = F.regexp_like(text, F.concat(F.lit(r"(?m)\b"), name, F.lit(r"\b")))
+    head = F.regexp_like(text, F.concat(F.lit(r"(?m)^#{1,6}\s+.*\b"), name, F.lit(r"\b")))
+    code = F.contains(text, F.concat(F.lit("`"), name, F.lit("`"))) | F.contains(text, F.concat(name, F.lit("(")))
+    bonus = F.when(kind.isin("definition", "warning", "deprecated"), KIND_BONUS).when(kind == "example", EXAMPLE_BONUS).otherwise(0.0)
+    total = base + has(word, WORD_BONUS) + has(head, HEADING_BONUS) + has(code, CODE_BONUS) + bonus
+    return F.round(F.greatest(F.lit(0.05), F.least(F.lit(1.0), total)), 3)
 
 
 def uid(*parts: Column) -> Column:
@@ -106,3 +143,10 @@ PLUMBING_ROOTS = (
 def external_root(name: Column) -> Column:
     """The package of a dotted name."""
     return F.substring_index(name, ".", 1)
+
+
+def classify_roots(roots: DataFrame, boundary: DataFrame, named: DataFrame) -> DataFrame:
+    """``roots`` (root) with ``class``: internal if in ``boundary`` (root), else external if in ``named`` (root), else, and for the empty root, skip."""
+    b, n = boundary.select("root").distinct().withColumn("__b", F.lit(True)), named.select("root").distinct().withColumn("__n", F.lit(True))
+    kind = F.when(F.coalesce("root", F.lit("")) == "", "skip").when(F.col("__b"), "internal").when(F.col("__n"), "external").otherwise("skip")
+    return roots.join(b, "root", "left").join(n, "root", "left").withColumn("class", kind).drop("__b", "__n")

@@ -8,11 +8,13 @@ from pyspark.sql.window import Window as W
 
 from .. import views
 from ..functions import text as tx
+from ..operators import lexical as lx
 from ..operators import lookups as lk
 from ..operators import ranking as rk
 from ..operators import selection as se
 from ..sources.tables import load, spread
 from .base import Registry
+from .sources import _TIER
 
 R = Registry()
 register = R.register
@@ -98,6 +100,40 @@ def r09(spark: SparkSession, d: str) -> DataFrame:
     return views.symbols(spark, d).select("uid", b.alias("boost"))
 
 
+_ASK = "Where does `rank_policy` replay the retry.queue for clientUrl after token expiry, and who calls merge_decorator?"
+_L = r"regexp_extract_all(coalesce({}, ''), '[A-Za-z_][A-Za-z0-9_.$:-]*')"
+_TOKENS = r"flatten(list_transform(" + _L + r", lambda r: list_concat([lower(r)], list_filter(regexp_split_to_array(lower(regexp_replace(r, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[.$:/\-_ ]+'), lambda p: p <> '' AND p <> lower(r)))))"
+_BODY = r"list_filter(list_distinct(list_concat(list_transform(" + _L + r", lambda r: lower(r)), flatten(list_transform(" + _L + r", lambda r: regexp_split_to_array(lower(r), '[.$:/\-]+'))))), lambda t: length(t) >= 3)"
+_ASKED = lx.query_tokens(_ASK)
+_EXACT = ", ".join(f"'{t}'" for t in lx.exact_terms(_ASK))
+_LEXICAL = f"""{views.sql('symbols')}, code AS (SELECT uid, max(code) AS code FROM context_symbols WHERE uid IS NOT NULL GROUP BY 1), asked(token, times) AS (VALUES {", ".join(f"('{t}', {n})" for t, n in _ASKED.items())}),
+f AS (SELECT uid, unnest({_TOKENS.format('name')}) AS token, 5.0 AS w FROM symbols UNION ALL SELECT uid, unnest({_TOKENS.format('qualified_name')}), 3.0 FROM symbols UNION ALL SELECT uid, unnest({_TOKENS.format('file_path')}), 1.0 FROM symbols UNION ALL SELECT uid, unnest({_TOKENS.format('kind')}), 1.0 FROM symbols),
+own AS (SELECT uid, token, sum(w)::DOUBLE AS tf FROM f GROUP BY 1, 2), bodies AS (SELECT uid, unnest({_BODY.format('code', 'code')}) AS token FROM code), rare AS (SELECT token FROM bodies GROUP BY 1 HAVING count(*) <= 32), held AS (SELECT uid, token FROM bodies WHERE token IN (SELECT token FROM rare)),
+docs AS (SELECT * FROM own UNION ALL SELECT uid, token, 1.0 FROM held ANTI JOIN own USING (uid, token)), len AS (SELECT uid, sum(tf) AS dl FROM docs GROUP BY 1), st AS (SELECT (SELECT count(*) FROM symbols) AS n, greatest(1.0, (SELECT sum(dl) FROM len) / (SELECT count(*) FROM symbols)) AS mean), df AS (SELECT token, count(*) AS df FROM docs GROUP BY 1),
+bm AS (SELECT uid, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) AS s FROM docs JOIN asked USING (token) JOIN df USING (token) JOIN len USING (uid), st GROUP BY 1)"""
+_SEARCHED = f"""{_LEXICAL}, met AS (SELECT uid, count(*) AS met FROM held JOIN asked USING (token) GROUP BY 1), base AS (SELECT uid, name, qualified_name, coalesce(met, 0) AS met, coalesce(s, 0) AS s FROM symbols LEFT JOIN bm USING (uid) LEFT JOIN met USING (uid)),
+lift AS (SELECT uid, 0.9 * (SELECT max(s) FROM base) AS lift FROM base WHERE met > 0 ORDER BY met DESC, round(s, 9) DESC, uid LIMIT 4),
+x AS (SELECT uid, lower(name) IN ({_EXACT}) AS by_name, len(list_filter([{_EXACT}], lambda t: lower(qualified_name) = t OR ends_with(lower(qualified_name), '.' || t) OR ends_with(lower(qualified_name), ':' || t))) > 0 AS by_end FROM symbols),
+hit AS (SELECT uid, greatest(s, coalesce(lift, 0)) + CASE WHEN by_name THEN 12 WHEN by_end THEN 9 ELSE 0 END AS score, coalesce(by_name OR by_end, false) AS exact FROM base LEFT JOIN lift USING (uid) JOIN x USING (uid))"""
+
+
+def _symbols_with_code(spark: SparkSession, d: str) -> DataFrame:
+    code = load(spark, d, "context_symbols").where("uid is not null").groupBy("uid").agg(F.max("code").alias("code"))
+    return views.symbols(spark, d).join(code, "uid")
+
+
+@register("r07_fielded_search", f"{_SEARCHED} SELECT uid, round(score, 6) AS score, exact FROM hit WHERE score > 0 ORDER BY round(score, 9) DESC, uid LIMIT 40")
+def r07_fielded(spark: SparkSession, d: str) -> DataFrame:
+    """BM25 over weighted fields, rare words of bodies lifted, exact names raised: the best 40."""
+    return lx.search(_symbols_with_code(spark, d), _ASK, 40).select("uid", F.round("score", 6).alias("score"), "exact")
+
+
+@register("r10_lexical_seeds", f"{_SEARCHED}, t AS (SELECT * FROM hit WHERE score > 0 ORDER BY round(score, 9) DESC, uid LIMIT 16), symbols2 AS (SELECT uid, file_path, false AS reexport FROM symbols) SELECT uid, round(least(1, score / (SELECT max(score) FROM t)) * CASE {_TIER} WHEN 'test' THEN 0.0 WHEN 'example' THEN 0.2 WHEN 'doc' THEN 0.3 WHEN 'stub' THEN 0.5 ELSE 1.0 END, 6)::DOUBLE AS score, exact FROM t JOIN symbols2 USING (uid)")
+def r10(spark: SparkSession, d: str) -> DataFrame:
+    """The lexical channel's seeds, weighted by tier."""
+    return lx.seeds(_symbols_with_code(spark, d), _ASK).select("uid", F.round("score", 6).alias("score"), "exact")
+
+
 @register("r11_chunk_seeds", f"{views.sql('chunks')} SELECT owner_uid, min(score) AS distance FROM chunks WHERE owner_uid IS NOT NULL AND isfinite(score) GROUP BY 1 ORDER BY 2, 1 LIMIT 25")
 def r11(spark: SparkSession, d: str) -> DataFrame:
     """Owners of the best chunks."""

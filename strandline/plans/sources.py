@@ -165,8 +165,10 @@ def f01(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TESTS = r"(regexp_matches(lower(file_path), '(^|/)(tests|test|t|__tests__|testfixtures|__testfixtures__|integration|e2e)/') OR regexp_matches(lower(file_path), '(^|/)(test_[^/]*|[^/]*_test)\.py$|(^|/)conftest\.py$'))"
-_TIER = rf"""CASE WHEN {_TESTS} THEN 'test' WHEN regexp_matches(lower(file_path), '(^|/)(examples?|samples?|demos?|tutorials?)/') THEN 'example'
-WHEN regexp_matches(lower(file_path), '(^|/)docs?/|\.(md|rst|txt|tex|wiki|html)$') THEN 'doc' WHEN regexp_matches(lower(file_path), '\.pyi$|(^|/)(stubs?|typings)/') THEN 'stub' ELSE 'core' END"""
+_FOLDERS = lambda names: "regexp_matches(lower(file_path), '(^|/)(" + "|".join(names) + ")/')"
+_NAME = "regexp_extract(file_path, '([^/]*)$', 1)"
+_TIER = f"""CASE WHEN coalesce(file_path, '') = '' THEN 'core' WHEN {_FOLDERS(tx.TIER_TEST_FOLDERS)} OR regexp_matches({_NAME}, '{tx.TIER_TEST_NAME}') THEN 'test' WHEN {_FOLDERS(tx.EXAMPLE_FOLDERS)} THEN 'example'
+WHEN {_FOLDERS(tx.DOC_FOLDERS)} OR regexp_matches(lower({_NAME}), '{tx.DOC_NAME}') THEN 'doc' WHEN ends_with(lower({_NAME}), '.pyi') THEN 'stub' WHEN reexport THEN 'reexport' ELSE 'core' END"""
 
 
 @register("f02_test_fence", f"{views.sql('symbols')} SELECT uid, {_TESTS} AS is_test FROM symbols")
@@ -175,13 +177,18 @@ def f02(spark: SparkSession, d: str) -> DataFrame:
     return views.symbols(spark, d).select("uid", tx.is_test_path(F.col("file_path")).alias("is_test"))
 
 
-@register("f03_file_tier", f"{views.sql('symbols')} SELECT {_TIER} AS tier, count(*) AS n FROM symbols GROUP BY 1")
+_PATHS = "SELECT file_path, count(*) = 1 AS reexport FROM symbols GROUP BY 1 UNION ALL SELECT DISTINCT source_file, false FROM context_docs"
+
+
+@register("f03_file_tier", f"{views.sql('symbols')} SELECT file_path, {_TIER} AS tier, count(*) AS n FROM ({_PATHS}) GROUP BY 1, 2")
 def f03(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols by tier."""
-    return views.symbols(spark, d).groupBy(tx.file_tier(F.col("file_path")).alias("tier")).agg(F.count("*").alias("n"))
+    """Files of symbols and of documents by tier; files with a single symbol stand for those that only pass names on."""
+    one = views.symbols(spark, d).groupBy("file_path").agg((F.count("*") == 1).alias("reexport"))
+    docs = load(spark, d, "context_docs").select(F.col("source_file").alias("file_path"), F.lit(False).alias("reexport")).distinct()
+    return one.unionByName(docs).groupBy("file_path", tx.file_tier(F.col("file_path"), F.col("reexport")).alias("tier")).agg(F.count("*").alias("n"))
 
 
-@register("f04_tier_weight", f"{views.sql('symbols')}, t AS (SELECT uid, {_TIER} AS tier FROM symbols) SELECT uid, CASE tier WHEN 'test' THEN 0.0 WHEN 'example' THEN 0.2 WHEN 'doc' THEN 0.3 WHEN 'stub' THEN 0.5 ELSE 1.0 END::DOUBLE AS seed_weight, CASE tier WHEN 'example' THEN 0.6 WHEN 'doc' THEN 0.6 WHEN 'stub' THEN 0.5 ELSE 1.0 END::DOUBLE AS impact_weight FROM t")
+@register("f04_tier_weight", f"{views.sql('symbols')}, t AS (SELECT uid, {_TIER.replace('WHEN reexport THEN', 'WHEN false THEN')} AS tier FROM symbols) SELECT uid, CASE tier WHEN 'test' THEN 0.0 WHEN 'example' THEN 0.2 WHEN 'doc' THEN 0.3 WHEN 'stub' THEN 0.5 ELSE 1.0 END::DOUBLE AS seed_weight, CASE tier WHEN 'example' THEN 0.6 WHEN 'doc' THEN 0.6 WHEN 'stub' THEN 0.5 ELSE 1.0 END::DOUBLE AS impact_weight FROM t")
 def f04(spark: SparkSession, d: str) -> DataFrame:
     """Weights of a tier for seeds and for impact."""
     t = tx.file_tier(F.col("file_path"))
@@ -201,19 +208,33 @@ def f06(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "context_symbols").where(F.arrays_overlap("provenance", F.array(F.lit("graph:calls"), F.lit("graph:affects")))).select("uid").distinct()
 
 
-@register("f08_external_root", f"""{views.sql('symbols')} SELECT string_split(qualified_name, '.')[1] AS root, CASE WHEN string_split(qualified_name, '.')[1] IN ('sync', 'api', 'core') THEN 'internal' WHEN string_split(qualified_name, '.')[1] IN ('cli', 'web') THEN 'skip' ELSE 'external' END AS class, count(*) AS n FROM symbols GROUP BY 1, 2""")
+_PLUMB = ", ".join(f"'{r}'" for r in tx.PLUMBING_ROOTS)
+
+
+@register("f08_external_root", f"""WITH b AS (SELECT DISTINCT regexp_extract(file_path, '^([^/]+)/', 1) AS root FROM context_symbols WHERE file_path IS NOT NULL), p AS (SELECT DISTINCT string_split(role, '_')[1] AS root FROM context_symbols WHERE role IS NOT NULL),
+r AS (SELECT root, count(*) AS n FROM (SELECT DISTINCT symbol, string_split(regexp_replace(symbol, '[(].*$', ''), '.')[1] AS root FROM messages WHERE symbol IS NOT NULL UNION SELECT DISTINCT role, string_split(role, '_')[1] FROM context_symbols WHERE role IS NOT NULL UNION SELECT file_path, regexp_extract(file_path, '^([^/]+)/', 1) FROM context_symbols WHERE file_path IS NOT NULL) GROUP BY 1)
+SELECT root, CASE WHEN coalesce(root, '') = '' THEN 'skip' WHEN root IN (SELECT root FROM b) THEN 'internal' WHEN root IN (SELECT root FROM p) THEN 'external' ELSE 'skip' END AS class, root NOT IN ({_PLUMB}) AND root <> '' AS integration, n FROM r""")
 def f08(spark: SparkSession, d: str) -> DataFrame:
-    """Roots of names: internal, skipped or external."""
-    root = tx.external_root(F.col("qualified_name"))
-    kind = F.when(root.isin("sync", "api", "core"), "internal").when(root.isin("cli", "web"), "skip").otherwise("external")
-    return views.symbols(spark, d).groupBy(root.alias("root"), kind.alias("class")).agg(F.count("*").alias("n"))
+    """Roots of names: the project's own, external (named by the project), or neither; and whether a root is more than plumbing."""
+    s = load(spark, d, "context_symbols")
+    top, first = F.regexp_extract("file_path", "^([^/]+)/", 1), F.substring_index("role", "_", 1)
+    boundary = s.where("file_path is not null").select(top.alias("root"))
+    named = s.where("role is not null").select(first.alias("root"))
+    m = load(spark, d, "messages").where("symbol is not null").select(F.col("symbol").alias("x"), tx.external_root(F.regexp_replace("symbol", "[(].*$", "")).alias("root"))
+    every = m.union(s.where("role is not null").select("role", first)).union(s.where("file_path is not null").select("file_path", top)).distinct()
+    roots = every.groupBy("root").agg(F.count("*").alias("n"))
+    return tx.classify_roots(roots, boundary, named).withColumn("integration", ~F.col("root").isin(*tx.PLUMBING_ROOTS) & (F.col("root") != "")).select("root", "class", "integration", "n")
+
+
+_WORDS = lambda words: f"regexp_matches(lower(content), '{tx._any_word(words)}')"
+_ANCHOR = f"""CASE WHEN {_WORDS(tx.DEPRECATED_WORDS)} THEN 'deprecated' WHEN {_WORDS(tx.WARNING_WORDS)} THEN 'warning' WHEN contains(content, '```') OR contains(lower(source_file), '/examples/') OR contains(lower(source_file), '/tutorial/') THEN 'example'
+WHEN contains(lower(source_file), '/reference/') OR regexp_matches(lower(content), '(?m)^[ \\t]*#{{1,4}}[ \\t]([^\\n]*[^a-z\\n])?({"|".join(tx.HEADING_WORDS)})([^a-z]|$)') OR {_WORDS(tx.DEFINITION_WORDS)} THEN 'definition' ELSE 'reference' END"""
 
 
-@register("f09_anchor_type", f"""{views.sql('chunks')} SELECT chunk_id, CASE WHEN regexp_matches(lower(content), 'deprecated|no longer') THEN 'deprecated' WHEN regexp_matches(lower(content), 'warning|caution|do not') THEN 'warning'
-WHEN regexp_matches(lower(content), 'example|for instance|usage') THEN 'example' WHEN regexp_matches(lower(content), 'is named|is called|means|defines') THEN 'definition' ELSE 'reference' END AS kind FROM chunks""")
+@register("f09_anchor_type", f"{views.sql('chunks')} SELECT chunk_id, {_ANCHOR} AS kind FROM chunks")
 def f09(spark: SparkSession, d: str) -> DataFrame:
-    """Kind of passage by ordered key words."""
-    return views.chunks(spark, d).select("chunk_id", tx.anchor_type(F.col("content")).alias("kind"))
+    """Kind of passage by ordered words, headings, code and folders."""
+    return views.chunks(spark, d).select("chunk_id", tx.anchor_type(F.col("content"), F.col("source_file")).alias("kind"))
 
 
 @register("f11_redaction", "SELECT event_id, md5(props) AS redacted, user_id IS NOT NULL AS had_user FROM events")

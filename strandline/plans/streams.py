@@ -11,6 +11,7 @@ from ..operators import extract
 from ..sources.tables import load
 from ..streaming import jobs as sj
 from ..streaming import windows as sw
+from .sources import _ANCHOR
 from .base import Registry
 
 R = Registry()
@@ -141,13 +142,21 @@ def c05(spark: SparkSession, d: str) -> DataFrame:
     return views.symbols(spark, d).where("name is not null").select("uid", F.coalesce(table[F.substring_index("name", "_", 1)], F.lit("none")).alias("marker"))
 
 
-@register("c07_anchor_confidence")
+_HAS = lambda cond, value: f"CASE WHEN {cond} THEN {value} ELSE 0 END"
+_CONFIDENCE = f"""round(greatest(0.05, least(1.0, 0.68 + {_HAS("regexp_matches(content, '(?m)\\b' || name || '\\b')", 0.14)} + {_HAS("regexp_matches(content, '(?m)^#{1,6}\\s+.*\\b' || name || '\\b')", 0.10)}
++ {_HAS("contains(content, '`' || name || '`') OR contains(content, name || '(')", 0.08)} + CASE WHEN kind IN ('definition', 'warning', 'deprecated') THEN 0.05 WHEN kind = 'example' THEN -0.04 ELSE 0 END)), 3)::DOUBLE"""
+_IDENTIFIERS = "list_sort(list_distinct(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9]*_[A-Za-z0-9_]*[A-Za-z0-9]|[a-z]+[A-Z][A-Za-z0-9]*')))"
+
+
+@register("c07_anchor_confidence", f"""{views.sql('symbols', 'chunks')}, n AS (SELECT name, min(uid) AS uid FROM symbols GROUP BY 1), l AS (SELECT chunk_id, content, {_ANCHOR} AS kind, unnest({_IDENTIFIERS}) AS name FROM chunks)
+SELECT chunk_id, uid, {_CONFIDENCE} AS confidence FROM l JOIN n USING (name)""")
 def c07(spark: SparkSession, d: str) -> DataFrame:
     """Confidence of each link from a chunk to a symbol that it names."""
     names = views.symbols(spark, d).groupBy("name").agg(F.min("uid").alias("uid"))
     c = views.chunks(spark, d)
-    link = c.select("chunk_id", "content", F.explode(tx.identifiers(F.col("content"))).alias("name")).join(names, "name")
-    return link.select("chunk_id", "uid", tx.anchor_confidence(F.lit(0.68), F.col("content"), F.col("name"), tx.anchor_type(F.col("content"))).alias("confidence"))
+    link = c.select("chunk_id", "content", "source_file", F.explode(tx.identifiers(F.col("content"))).alias("name")).join(names, "name")
+    kind = tx.anchor_type(F.col("content"), F.col("source_file"))
+    return link.select("chunk_id", "uid", tx.anchor_confidence(F.lit("identifier"), F.lit(None).cast("double"), F.col("content"), F.col("name"), kind).alias("confidence"))
 
 
 QUERIES, ORACLES = R.queries, R.oracles

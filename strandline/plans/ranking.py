@@ -192,11 +192,17 @@ def r18(spark: SparkSession, d: str) -> DataFrame:
     return ev.join(spark.createDataFrame(rows, "role2 string, e string"), "e").select("uid", "role2").distinct()
 
 
-@register("r19_seed_selection", "WITH c AS (SELECT role, uid, max(utility_score) AS u FROM context_symbols WHERE isfinite(utility_score) AND role IS NOT NULL GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY u DESC, uid) AS r FROM c) SELECT uid, count(*) AS roles, round(max(u) + 0.05 * (count(*) - 1), 6) AS score FROM k WHERE r <= 7 GROUP BY 1")
+@register("r19_seed_selection")
 def r19(spark: SparkSession, d: str) -> DataFrame:
-    """Seven of each role, raised where roles agree."""
-    s = load(spark, d, "context_symbols").where("role is not null and utility_score is not null and not isnan(utility_score) and abs(utility_score) < double('infinity')").groupBy("role", "uid").agg(F.max("utility_score").alias("u"))
-    return lk.top_by(s, ["role"], [F.desc("u"), F.col("uid")], 7).groupBy("uid").agg(F.count("*").alias("roles"), F.round(F.max("u") + 0.05 * (F.count("*") - 1), 6).alias("score"))
+    """Seeds of each snapshot: seven of a role, anchors and an exact hit reserved, raised where roles and channels agree."""
+    fin = F.when(~F.isnan("utility_score") & (F.abs("utility_score") < float("inf")), F.col("utility_score"))
+    shown = load(spark, d, "retrieval_snapshots").where("feedback_token is not null").groupBy("feedback_token").agg(F.min("symbol").alias("asked"))
+    s = load(spark, d, "context_symbols").where("feedback_token is not null and uid is not null and role is not null").join(shown, "feedback_token", "left")
+    c = s.groupBy("feedback_token", "role", "uid").agg(F.max(fin).alias("u"), F.max(F.coalesce(F.col("symbol") == F.col("asked"), F.lit(False))).alias("exact"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("provenance", F.array().cast("array<string>")))))).alias("channels"))
+    c = c.withColumn("place", F.row_number().over(W.partitionBy("feedback_token", "role").orderBy(F.desc_nulls_last("u"), "uid")))
+    c = c.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("u", F.lit(0.0)))))
+    got = se.select_seeds(c, "feedback_token", ["orchestrator", "executor"], frozenset({"abstract_contract"}), role_boost=0.05, channel_boost=0.02, exact_boost=0.1)
+    return got.withColumn("score", F.round("score", 6))
 
 
 @register("r20_path_proximity", rf"{views.sql('symbols')} SELECT uid, CASE WHEN regexp_replace(file_path, '/?[^/]*$', '') = 'sync' THEN 0.15 WHEN regexp_replace(file_path, '/?[^/]*$', '') <> '' AND regexp_replace(regexp_replace(file_path, '/?[^/]*$', ''), '/?[^/]*$', '') = '' THEN 0.05 ELSE 0 END::DOUBLE AS boost FROM symbols")
@@ -244,23 +250,35 @@ def o03(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("parent").agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("members"), F.count("*").alias("n")).where("n >= 2")
 
 
-@register("o04_leader_pool", """WITH c AS (SELECT feedback_token AS q, uid, max(relevance_score) AS u FROM context_symbols WHERE isfinite(relevance_score) AND feedback_token IS NOT NULL GROUP BY 1, 2), m AS (SELECT q, u, 100 * u / max(u) OVER (PARTITION BY q) AS g FROM c), a AS (SELECT q, median(g) AS med FROM m GROUP BY 1), b AS (SELECT q, any_value(med) AS med, median(abs(g - med)) AS mad FROM m JOIN a USING (q) GROUP BY 1)
-SELECT q, round(any_value(med + 1.4826 * mad), 6) AS noise, count(*) FILTER (WHERE g > med + 1.4826 * mad) AS leaders FROM m JOIN b USING (q) GROUP BY 1""")
+_POOL = "c AS (SELECT feedback_token AS q, uid, greatest(max(relevance_score), 1e-9) AS u FROM context_symbols WHERE isfinite(relevance_score) AND feedback_token IS NOT NULL AND uid IS NOT NULL GROUP BY 1, 2)"
+
+
+@register("o04_leader_pool", f"""WITH {_POOL}, m AS (SELECT q, max(u) AS peak, median(u) AS mid, count(*) AS n FROM c GROUP BY 1), g AS (SELECT q, u, 100.0 * u / peak AS g, mid, n FROM c JOIN m USING (q)), a AS (SELECT q, median(g) FILTER (WHERE u <= mid) AS med FROM g GROUP BY 1),
+b AS (SELECT q, median(abs(g - med)) FILTER (WHERE u <= mid) AS mad FROM g JOIN a USING (q) GROUP BY 1), x AS (SELECT q, g, n, CASE WHEN n <= 1 THEN 1.0 ELSE greatest(1.0, med + 1.4826 * mad) END AS noise FROM g JOIN a USING (q) JOIN b USING (q))
+SELECT q, round(max(noise), 6) AS noise, greatest(1, count(*) FILTER (WHERE g > noise AND n > 1)) AS leaders, greatest(1, floor(6000 / greatest(1, count(*) FILTER (WHERE g > noise AND n > 1))))::BIGINT AS step_limit FROM x GROUP BY 1""")
 def o04(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates that stand out of each query's noise."""
-    s = load(spark, d, "context_symbols").where("feedback_token is not null and relevance_score is not null and not isnan(relevance_score) and abs(relevance_score) < double('infinity')").groupBy(F.col("feedback_token").alias("q"), "uid").agg(F.max("relevance_score").alias("u"))
-    m = s.join(s.groupBy("q").agg(F.max("u").alias("peak")), "q").withColumn("g", 100 * F.col("u") / F.col("peak"))
-    m = m.join(m.groupBy("q").agg(F.percentile("g", 0.5).alias("med")), "q")
-    m = m.join(m.groupBy("q").agg(F.percentile(F.abs(F.col("g") - F.col("med")), 0.5).alias("mad")), "q").withColumn("noise", F.col("med") + 1.4826 * F.col("mad"))
-    return m.groupBy("q").agg(F.round(F.max("noise"), 6).alias("noise"), F.count(F.when(F.col("g") > F.col("noise"), 1)).alias("leaders"))
+    """How weak each query's noise is, how many stand out of it, and what each may spend of 6000 tokens."""
+    return se.leaders(_pool(spark, d), "q", "u", 6000).withColumn("noise", F.round("noise", 6))
+
+
+def _pool(spark: SparkSession, d: str) -> DataFrame:
+    s = load(spark, d, "context_symbols").where("feedback_token is not null and uid is not null and relevance_score is not null and not isnan(relevance_score) and abs(relevance_score) < double('infinity')")
+    return s.groupBy(F.col("feedback_token").alias("q"), "uid").agg(F.max("relevance_score").alias("u"), F.min("file_path").alias("file_path"), F.min("role").alias("role"), F.min("relation").alias("relation"), F.max("is_dirty").alias("passive"), F.max(F.coalesce(tx.token_estimate(F.col("code")), F.lit(20))).alias("tokens"))
 
 
 @register("o05_coverage_packer")
 def o05(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy selection under a budget of 400 tokens for each snapshot, from its 50 best."""
-    s = load(spark, d, "context_symbols").where("feedback_token is not null and uid is not null and relevance_score is not null and not isnan(relevance_score) and abs(relevance_score) < double('infinity')")
-    c = s.groupBy(F.col("feedback_token").alias("query"), "uid").agg(F.max("relevance_score").alias("utility"), F.min("file_path").alias("file_path"), F.max(F.coalesce(tx.token_estimate(F.col("code")), F.lit(20))).alias("tokens"))
-    return se.pack(lk.top_by(c, ["query"], [F.desc("utility"), F.col("uid")], 50), "query", 400)
+    """Bundles bought under a budget of 400 tokens for each snapshot; a bundle is a symbol and the one after it."""
+    c = _pool(spark, d).where("u > 0")
+    w = W.partitionBy("q").orderBy("uid")
+    one = F.struct("uid", "tokens", F.lit(0.0).alias("semantic"))
+    c = c.withColumn("own", one).withColumn("next", F.lead("own").over(w))
+    tier = F.create_map(*[F.lit(x) for kv in se.PACK_TIER.items() for x in kv])[tx.file_tier(F.col("file_path"))]
+    weight = F.coalesce(tier, F.lit(1.0))
+    files = F.when(F.col("file_path").isNotNull(), F.array(F.struct(F.col("file_path").alias("path"), weight.alias("weight")))).otherwise(F.array().cast("array<struct<path:string,weight:double>>"))
+    steps = F.array_compact(F.array("relation"))
+    b = c.select("q", F.col("uid").alias("bundle"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("passive", F.lit(False)).alias("passive"), F.col("u").alias("utility"), weight.alias("weight"), F.lit(0.0).alias("bridge"), files.alias("files"), steps.alias("steps"), F.array_compact(F.array("own", "next")).alias("symbols"))
+    return se.pack(b, "q", 400).withColumn("gain", F.round("gain", 6))
 
 
 @register("o01_render_ladder", "SELECT uid, string_split(max(code), chr(10))[1] AS signature, length(max(code)) AS n_full FROM context_symbols WHERE code IS NOT NULL AND code <> '' AND uid IS NOT NULL GROUP BY 1")

@@ -122,11 +122,6 @@ def test_lookups(spark):
     assert rows(lookups.as_of(left, right, ["k"], "at", ["v"])) == [(1, 0, None), (1, 5, "y"), (2, 9, None), (3, None, None)]
 
 
-def test_pack_greedy(spark):
-    c = spark.createDataFrame([("q", "a", "f", 1.0, 10), ("q", "b", "f", 0.9, 10), ("q", "c", "g", 0.8, 10), ("q", "d", "h", 0.5, 1000), ("q", "a", "f", 1.0, 10)], "query string, uid string, file_path string, utility double, tokens long")
-    assert [r.uid for r in selection.pack(c, "query", 20).orderBy("place").collect()] == ["a", "c"]
-    assert selection.pack(c.where("false"), "query", 20).count() == 0
-
 
 def test_ranking(spark):
     s = spark.createDataFrame([(float(x), x > 3) for x in [1, 2, 3, 3, 4, 5, 5]], "s double, g boolean")

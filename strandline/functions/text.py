@@ -150,3 +150,47 @@ def classify_roots(roots: DataFrame, boundary: DataFrame, named: DataFrame) -> D
     b, n = boundary.select("root").distinct().withColumn("__b", F.lit(True)), named.select("root").distinct().withColumn("__n", F.lit(True))
     kind = F.when(F.coalesce("root", F.lit("")) == "", "skip").when(F.col("__b"), "internal").when(F.col("__n"), "external").otherwise("skip")
     return roots.join(b, "root", "left").join(n, "root", "left").withColumn("class", kind).drop("__b", "__n")
+
+
+#: Bounds of a request's limit and token budget.
+LIMIT_BOUNDS, BUDGET_BOUNDS = (1, 50), (400, 32_000)
+
+
+def bounded(c: Column, bounds: tuple[int, int]) -> Column:
+    """A number brought within bounds."""
+    return F.least(F.lit(bounds[1]), F.greatest(F.lit(bounds[0]), c))
+
+
+def lines(text: Column, first: Column, last: Column) -> Column:
+    """The lines of a text from ``first`` to ``last``, counted from 1, both included; null for a null text, empty if there are none."""
+    every = F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n")
+    return F.array_join(F.slice(every, F.greatest(F.lit(1), first), F.greatest(F.lit(0), last - F.greatest(F.lit(1), first) + 1)), "\n")
+
+
+def same_path(a: Column, b: Column) -> Column:
+    """Whether two paths may mean one file: equal, or one the end of the other at a folder's border."""
+    return (a == b) | F.endswith(a, F.concat(F.lit("/"), b)) | F.endswith(b, F.concat(F.lit("/"), a))
+
+
+def redact(values: Column, safe: tuple[str, ...]) -> Column:
+    """``kept, redacted`` of a map: the entries with safe names, and the sorted names of the others that hold something."""
+    kept = F.map_filter(values, lambda k, v: k.isin(*safe))
+    gone = F.sort_array(F.map_keys(F.map_filter(values, lambda k, v: ~k.isin(*safe) & v.isNotNull())))
+    return F.struct(kept.alias("kept"), gone.alias("redacted"))
+
+
+def http_fingerprint(method: Column, path: Column) -> Column:
+    """What a client and a handler have in common: the method in capitals (GET where none is said) and the route in one notation."""
+    m = F.upper(F.trim(F.coalesce(method, F.lit(""))))
+    return F.concat(F.when(m == "", "GET").otherwise(m), F.lit(" "), http_path(path))
+
+
+#: Relative weights of budgets by intent; the least of them is the caller's own budget.
+BUDGET_WEIGHTS, MODE_INTENTS = {"architecture": 12_000, "impact": 6_000}, ("impact_analysis", "trace_dependency", "impact", "trace")
+
+
+def budget(intent: Column, base: Column) -> Column:
+    """Tokens for an intent: the weight of impact if the question is about impact or a trace, of architecture otherwise, scaled so that the least weight is ``base``."""
+    least = min(BUDGET_WEIGHTS.values())
+    weight = F.when(intent.isin(*MODE_INTENTS), BUDGET_WEIGHTS["impact"]).otherwise(BUDGET_WEIGHTS["architecture"])
+    return F.greatest(F.lit(1), F.round(base * weight / F.lit(float(least))).cast("bigint"))

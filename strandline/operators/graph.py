@@ -141,6 +141,23 @@ def propagate(edges: DataFrame, flagged: DataFrame, rounds: int = 6) -> DataFram
     return reach(directed(edges, "reverse"), flagged.select(F.lit("*").alias("seed"), "node"), rounds).select("node")
 
 
+#: Fixed value: what a primary gains for each other role near it.
+ROLE_BOOST = 0.15
+
+
+def cross_role(edges: DataFrame, primary: DataFrame, secondary: DataFrame, hops: int = 2, keep_all: bool = False) -> DataFrame:
+    """``node, roles, boost``: of the primary candidates (node) those within ``hops`` of other roles' candidates (node, role), raised by the number of roles.
+
+    ``edges`` as from directed(). If none is near, all are given back without a boost; ``keep_all`` gives the others too.
+    """
+    near = reach(edges, secondary.select(F.col("role").alias("seed"), "node"), hops)
+    hit = near.join(primary.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.countDistinct("seed").alias("roles"))
+    hit = _cut(hit)
+    if keep_all or hit.isEmpty():
+        hit = primary.select("node").distinct().join(hit, "node", "left").withColumn("roles", F.coalesce("roles", F.lit(0)))
+    return hit.withColumn("boost", F.round(ROLE_BOOST * F.col("roles"), 2))
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """``node, out, inn``: maps from relation to the sorted neighbours, in either direction."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit("out").alias("way"), F.col("rel_type").alias("t"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("node"), F.lit("in").alias("way"), F.col("rel_type").alias("t"), F.col("src").alias("other")))).alias("e")).select("e.*")

@@ -62,6 +62,44 @@ def best_match(refs: DataFrame, candidates: DataFrame, ref_key: str, rules: Sequ
     return first_by(out, [ref_key], list(order)).select(*keep)
 
 
+def dotted_suffixes(c: Column) -> Column:
+    """``c``, ``b.c``, ``a.b.c`` of ``a.b.c``."""
+    parts = F.split(c, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """``imported, file_path``: each import's file. ``imports``: imported, candidates (array of paths); ``files``: file_path.
+
+    Candidates are tried in sorted order; one that is a file's path counts first, else the first file (by path) of which it is the last one to five
+    segments. Imports without a file are left out.
+    """
+    tried = imports.select("imported", F.posexplode(F.array_sort(F.array_distinct("candidates"))).alias("place", "suffix"))
+    each = files.where("file_path is not null").select("file_path").distinct()
+    index = each.select("file_path", F.explode(path_suffixes(F.col("file_path"))).alias("suffix")).groupBy("suffix").agg(F.min("file_path").alias("file_path"))
+    exact = tried.join(each.withColumn("suffix", F.col("file_path")), "suffix").withColumn("rule", F.lit(0))
+    ending = tried.join(index, "suffix").withColumn("rule", F.lit(1))
+    return first_by(exact.unionByName(ending), ["imported"], [F.col("place"), F.col("rule"), F.col("file_path")]).select("imported", "file_path")
+
+
+def bind_targets(bindings: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``bindings`` (proxy, target) with ``uid``: of the symbols whose qualified name is the target or ends in it at a dot the one of the shortest name."""
+    ends = symbols.select(F.col("uid"), "qualified_name", F.explode(dotted_suffixes(F.col("qualified_name"))).alias("target"))
+    return first_by(bindings.join(ends, "target"), ["proxy"], [F.length("qualified_name"), F.col("qualified_name"), F.col("uid")]).drop("qualified_name")
+
+
+def link_bases(inherits: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """``sub_uid, base_uid``: classes with the classes of the base's name in the same file or in one that it imports.
+
+    ``inherits``: sub_uid, base_name, file_path; ``symbols``: uid, name, kind, file_path; ``imports``: file_path, imported. Two equi-joins on name and file
+    in place of an OR.
+    """
+    base = symbols.where("kind = 'class'").select(F.col("uid").alias("base_uid"), F.col("name").alias("base_name"), "file_path")
+    near = inherits.select("sub_uid", "base_name", "file_path")
+    far = near.join(imports.select("file_path", "imported").distinct(), "file_path").select("sub_uid", "base_name", F.col("imported").alias("file_path"))
+    return near.unionByName(far).distinct().join(base, ["base_name", "file_path"]).where("sub_uid <> base_uid").select("sub_uid", "base_uid").distinct()
+
+
 def abstain_join(left: DataFrame, right: DataFrame, left_key: str, on: str, least: int = 1, most: int = 3) -> DataFrame:
     """left joined with right on ``on``, keeping only rows of left with ``least`` to ``most`` matches; matches are counted before they are joined."""
     counts = right.groupBy(on).agg(F.count("*").alias("__c")).where(F.col("__c").between(least, most)).select(on)
@@ -110,6 +148,30 @@ def innermost(points: DataFrame, spans: DataFrame, on: str, at: str, bin_size: i
     return first_by(hit, points.columns, [F.expr("end - start"), F.col("start"), F.col("uid")])
 
 
+def overlay_callers(sites: DataFrame, spans: DataFrame, most: int = 50) -> DataFrame:
+    """``file_path, uid, name, line``: the innermost symbols around the call sites of each name, once for each file and caller, never the name itself, ``most`` of a name.
+
+    ``sites``: file_path, line, name (what is called); ``spans``: file_path, uid, symbol, start, end. The first site of a caller counts; callers are in order of file and line.
+    """
+    around = innermost(sites.select("file_path", "line", "name").distinct(), spans, "file_path", "line").where("symbol <> name")
+    one = around.groupBy("name", "file_path", "uid").agg(F.min("line").alias("line"))
+    return top_by(one, ["name"], [F.col("file_path"), F.col("line"), F.col("uid")], most).select("file_path", "uid", "name", "line")
+
+
+def promote_contained(containers: DataFrame, on: str = "file_path") -> DataFrame:
+    """``uid, channels, spans, score``: spans (on, uid, start, end, channels, score) with the evidence of all spans inside them: all channels, all spans, the best score.
+
+    Spans of another symbol of the same file count, each once. Symbols that hold none are left out.
+    """
+    c = containers.select(on, "uid", "start", "end", "channels", "score")
+    common = overlaps(c, c, on).where("left_uid <> right_uid")
+    inner = c.select(on, F.col("uid").alias("right_uid"), "start", "end", "channels", "score")
+    held = common.join(inner, [on, "right_uid", "start", "end"]).select(F.col("left_uid").alias("uid"), "start", "end", "channels", "score")
+    every = held.unionByName(c.select("uid", "start", "end", "channels", "score").join(held.select("uid").distinct(), "uid", "left_semi"))
+    spread = every.select("uid", F.struct("start", "end").alias("span"), "score", F.explode_outer("channels").alias("channel"))
+    return spread.groupBy("uid").agg(F.sort_array(F.collect_set("channel")).alias("channels"), F.sort_array(F.collect_set("span")).alias("spans"), F.max("score").alias("score"))
+
+
 def overlaps(left: DataFrame, right: DataFrame, on: str, bin_size: int = 64) -> DataFrame:
     """``on, left_uid, right_uid, start, end``: the common part of spans (on, uid, start, end) of both sides, each pair once."""
     cut = lambda df, p: df.where("start <= end").select(on, *[F.col(c).alias(f"{p}_{c}") for c in ("uid", "start", "end")], F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor(F.col("end") / bin_size))).alias("__b"))

@@ -86,12 +86,6 @@ def a15(spark: SparkSession, d: str) -> DataFrame:
     return p.join(n, "node", "left").select("node", F.round(1 / F.log(F.greatest(F.coalesce("k", F.lit(1)), F.lit(1)) + 1), 9).alias("weight"))
 
 
-@register("a16_chunk_rollup", f"{views.sql('chunks')} SELECT owner_uid, min(score) AS best, count(*) AS n FROM chunks WHERE owner_uid IS NOT NULL GROUP BY 1")
-def a16(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks rolled up to their owners."""
-    return views.chunks(spark, d).where("owner_uid is not null").groupBy("owner_uid").agg(F.min("score").alias("best"), F.count("*").alias("n"))
-
-
 @register("a17_keep_best", "SELECT user_id, arg_max(event_id, {'v': value, 'i': event_id}) AS event_id FROM events GROUP BY 1")
 def a17(spark: SparkSession, d: str) -> DataFrame:
     """The best row of each key."""
@@ -124,12 +118,6 @@ def a21(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "embedding_cache").rollup("model_name", "model_version").agg(F.count(F.lit(1)).alias("entries"), F.count(F.when(F.col("vector").isNull(), 1)).alias("empty"))
 
 
-@register("a22_files_with_counts", "SELECT n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
-def a22(spark: SparkSession, d: str) -> DataFrame:
-    """Every file with the number of its symbols."""
-    return load(spark, d, "nation").join(load(spark, d, "customer"), F.col("n_nationkey") == F.col("c_nationkey"), "left").groupBy("n_name").agg(F.count("c_custkey").alias("customers"))
-
-
 @register("a23_explain_groups", f"""{views.sql('edges')}, l AS (SELECT 'out:' || rel_type AS label, dst AS other FROM edges WHERE src = 'P2' UNION SELECT 'in:' || rel_type, src FROM edges WHERE dst = 'P2') SELECT label, other, size FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY other) AS r, count(*) OVER (PARTITION BY label) AS size FROM l) WHERE r <= 8""")
 def a23(spark: SparkSession, d: str) -> DataFrame:
     """A symbol's connections by directed label, eight of each, with the size of the group."""
@@ -255,13 +243,6 @@ def w12(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("target").agg(F.max(F.struct("updated_at", "id"))["id"].alias("id"))
 
 
-@register("w13_preferred_latest", "SELECT conversation_id, arg_min(id, {'p': CASE WHEN lower(trim(role)) = 'assistant' THEN 0 ELSE 1 END, 'i': id}) AS id FROM messages WHERE conversation_id IS NOT NULL AND id IS NOT NULL GROUP BY 1")
-def w13(spark: SparkSession, d: str) -> DataFrame:
-    """One message of each conversation, the assistant's if there is one."""
-    m = load(spark, d, "messages").where("conversation_id is not null and id is not null")
-    return m.groupBy("conversation_id").agg(F.min(F.struct(F.when(F.lower(F.trim("role")) == "assistant", 0).otherwise(1).alias("p"), "id"))["id"].alias("id"))
-
-
 @register("w14_head_diff", "SELECT event_id, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS changed FROM events")
 def w14(spark: SparkSession, d: str) -> DataFrame:
     """Whether a state differs from the one before."""

@@ -41,34 +41,6 @@ def j01(spark: SparkSession, d: str) -> DataFrame:
     return refs.join(exact, "callee", "left").join(member, "callee", "left").join(bare, "callee", "left").select("callee", F.coalesce("x", "p", "n").alias("uid")).where("uid is not null")
 
 
-@register("j02_edge_write", f"{views.sql('edges')} SELECT DISTINCT src, dst, rel_type FROM edges WHERE src <> dst AND src IN (SELECT 'C' || c_custkey FROM customer WHERE c_acctbal > 0) AND dst IN (SELECT 'P' || p_partkey FROM part WHERE p_size > 25)")
-def j02(spark: SparkSession, d: str) -> DataFrame:
-    """Edges whose ends both exist, without loops and repeats."""
-    a = load(spark, d, "customer").where("c_acctbal > 0").select(F.concat(F.lit("C"), "c_custkey").alias("src"))
-    b = load(spark, d, "part").where("p_size > 25").select(F.concat(F.lit("P"), "p_partkey").alias("dst"))
-    return views.edges(spark, d).where("src <> dst").join(a, "src", "left_semi").join(b, "dst", "left_semi").select("src", "dst", "rel_type").distinct()
-
-
-@register("j03_import_suffix", f"""{views.sql('symbols')}, f AS (SELECT DISTINCT file_path FROM symbols WHERE file_path IS NOT NULL),
-i AS (SELECT DISTINCT regexp_extract(source_file, '([^/]+)\\.[a-z]+$', 1) || '.py' AS imported FROM context_docs WHERE source_file IS NOT NULL)
-SELECT imported, min(file_path) AS file_path FROM i JOIN f ON file_path = imported OR ends_with(file_path, '/' || imported) GROUP BY 1""")
-def j03(spark: SparkSession, d: str) -> DataFrame:
-    """Imports resolved by path suffix: suffixes of files are exploded and joined for equality, the first path wins."""
-    files = views.symbols(spark, d).where("file_path is not null").select("file_path").distinct().withColumn("imported", F.explode(lk.path_suffixes(F.col("file_path"))))
-    imp = load(spark, d, "context_docs").where("source_file is not null").select(F.concat(F.regexp_extract("source_file", r"([^/]+)\.[a-z]+$", 1), F.lit(".py")).alias("imported")).distinct()
-    return imp.join(files, "imported").groupBy("imported").agg(F.min("file_path").alias("file_path"))
-
-
-@register("j04_inheritance_link", f"""{views.sql('symbols')}, c AS (SELECT uid, name, file_path, regexp_extract(file_path, '^([^/]+)/', 1) AS pkg, lower(left(name, 4)) AS stem FROM symbols WHERE kind = 'class')
-SELECT DISTINCT a.uid AS sub_uid, b.uid AS base_uid FROM c a JOIN c b ON a.stem = b.stem AND a.uid <> b.uid AND (a.file_path = b.file_path OR a.pkg = b.pkg)""")
-def j04(spark: SparkSession, d: str) -> DataFrame:
-    """A join on name in the same file or the same package, as a union of two equi-joins instead of an OR."""
-    c = views.symbols(spark, d).where("kind = 'class'").select("uid", "file_path", F.regexp_extract("file_path", "^([^/]+)/", 1).alias("pkg"), F.lower(F.substring("name", 1, 4)).alias("stem"))
-    a, b = c.select([F.col(x).alias(f"a_{x}") for x in c.columns]), c.select([F.col(x).alias(f"b_{x}") for x in c.columns])
-    parts = [a.join(b, (F.col("a_stem") == F.col("b_stem")) & (F.col(f"a_{on}") == F.col(f"b_{on}"))) for on in ("file_path", "pkg")]
-    return parts[0].union(parts[1]).where("a_uid <> b_uid").select(F.col("a_uid").alias("sub_uid"), F.col("b_uid").alias("base_uid")).distinct()
-
-
 @register("j09_abstain_join", f"""{views.sql('symbols')}, h AS (SELECT DISTINCT symbol AS name FROM messages WHERE symbol <> ''), m AS (SELECT h.name, uid, count(*) OVER (PARTITION BY h.name) AS n FROM h JOIN symbols USING (name)) SELECT name, uid FROM m WHERE n BETWEEN 1 AND 3""")
 def j09(spark: SparkSession, d: str) -> DataFrame:
     """Hooks linked by name where one to three symbols have it; more is ambiguous and links to none."""
@@ -104,55 +76,6 @@ def j12(spark: SparkSession, d: str) -> DataFrame:
     return lk.capped_bridge(side("A", "src"), side("R", "dst"), "key", 12)
 
 
-_ROUTE = r"regexp_replace(regexp_replace('/' || regexp_replace(regexp_replace(lower(trim(raw)), '\?.*$', ''), '(<[^>]*>|\{[^}]*\}|:[a-z_][a-z0-9_]*)', '{}', 'g'), '/+', '/', 'g'), '(.)/$', '\1')"
-
-
-@register("j13_http_bridge", f"""WITH h AS (SELECT DISTINCT file_path, '/' || replace(file_path, '.', '/') || '/{{uid}}/' AS raw FROM context_symbols WHERE file_path IS NOT NULL), c AS (SELECT DISTINCT file_path AS client, upper(replace(file_path, '.', '/')) || '//:id?x=1' AS raw FROM context_symbols WHERE file_path IS NOT NULL)
-SELECT client, file_path AS handler, {_ROUTE.replace('raw', 'c.raw')} AS route FROM c JOIN h ON {_ROUTE.replace('raw', 'c.raw')} = {_ROUTE.replace('raw', 'h.raw')}""")
-def j13(spark: SparkSession, d: str) -> DataFrame:
-    """Clients and handlers that meet on a normalised route."""
-    f = load(spark, d, "context_symbols").where("file_path is not null").select("file_path").distinct()
-    p = F.replace("file_path", F.lit("."), F.lit("/"))
-    h = f.select(F.col("file_path").alias("handler"), tx.http_path(F.concat(F.lit("/"), p, F.lit("/{uid}/"))).alias("route"))
-    c = f.select(F.col("file_path").alias("client"), tx.http_path(F.concat(F.upper(p), F.lit("//:id?x=1"))).alias("route"))
-    return c.join(h, "route")
-
-
-@register("j14_endpoint_counterpart", f"{views.sql('edges')} SELECT b.src AS counterpart, count(DISTINCT a.dst) AS reach FROM edges a JOIN edges b ON a.dst = b.dst WHERE a.src = 'S1' AND a.rel_type = 'USES_TYPE' AND b.rel_type = 'CALLS_DIRECT' GROUP BY 1")
-def j14(spark: SparkSession, d: str) -> DataFrame:
-    """What meets a seed at the same endpoint from the other side, with the number of endpoints."""
-    e = views.edges(spark, d)
-    mine = e.where("src = 'S1' and rel_type = 'USES_TYPE'").select("dst").distinct()
-    return e.where("rel_type = 'CALLS_DIRECT'").join(mine, "dst", "left_semi").groupBy(F.col("src").alias("counterpart")).agg(F.countDistinct("dst").alias("reach"))
-
-
-@register("j15_attribute_access", f"""{views.sql('symbols')}, {_REFS}, x AS (SELECT callee, min(uid) AS u FROM refs JOIN symbols ON qualified_name = callee GROUP BY 1), n AS (SELECT callee, min(uid) AS u FROM refs JOIN symbols ON name = callee GROUP BY 1 HAVING count(*) = 1)
-SELECT callee, coalesce(x.u, n.u) AS uid, CASE WHEN callee LIKE '%set%' THEN 'WRITES_ATTR' ELSE 'READS_ATTR' END AS rel_type FROM refs LEFT JOIN x USING (callee) LEFT JOIN n USING (callee) WHERE coalesce(x.u, n.u) IS NOT NULL""")
-def j15(spark: SparkSession, d: str) -> DataFrame:
-    """Attributes resolved by qualified name, else by a unique bare name; split into reads and writes."""
-    sy = views.symbols(spark, d)
-    x = sy.groupBy(F.col("qualified_name").alias("callee")).agg(F.min("uid").alias("x"))
-    n = lk.unique_by(sy, "name").select(F.col("name").alias("callee"), F.col("uid").alias("n"))
-    rel = F.when(F.col("callee").contains("set"), "WRITES_ATTR").otherwise("READS_ATTR")
-    return _refs(spark, d, sy).join(x, "callee", "left").join(n, "callee", "left").select("callee", F.coalesce("x", "n").alias("uid"), rel.alias("rel_type")).where("uid is not null")
-
-
-@register("j16_best_match", f"""{views.sql('symbols')}, {_REFS}, m AS (SELECT callee, uid, 0 AS rule, length(qualified_name) AS n FROM refs JOIN symbols ON qualified_name = callee UNION ALL SELECT callee, uid, 1, length(qualified_name) FROM refs JOIN symbols ON name = callee)
-SELECT callee, uid FROM (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY rule, n, uid) AS r FROM m) WHERE r = 1""")
-def j16(spark: SparkSession, d: str) -> DataFrame:
-    """The best of all candidates by qualified or bare name: exact first, then the shortest name, then the uid."""
-    sy = views.symbols(spark, d)
-    return lk.best_match(_refs(spark, d, sy), sy, "callee", [("callee", "qualified_name"), ("callee", "name")], [F.col("__rule"), F.length("qualified_name"), F.col("uid")], ["callee", "uid"])
-
-
-@register("j40_kind_lookup", f"""{views.sql('symbols')}, {_REFS}, m AS (SELECT callee, uid, 0 AS rule, length(qualified_name) AS n FROM refs JOIN symbols ON qualified_name = callee WHERE kind = 'class' UNION ALL SELECT callee, uid, 1, length(qualified_name) FROM refs JOIN symbols ON name = callee WHERE kind = 'class')
-SELECT callee, uid FROM (SELECT *, row_number() OVER (PARTITION BY callee ORDER BY rule, n, uid) AS r FROM m) WHERE r = 1""")
-def j40(spark: SparkSession, d: str) -> DataFrame:
-    """The same among symbols of one kind."""
-    sy = views.symbols(spark, d)
-    return lk.best_match(_refs(spark, d, sy), sy.where("kind = 'class'"), "callee", [("callee", "qualified_name"), ("callee", "name")], [F.col("__rule"), F.length("qualified_name"), F.col("uid")], ["callee", "uid"])
-
-
 @register("j19_integrates_with", """WITH d AS (SELECT DISTINCT l_suppkey AS i, l_partkey AS g FROM lineitem WHERE l_returnflag = 'R'), s AS (SELECT g FROM d GROUP BY 1 HAVING count(*) >= 2)
 SELECT a.i AS a, b.i AS b, count(*) AS shared FROM d a JOIN d b ON a.g = b.g AND a.i < b.i WHERE a.g IN (SELECT g FROM s) GROUP BY 1, 2 HAVING count(*) >= 2""")
 def j19(spark: SparkSession, d: str) -> DataFrame:
@@ -199,27 +122,6 @@ def j25(spark: SparkSession, d: str) -> DataFrame:
     return last.where("quality is not null").join(load(spark, d, "documents"), "doc_id").select("doc_id", "source", "quality")
 
 
-@register("j26_history_bundle", """WITH m AS (SELECT DISTINCT id, conversation_id, trace_id FROM messages WHERE id IS NOT NULL), c AS (SELECT id AS conversation_id, min(title) AS title FROM conversations GROUP BY 1), s AS (SELECT trace_id, min(feedback_token) AS feedback_token FROM retrieval_snapshots GROUP BY 1)
-SELECT m.id, title, feedback_token FROM m LEFT JOIN c USING (conversation_id) LEFT JOIN s USING (trace_id)""")
-def j26(spark: SparkSession, d: str) -> DataFrame:
-    """Each message with its conversation and its snapshot, if there are any."""
-    m = load(spark, d, "messages").where("id is not null").select("id", "conversation_id", "trace_id").distinct()
-    c = load(spark, d, "conversations").groupBy(F.col("id").alias("conversation_id")).agg(F.min("title").alias("title"))
-    s = load(spark, d, "retrieval_snapshots").groupBy("trace_id").agg(F.min("feedback_token").alias("feedback_token"))
-    return m.join(c, "conversation_id", "left").join(s, "trace_id", "left").select("id", "title", "feedback_token")
-
-
-@register("j27_proximity_boost", f"""{views.sql('edges')}, h AS (SELECT a.src AS node, b.rel_type AS role FROM edges a JOIN edges b ON a.dst = b.src WHERE a.rel_type = 'CALLS_DIRECT' AND b.rel_type = 'DEPENDS_ON' AND b.dst IN ('P1', 'P2', 'P3') UNION SELECT src, rel_type FROM edges WHERE rel_type LIKE 'CALLS%' AND dst IN ('P1', 'P2', 'P3'))
-SELECT node, count(DISTINCT role) AS roles, round(0.15 * count(DISTINCT role), 2)::DOUBLE AS boost FROM h GROUP BY 1""")
-def j27(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes within two hops of other roles' candidates, raised by the number of roles."""
-    e = views.edges(spark, d)
-    near = e.where(F.col("dst").isin("P1", "P2", "P3"))
-    two = e.where("rel_type = 'CALLS_DIRECT'").select("src", F.col("dst").alias("mid")).join(near.where("rel_type = 'DEPENDS_ON'").select(F.col("src").alias("mid"), F.col("rel_type").alias("role")), "mid").select(F.col("src").alias("node"), "role")
-    one = near.where("rel_type like 'CALLS%'").select(F.col("src").alias("node"), F.col("rel_type").alias("role"))
-    return two.union(one).groupBy("node").agg(F.countDistinct("role").alias("roles")).withColumn("boost", F.round(0.15 * F.col("roles"), 2))
-
-
 @register("j28_connectivity", f"{views.sql('edges')} SELECT p.p_partkey, count(DISTINCT e.src) AS linked FROM part p LEFT JOIN edges e ON e.dst = 'P' || p.p_partkey AND e.rel_type = 'CALLS_DIRECT' GROUP BY 1")
 def j28(spark: SparkSession, d: str) -> DataFrame:
     """Distinct neighbours of each seed in the pool, zero kept."""
@@ -228,18 +130,6 @@ def j28(spark: SparkSession, d: str) -> DataFrame:
     return p.join(n, "dst", "left").select("p_partkey", F.coalesce("linked", F.lit(0)).alias("linked"))
 
 
-_DIRTY = "o AS (SELECT uid, max(code) AS code FROM context_symbols WHERE is_dirty AND uid IS NOT NULL GROUP BY 1), b AS (SELECT uid, max(code) AS code FROM context_symbols WHERE NOT is_dirty AND uid IS NOT NULL GROUP BY 1)"
-
-
-@register("j29_overlay_override", f"WITH {_DIRTY} SELECT b.uid, coalesce(length(o.code), length(b.code)) AS n, o.uid IS NOT NULL AS overlaid FROM b LEFT JOIN o ON o.uid = b.uid")
-def j29(spark: SparkSession, d: str) -> DataFrame:
-    """Stored bodies, replaced by unsaved ones where there are any."""
-    s = load(spark, d, "context_symbols").where("uid is not null")
-    o = s.where("is_dirty").groupBy("uid").agg(F.max("code").alias("ocode"), F.lit(True).alias("overlaid"))
-    b = s.where("not is_dirty").groupBy("uid").agg(F.max("code").alias("code"))
-    return b.join(o, "uid", "left").select("uid", F.coalesce(F.length("ocode"), F.length("code")).alias("n"), F.coalesce("overlaid", F.lit(False)).alias("overlaid"))
-
-
 @register("j30_overlay_dedupe", "SELECT DISTINCT file_path, symbol FROM context_symbols WHERE NOT is_dirty AND file_path IS NOT NULL AND symbol IS NOT NULL EXCEPT SELECT file_path, symbol FROM context_symbols WHERE is_dirty AND file_path IS NOT NULL AND symbol IS NOT NULL")
 def j30(spark: SparkSession, d: str) -> DataFrame:
     """Committed callers that no unsaved one replaces."""
@@ -284,23 +174,6 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "context_symbols").where("uid is not null and file_path is not null and start_line <= end_line").select("file_path", "uid", F.col("start_line").alias("start"), F.col("end_line").alias("end")).distinct()
 
 
-@register("j36_enclosing_symbol", f"""WITH {_SPANS}, p AS (SELECT DISTINCT file_path, start_line + 1 AS line FROM s) SELECT file_path, line, uid FROM (SELECT p.file_path, line, uid, row_number() OVER (PARTITION BY p.file_path, line ORDER BY end_line - start_line, start_line, uid) AS r FROM p JOIN s ON s.file_path = p.file_path AND line BETWEEN start_line AND end_line) WHERE r = 1""")
-def j36(spark: SparkSession, d: str) -> DataFrame:
-    """The innermost symbol around each call site, by bins of lines."""
-    s = _spans(spark, d)
-    p = s.select("file_path", (F.col("start") + 1).alias("line")).distinct()
-    return lk.innermost(p, s, "file_path", "line").select("file_path", "line", "uid")
-
-
-@register("j37_containment", f"""WITH {_SPANS} SELECT a.uid AS outer_uid, b.uid AS inner_uid FROM s a JOIN s b ON a.file_path = b.file_path AND a.uid <> b.uid AND b.start_line >= a.start_line AND b.end_line <= a.end_line GROUP BY 1, 2""")
-def j37(spark: SparkSession, d: str) -> DataFrame:
-    """Spans inside spans of the same file."""
-    s = _spans(spark, d)
-    o = lk.overlaps(s, s, "file_path").where("left_uid <> right_uid")
-    inner = s.select("file_path", F.col("uid").alias("right_uid"), "start", "end")
-    return o.join(inner, ["file_path", "right_uid", "start", "end"], "left_semi").select(F.col("left_uid").alias("outer_uid"), F.col("right_uid").alias("inner_uid")).distinct()
-
-
 @register("j38_overlap_clip", f"""WITH {_SPANS} SELECT a.file_path, a.uid AS left_uid, b.uid AS right_uid, greatest(a.start_line, b.start_line) AS "start", least(a.end_line, b.end_line) AS "end" FROM s a JOIN s b ON a.file_path = b.file_path AND a.uid < b.uid AND greatest(a.start_line, b.start_line) <= least(a.end_line, b.end_line)""")
 def j38(spark: SparkSession, d: str) -> DataFrame:
     """The common lines of overlapping spans."""

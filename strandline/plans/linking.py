@@ -27,19 +27,6 @@ def j05(spark: SparkSession, d: str) -> DataFrame:
     return b.join(i, ["file_path", "alias"]).select("uid", "alias").distinct()
 
 
-_PROXY = "p AS (SELECT uid AS proxy, lower(regexp_replace(name, '^.*_', '')) AS target FROM symbols WHERE kind = 'function' AND name LIKE '%\\_%' ESCAPE '\\'), t AS (SELECT uid, qualified_name, lower(regexp_replace(name, '^.*_', '')) AS tail FROM symbols WHERE kind = 'class')"
-
-
-@register("j06_proxy_binding", f"{views.sql('symbols')}, {_PROXY} SELECT proxy, uid FROM (SELECT proxy, uid, row_number() OVER (PARTITION BY proxy ORDER BY length(qualified_name), qualified_name, uid) AS r FROM p JOIN t ON tail = target) WHERE r = 1")
-def j06(spark: SparkSession, d: str) -> DataFrame:
-    """Each proxy's target by trailing segment, the shortest name first."""
-    s = views.symbols(spark, d)
-    tail = F.lower(F.regexp_replace("name", "^.*_", ""))
-    p = s.where("kind = 'function' and instr(name, '_') > 0").select(F.col("uid").alias("proxy"), tail.alias("tail"))
-    t = s.where("kind = 'class'").select("uid", "qualified_name", tail.alias("tail"))
-    return lk.first_by(p.join(t, "tail"), ["proxy"], [F.length("qualified_name"), F.col("qualified_name"), F.col("uid")]).select("proxy", "uid")
-
-
 @register("j07_proxy_forwarding", f"{views.sql('edges')}, b AS (SELECT src AS proxy, dst AS owner FROM edges WHERE rel_type = 'DEPENDS_ON'), h AS (SELECT dst AS owner, min(src) AS method FROM edges WHERE rel_type = 'USES_TYPE' GROUP BY 1), o AS (SELECT dst AS owner, min(src) AS method FROM edges WHERE rel_type = 'CALLS_DIRECT' GROUP BY 1) SELECT proxy, coalesce(h.method, o.method) AS method FROM b LEFT JOIN h USING (owner) LEFT JOIN o USING (owner) WHERE coalesce(h.method, o.method) IS NOT NULL")
 def j07(spark: SparkSession, d: str) -> DataFrame:
     """Calls through a proxy, forwarded to its target's method, by its surface or else by its own."""
@@ -87,14 +74,6 @@ def j20(spark: SparkSession, d: str) -> DataFrame:
     return used.join(own, "package", "left_anti").select("file_path", "package")
 
 
-@register("j42_symbol_api", f"{views.sql('symbols')} SELECT DISTINCT a.uid AS owner, b.uid AS member FROM symbols a JOIN symbols b ON a.file_path = b.file_path WHERE a.kind = 'class' AND b.kind = 'method'")
-def j42(spark: SparkSession, d: str) -> DataFrame:
-    """API edges from an owner to the members beside it."""
-    s = views.symbols(spark, d).where("file_path is not null")
-    a, b = s.where("kind = 'class'").select("file_path", F.col("uid").alias("owner")), s.where("kind = 'method'").select("file_path", F.col("uid").alias("member"))
-    return a.join(b, "file_path").select("owner", "member").distinct()
-
-
 @register("a14_bm25_stats", r"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z][a-z0-9]+')) AS term FROM documents) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY 1")
 def a14(spark: SparkSession, d: str) -> DataFrame:
     """Document and collection frequency of every term."""
@@ -221,12 +200,6 @@ def r12(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_id", "owner_uid", "score").orderBy(F.desc("score"), "chunk_id", "owner_uid").limit(40)
 
 
-@register("r21_budget_profile", "SELECT feedback_token, CASE intent WHEN 'architecture' THEN 12000 WHEN 'impact' THEN 6000 ELSE 6000 END AS budget FROM retrieval_snapshots")
-def r21(spark: SparkSession, d: str) -> DataFrame:
-    """Token budget by intent."""
-    return load(spark, d, "retrieval_snapshots").select("feedback_token", F.when(F.col("intent") == "architecture", 12000).when(F.col("intent") == "impact", 6000).otherwise(6000).alias("budget"))
-
-
 @register("r22_span_probe")
 def r22(spark: SparkSession, d: str) -> DataFrame:
     """The six lines of each symbol that share most words with a query; ties to the first."""
@@ -294,26 +267,4 @@ def t07(spark: SparkSession, d: str) -> DataFrame:
     return gr.degrees(e).join(touched, "node", "right").select("node", F.coalesce("degree_in", F.lit(0)).alias("degree_in"), F.coalesce("degree_out", F.lit(0)).alias("degree_out"))
 
 
-@register("s13_history_crud", "WITH c AS (SELECT id, max(title) AS title FROM conversations WHERE id IS NOT NULL GROUP BY 1) SELECT c.id, title, count(DISTINCT m.id) AS messages FROM c LEFT JOIN messages m ON m.conversation_id = c.id GROUP BY 1, 2")
-def s13(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations with the number of their messages."""
-    c = load(spark, d, "conversations").where("id is not null").groupBy("id").agg(F.max("title").alias("title"))
-    m = load(spark, d, "messages").where("conversation_id is not null").groupBy(F.col("conversation_id").alias("id")).agg(F.countDistinct("id").alias("messages"))
-    return c.join(m, "id", "left").select("id", "title", F.coalesce("messages", F.lit(0)).alias("messages"))
-
-
-@register("s17_manifest", "SELECT workspace_id, count(DISTINCT source_file) AS files, count(DISTINCT chunk_id) AS chunks, max(indexed_at) AS newest FROM context_docs GROUP BY 1")
-def s17(spark: SparkSession, d: str) -> DataFrame:
-    """What a workspace's manifest says."""
-    return load(spark, d, "context_docs").groupBy("workspace_id").agg(F.countDistinct("source_file").alias("files"), F.countDistinct("chunk_id").alias("chunks"), F.max("indexed_at").alias("newest"))
-
-
-@register("s19_chunk_upsert", "WITH n AS (SELECT chunk_id, max(indexed_at) AS t FROM context_docs WHERE chunk_id IS NOT NULL GROUP BY 1), o AS (SELECT chunk_id FROM n WHERE t < TIMESTAMP '2026-02-10') SELECT chunk_id, chunk_id IN (SELECT chunk_id FROM o) AS kept FROM n")
-def s19(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks kept and replaced by an upsert."""
-    n = load(spark, d, "context_docs").where("chunk_id is not null").groupBy("chunk_id").agg(F.max("indexed_at").alias("t"))
-    new = n.where(F.col("t") >= F.lit("2026-02-10").cast("timestamp_ntz")).select("chunk_id", F.lit(False).alias("kept"))
-    return n.join(new, "chunk_id", "left_anti").select("chunk_id", F.lit(True).alias("kept")).unionByName(new)
-
-
 QUERIES, ORACLES = R.queries, R.oracles

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import text as tx
+from ..session import checkpoint_dir
+from ..sources import files, stores
 from ..sources.tables import load
 from .base import Registry
 
@@ -15,13 +17,6 @@ register = R.register
 WS = "aldermoor/ember@release-2"
 
 
-@register("s02_generated_output", "SELECT doc_id, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS longest FROM documents WHERE text IS NOT NULL AND list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) > 400")
-def s02(spark: SparkSession, d: str) -> DataFrame:
-    """Texts whose longest line is that of generated output."""
-    longest = F.array_max(F.transform(F.split("text", "\n"), F.length))
-    return load(spark, d, "documents").select("doc_id", longest.alias("longest")).where("longest > 400")
-
-
 @register("s03_committed_filter", "SELECT DISTINCT target FROM index_jobs WHERE target IS NOT NULL AND lower(trim(status)) = 'completed' AND target NOT IN (SELECT target FROM index_jobs WHERE target IS NOT NULL AND lower(trim(status)) = 'dead_letter')")
 def s03(spark: SparkSession, d: str) -> DataFrame:
     """Targets that are tracked (completed once) and not dirty (never given up): a semi-join and an anti-join."""
@@ -36,12 +31,6 @@ def s04(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@register("s05_markdown_source", f"{views.sql('chunks')} SELECT chunk_id, source_file, length(content) AS n_chars FROM chunks WHERE source_file LIKE '%.md'")
-def s05(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of Markdown files."""
-    return views.chunks(spark, d).where(F.col("source_file").endswith(".md")).select("chunk_id", "source_file", F.length("content").alias("n_chars"))
-
-
 @register("s06_workspace_scan", f"SELECT chunk_id, source_file, score FROM context_docs WHERE workspace_id = '{WS}' AND score >= 0.3")
 def s06(spark: SparkSession, d: str) -> DataFrame:
     """A workspace's rows with a predicate; both reach the Parquet scan."""
@@ -80,18 +69,6 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
     return views.symbols(spark, d).join(wanted, "uid", "left_semi").select("uid", "name", "kind")
 
 
-@register("s11_span_hydration", f"{views.sql('chunks')} SELECT chunk_id, array_to_string(string_split(replace(content, chr(13), ''), chr(10))[2:4], chr(10)) AS code FROM chunks")
-def s11(spark: SparkSession, d: str) -> DataFrame:
-    """Lines 2 to 4 of a text."""
-    return views.chunks(spark, d).select("chunk_id", F.array_join(F.slice(F.split(F.replace("content", F.lit("\r"), F.lit("")), "\n"), 2, 3), "\n").alias("code"))
-
-
-@register("s12_json_tail", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events ORDER BY event_id DESC LIMIT 50")
-def s12(spark: SparkSession, d: str) -> DataFrame:
-    """The last 50 entries of a log, with their JSON read."""
-    return load(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")).orderBy(F.desc("event_id")).limit(50)
-
-
 _LATEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name, model_version, content_hash ORDER BY last_used_at DESC NULLS LAST, created_at DESC NULLS LAST, embedding_hash DESC NULLS LAST) AS n FROM embedding_cache) WHERE n = 1"
 
 
@@ -108,24 +85,6 @@ def s15(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "vector_probes").join(c, ["model_name", "model_version", "content_hash"], "left").select("probe_id", "embedding_hash", F.coalesce("hit", F.lit(False)).alias("hit")).distinct()
 
 
-@register("s16_audit_tail", "SELECT event_id, event_type, value FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 20")
-def s16(spark: SparkSession, d: str) -> DataFrame:
-    """A user's last 20 actions."""
-    return load(spark, d, "events").where("user_id = 7").orderBy(F.desc("ts"), F.desc("event_id")).select("event_id", "event_type", "value").limit(20)
-
-
-@register("s18_vector_upsert", f"""WITH old AS ({_LATEST}), new AS (SELECT * FROM old WHERE last_used_at >= (SELECT quantile_disc(last_used_at, 0.9) FROM old))
-SELECT model_name, model_version, content_hash, embedding_hash, false AS is_new FROM old WHERE (model_name, model_version, content_hash) NOT IN (SELECT (model_name, model_version, content_hash) FROM new)
-UNION ALL SELECT model_name, model_version, content_hash, embedding_hash, true FROM new""")
-def s18(spark: SparkSession, d: str) -> DataFrame:
-    """Upsert: what the new rows replace is removed by an anti-join, then both are one table."""
-    keys = ["model_name", "model_version", "content_hash"]
-    old = load(spark, d, "embedding_cache").select(*keys, "embedding_hash", "last_used_at", "created_at").groupBy(*keys).agg(F.max(F.struct("last_used_at", "created_at", "embedding_hash")).alias("t")).select(*keys, "t.embedding_hash", "t.last_used_at")
-    edge = old.agg(F.expr("percentile_disc(0.9) within group (order by last_used_at)"))
-    new = old.where(F.col("last_used_at") >= edge.scalar())
-    return old.join(new, keys, "left_anti").withColumn("is_new", F.lit(False)).unionByName(new.withColumn("is_new", F.lit(True))).drop("last_used_at")
-
-
 @register("s20_patch_adjacency", "SELECT o_orderkey, o_orderstatus, false AS patched FROM orders WHERE o_custkey % 10 <> 0 UNION ALL SELECT o_orderkey, lower(o_orderstatus), true FROM orders WHERE o_custkey % 10 = 0")
 def s20(spark: SparkSession, d: str) -> DataFrame:
     """Patch of the rows of some owners: anti-join, then union with their new rows."""
@@ -149,12 +108,6 @@ def s22(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("target").agg(F.max(F.struct(F.coalesce("updated_at", F.lit(-1)), "id", "status"))["status"].alias("status"), F.count("*").alias("n"))
 
 
-@register("s25_metrics_text", "SELECT 'events_total{type=\"' || event_type || '\"} ' || count(*) AS line FROM events GROUP BY event_type")
-def s25(spark: SparkSession, d: str) -> DataFrame:
-    """Counters as lines of text."""
-    return load(spark, d, "events").groupBy("event_type").count().select(F.concat(F.lit('events_total{type="'), "event_type", F.lit('"} '), F.col("count").cast("string")).alias("line"))
-
-
 @register("f01_bits_predicate", "SELECT DISTINCT uid FROM context_symbols WHERE list_contains(provenance, 'vector:symbols') AND list_contains(provenance, 'lexical')")
 def f01(spark: SparkSession, d: str) -> DataFrame:
     """Rows that have all of several bits."""
@@ -237,45 +190,196 @@ def f09(spark: SparkSession, d: str) -> DataFrame:
     return views.chunks(spark, d).select("chunk_id", tx.anchor_type(F.col("content"), F.col("source_file")).alias("kind"))
 
 
-@register("f11_redaction", "SELECT event_id, md5(props) AS redacted, user_id IS NOT NULL AS had_user FROM events")
-def f11(spark: SparkSession, d: str) -> DataFrame:
-    """Free text replaced by its digest; only structure stays."""
-    return load(spark, d, "events").select("event_id", F.md5("props").alias("redacted"), F.col("user_id").isNotNull().alias("had_user"))
+@register("f14_public_api", f"{views.sql('symbols')} SELECT uid, name FROM symbols WHERE kind = 'method' AND (NOT starts_with(name, '_') OR name = '__init__')")
+def f14(spark: SparkSession, d: str) -> DataFrame:
+    """Public methods."""
+    return views.symbols(spark, d).where("kind = 'method'").where(~F.col("name").startswith("_") | (F.col("name") == "__init__")).select("uid", "name")
 
 
-@register("f12_bounds", "SELECT feedback_token, least(50, greatest(1, coalesce(question_tokens, 10))) AS bounded FROM retrieval_snapshots")
-def f12(spark: SparkSession, d: str) -> DataFrame:
-    """A request's number within its bounds."""
-    return load(spark, d, "retrieval_snapshots").select("feedback_token", F.least(F.lit(50), F.greatest(F.lit(1), F.coalesce("question_tokens", F.lit(10)))).alias("bounded"))
+_LONG = "list_max(list_transform(string_split(content, chr(10)), lambda x: length(x))) > 5000"
 
 
-_HALVES = "a AS (SELECT target, max(target_hash) AS h FROM index_jobs WHERE target IS NOT NULL AND id % 2 = 0 GROUP BY 1), b AS (SELECT target, max(target_hash) AS h FROM index_jobs WHERE target IS NOT NULL AND id % 2 = 1 GROUP BY 1)"
+@register("s02_generated_output", f"""SELECT DISTINCT chunk_id, coalesce({_LONG} OR regexp_matches(content, '//[#@]\\s*sourceMappingURL=[^\\n]*\\s*$'), false) AS generated FROM (SELECT chunk_id, content, regexp_replace(source_file, '\\.[a-z]+$', '.js') AS path FROM context_docs
+UNION ALL SELECT chunk_id || '+', content || chr(10) || '//# sourceMappingURL=x.js.map' || chr(10), 'x.ts' FROM context_docs)""")
+def s02(spark: SparkSession, d: str) -> DataFrame:
+    """Texts, taken for scripts, that look like the output of a tool: as they are, and with a source map at their end."""
+    c = load(spark, d, "context_docs")
+    plain = c.select("chunk_id", "content", F.regexp_replace("source_file", r"\.[a-z]+$", ".js").alias("path"))
+    mapped = c.select(F.concat("chunk_id", F.lit("+")).alias("chunk_id"), F.concat("content", F.lit("\n//# sourceMappingURL=x.js.map\n")).alias("content"), F.lit("x.ts").alias("path"))
+    return plain.unionByName(mapped).select("chunk_id", files.is_generated(F.col("content"), F.coalesce("path", F.lit("x.js"))).alias("generated")).distinct()
 
 
-@register("f13_changed_symbols", f"WITH {_HALVES} SELECT coalesce(a.target, b.target) AS target, CASE WHEN a.target IS NULL THEN 'new' WHEN b.target IS NULL THEN 'removed' WHEN a.h IS DISTINCT FROM b.h THEN 'changed' ELSE 'unchanged' END AS state FROM a FULL JOIN b ON a.target = b.target")
-def f13(spark: SparkSession, d: str) -> DataFrame:
-    """Two versions of a keyed table, row by row: new, removed, changed or unchanged."""
-    j = load(spark, d, "index_jobs").where("target is not null")
-    a, b = (j.where(f"id % 2 = {i}").groupBy("target").agg(F.max("target_hash").alias("h"), F.lit(1).alias("has")) for i in (0, 1))
-    m = a.alias("a").join(b.alias("b"), "target", "full")
-    state = F.when(F.col("a.has").isNull(), "new").when(F.col("b.has").isNull(), "removed").when(~F.col("a.h").eqNullSafe(F.col("b.h")), "changed").otherwise("unchanged")
-    return m.select("target", state.alias("state"))
+def _at(spark: SparkSession, d: str, name: str) -> str:
+    """A folder of a query's own below the shared one; a second run finds it empty."""
+    f = stores.Folder(spark, f"{checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}")
+    f.delete(f"{name}-{abs(hash(d))}")
+    return f"{f.path}/{name}-{abs(hash(d))}"
 
 
-@register("f14_public_api", f"{views.sql('symbols')} SELECT uid, name FROM symbols WHERE kind = 'method' AND (NOT starts_with(name, '_') OR name = '__init__')")
-def f14(spark: SparkSession, d: str) -> DataFrame:
-    """Public methods."""
-    return views.symbols(spark, d).where("kind = 'method'").where(~F.col("name").startswith("_") | (F.col("name") == "__init__")).select("uid", "name")
+@register("s01_file_tree", "SELECT n || '.parquet' AS path FROM (VALUES ('customer'), ('lineitem'), ('nation'), ('orders'), ('part'), ('region'), ('supplier'), ('events')) t(n)")
+def s01(spark: SparkSession, d: str) -> DataFrame:
+    """The table files of the folder, by ending and ignore patterns, without opening one."""
+    keep = ["*", *[f"!{n}.parquet" for n in ("customer", "lineitem", "nation", "orders", "part", "region", "supplier", "events")]]
+    return files.file_tree(spark, d, ["parquet"], keep).select("path")
+
+
+@register("s05_markdown_source", f"{views.sql('chunks')} SELECT chunk_id, source_file, length(content) AS n_chars FROM chunks WHERE source_file LIKE '%.md'")
+def s05(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of Markdown files; files.documents() reads the files themselves."""
+    return views.chunks(spark, d).where(F.col("source_file").endswith(".md")).select("chunk_id", "source_file", F.length("content").alias("n_chars"))
+
+
+@register("s11_span_hydration", f"""{views.sql('chunks')}, s AS (SELECT chunk_id, content, 1 + length(chunk_id || content) % 4 AS a, 1 + length(chunk_id || content) % 4 + length(content) % 3 AS b FROM chunks)
+SELECT chunk_id, array_to_string(string_split(replace(content, chr(13), ''), chr(10))[a:b], chr(10)) AS code FROM s""")
+def s11(spark: SparkSession, d: str) -> DataFrame:
+    """The lines from a row's start to its end."""
+    c = views.chunks(spark, d).withColumn("a", 1 + F.length(F.concat("chunk_id", "content")) % 4).withColumn("b", F.col("a") + F.length("content") % 3)
+    return c.select("chunk_id", tx.lines(F.col("content"), F.col("a"), F.col("b")).alias("code"))
+
 
+@register("s12_json_tail", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events ORDER BY event_id DESC LIMIT 50")
+def s12(spark: SparkSession, d: str) -> DataFrame:
+    """Events appended to a log of JSON lines that rotates; the last 50 of it."""
+    e = load(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    log = stores.JsonLog(spark, _at(spark, d, "log"), "event_id bigint, k bigint", rows=5_000, parts=3)
+    log.append(e, "event_id")
+    return log.tail(50, "event_id")
+
+
+@register("s16_audit_tail", "SELECT event_id, event_type, value FROM events WHERE user_id = 7 ORDER BY event_id DESC LIMIT 20")
+def s16(spark: SparkSession, d: str) -> DataFrame:
+    """A user's last 20 actions in an audit log, appended in two goes."""
+    e = load(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    log = stores.JsonLog(spark, _at(spark, d, "audit"), "event_id bigint, user_id bigint, event_type string, value double", rows=50_000, parts=1_000)
+    half = F.lit((e.agg(F.max("event_id")).first()[0] or 0) // 2)
+    log.append(e.where(F.col("event_id") <= half), "event_id")
+    log.append(e.where(F.col("event_id") > half), "event_id")
+    return log.tail(20, "event_id", F.col("user_id") == 7).select("event_id", "event_type", "value")
 
-@register("f10_path_match", f"""{views.sql('symbols')}, f AS (SELECT DISTINCT source_file FROM context_docs WHERE source_file IS NOT NULL)
-SELECT DISTINCT s.file_path, f.source_file FROM (SELECT DISTINCT file_path FROM symbols) s JOIN f ON regexp_extract(s.file_path, '([^/]+)\\.[a-z]+$', 1) = regexp_extract(f.source_file, '([^/]+)\\.[a-z]+$', 1)""")
+
+_KEYS = ["model_name", "model_version", "content_hash"]
+
+
+@register("s18_vector_upsert", f"""WITH old AS ({_LATEST}), new AS (SELECT * FROM old WHERE last_used_at >= (SELECT quantile_disc(last_used_at, 0.9) FROM old))
+SELECT model_name, model_version, content_hash, embedding_hash, false AS is_new FROM old WHERE (model_name, model_version, content_hash) NOT IN (SELECT (model_name, model_version, content_hash) FROM new)
+UNION ALL SELECT model_name, model_version, content_hash, embedding_hash, true FROM new""")
+def s18(spark: SparkSession, d: str) -> DataFrame:
+    """The whole cache written at one go (bulk), then its last used tenth again (delta): what is replaced, and what stays."""
+    old = load(spark, d, "embedding_cache").select(*_KEYS, "embedding_hash", "last_used_at", "created_at").groupBy(*_KEYS).agg(F.max(F.struct("last_used_at", "created_at", "embedding_hash")).alias("t")).select(*_KEYS, "t.embedding_hash", "t.last_used_at")
+    t = stores.KeyedTable(spark, _at(spark, d, "vectors"), _KEYS, "model_name string, model_version string, content_hash string, embedding_hash string, is_new boolean")
+    t.upsert(old.withColumn("is_new", F.lit(False)))
+    edge = old.agg(F.expr("percentile_disc(0.9) within group (order by last_used_at)"))
+    t.upsert(old.where(F.col("last_used_at") >= edge.scalar()).withColumn("is_new", F.lit(True)))
+    return t.read()
+
+
+@register("s13_history_crud", """WITH c AS (SELECT id, max(title) AS title, max(coalesce(updated_at, '')) AS u FROM conversations WHERE id IS NOT NULL GROUP BY 1), k AS (SELECT id, upper(title) AS title FROM c WHERE left(u, 10) >= '2026-01-20')
+SELECT k.id, title, count(DISTINCT m.id) AS messages FROM k LEFT JOIN messages m ON m.conversation_id = k.id GROUP BY 1, 2""")
+def s13(spark: SparkSession, d: str) -> DataFrame:
+    """A history written, its titles updated, conversations out of retention deleted with their messages; what is left."""
+    h = stores.History(spark, _at(spark, d, "history"), "id string, title string, updated_at string", "id string, conversation_id string")
+    c = load(spark, d, "conversations").where("id is not null").groupBy("id").agg(F.max("title").alias("title"), F.max(F.coalesce("updated_at", F.lit(""))).alias("updated_at"))
+    h.conversations.upsert(c)
+    h.messages.upsert(load(spark, d, "messages").where("id is not null").groupBy("id").agg(F.max("conversation_id").alias("conversation_id")))
+    h.conversations.upsert(h.conversations.read().withColumn("title", F.upper("title")))
+    h.prune(F.lit("2026-01-20"))
+    n = h.messages.read().groupBy(F.col("conversation_id").alias("id")).agg(F.count("*").alias("messages"))
+    return h.conversations.read().join(n, "id", "left").select("id", "title", F.coalesce("messages", F.lit(0)).alias("messages"))
+
+
+@register("s17_manifest", "SELECT count(DISTINCT workspace_id) AS workspaces, count(DISTINCT source_file) AS files, count(DISTINCT chunk_id) AS chunks, max(indexed_at) AS newest FROM context_docs")
+def s17(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest of an index, written twice as a whole and read back."""
+    m = stores.Manifest(spark, _at(spark, d, "manifest"))
+    row = load(spark, d, "context_docs").agg(F.countDistinct("workspace_id").alias("workspaces"), F.countDistinct("source_file").alias("files"), F.countDistinct("chunk_id").alias("chunks"), F.max("indexed_at").alias("newest"))
+    m.write(row.withColumn("files", F.lit(0)))
+    m.write(row)
+    return m.read("workspaces bigint, files bigint, chunks bigint, newest timestamp_ntz")
+
+
+@register("s19_chunk_upsert", """WITH n AS (SELECT chunk_id, anchor_type, max(indexed_at) AS t FROM context_docs WHERE chunk_id IS NOT NULL GROUP BY 1, 2)
+SELECT CASE coalesce(anchor_type, '') WHEN 'definition' THEN 'docstring' WHEN 'example' THEN 'semantic' ELSE 'chunk' END AS kind, chunk_id, coalesce(anchor_type, '') AS anchor_type, CASE WHEN t >= TIMESTAMP '2026-02-10' THEN 2 ELSE 1 END AS version FROM n""")
+def s19(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks, docstrings and semantic chunks in a table each; what was indexed late is put in again and replaces what was there."""
+    n = load(spark, d, "context_docs").where("chunk_id is not null").groupBy("chunk_id", "anchor_type").agg(F.max("indexed_at").alias("t")).withColumn("anchor_type", F.coalesce("anchor_type", F.lit("")))
+    kind = F.when(F.col("anchor_type") == "definition", "docstring").when(F.col("anchor_type") == "example", "semantic").otherwise("chunk")
+    n, out, at = n.withColumn("kind", kind), None, _at(spark, d, "chunks")
+    for k in ("chunk", "docstring", "semantic"):
+        t = stores.KeyedTable(spark, f"{at}/{k}", ["chunk_id", "anchor_type"], "kind string, chunk_id string, anchor_type string, version int")
+        mine = n.where(F.col("kind") == k)
+        t.upsert(mine.withColumn("version", F.lit(1)))
+        t.upsert(mine.where(F.col("t") >= F.lit("2026-02-10").cast("timestamp_ntz")).withColumn("version", F.lit(2)))
+        out = t.read() if out is None else out.unionByName(t.read())
+    return out
+
+
+@register("s14_job_log", """SELECT target, arg_max(id, {'u': updated_at, 'i': id}) AS id, arg_max(attempts, {'u': updated_at, 'i': id}) + 1 AS attempt FROM index_jobs WHERE target IS NOT NULL AND updated_at IS NOT NULL AND lower(trim(status)) = 'failed' AND attempts < 3 AND target_hash <> '' GROUP BY target, target_hash""")
+def s14(spark: SparkSession, d: str) -> DataFrame:
+    """For every target and hash with a failed job that has tries left, the job to be tried again; stores.start_job() does it for one."""
+    j = load(spark, d, "index_jobs").where("target is not null and updated_at is not null and lower(trim(status)) = 'failed' and attempts < 3 and target_hash <> ''")
+    return j.groupBy("target", "target_hash").agg(F.max(F.struct("updated_at", "id", "attempts")).alias("t")).select("target", "t.id", (F.col("t.attempts") + 1).alias("attempt"))
+
+
+@register("s24_packs", "SELECT item_id, question FROM eval_items")
+def s24(spark: SparkSession, d: str) -> DataFrame:
+    """A pack in Parquet that includes one in JSON lines."""
+    e = load(spark, d, "eval_items").select("item_id", "question")
+    at = _at(spark, d, "packs")
+    e.where("item_id % 2 = 1").write.mode("overwrite").json(f"{at}/odd.json")
+    rest = e.where("item_id % 2 = 0").withColumn("include", F.lit(None).cast("string"))
+    rest.unionByName(spark.createDataFrame([(f"{at}/odd.json",)], "include string"), allowMissingColumns=True).write.mode("overwrite").parquet(f"{at}/all.parquet")
+    return files.pack(spark, f"{at}/all.parquet").select("item_id", "question")
+
+
+@register("s25_metrics_text", """WITH c AS (SELECT 'events_total{type="' || event_type || '"} ' || count(*) AS line FROM events GROUP BY event_type), g AS (SELECT 'last_user{type="' || event_type || '"} ' || arg_max(user_id, {'t': ts, 'u': user_id}) AS line FROM events GROUP BY event_type)
+SELECT line FROM c UNION ALL SELECT line FROM g UNION ALL SELECT '# TYPE events_total counter' UNION ALL SELECT '# TYPE last_user gauge'""")
+def s25(spark: SparkSession, d: str) -> DataFrame:
+    """Counters and gauges as text."""
+    e = load(spark, d, "events")
+    labels = F.create_map(F.lit("type"), "event_type").alias("labels")
+    return stores.metrics_text(e.select(F.lit("events_total").alias("name"), labels, F.lit(1).alias("value")), e.select(F.lit("last_user").alias("name"), labels, F.col("user_id").alias("value"), F.col("ts").alias("at")))
+
+
+@register("f10_path_match", f"""{views.sql('symbols')}, f AS (SELECT DISTINCT source_file AS b FROM context_docs WHERE source_file IS NOT NULL), s AS (SELECT DISTINCT file_path AS a FROM symbols WHERE file_path IS NOT NULL UNION SELECT DISTINCT regexp_extract(b, '([^/]+)$', 1) FROM f UNION SELECT DISTINCT 'x/' || b FROM f)
+SELECT a, b, CASE WHEN a = b OR ends_with(a, '/' || b) OR ends_with(b, '/' || a) THEN 'suffix' ELSE 'name' END AS rule FROM s, f WHERE regexp_extract(a, '([^/]+)$', 1) = regexp_extract(b, '([^/]+)$', 1)""")
 def f10(spark: SparkSession, d: str) -> DataFrame:
-    """Source and documentation files of one base name, as an equi-join on the name."""
-    base = lambda c: F.regexp_extract(c, r"([^/]+)\.[a-z]+$", 1)
-    s = views.symbols(spark, d).select("file_path").distinct().withColumn("b", base("file_path"))
-    f = load(spark, d, "context_docs").where("source_file is not null").select("source_file").distinct().withColumn("b", base("source_file"))
-    return s.join(f, "b").select("file_path", "source_file").distinct()
+    """Paths that mean one file: one ends in the other at a folder's border, or they share a name; joined for equality of the name."""
+    f = load(spark, d, "context_docs").where("source_file is not null").select(F.col("source_file").alias("b")).distinct()
+    name = lambda c: F.regexp_extract(c, "([^/]+)$", 1)
+    s = views.symbols(spark, d).where("file_path is not null").select(F.col("file_path").alias("a")).union(f.select(name("b"))).union(f.select(F.concat(F.lit("x/"), "b"))).distinct()
+    return s.join(f, name("a") == name("b")).select("a", "b", F.when(tx.same_path(F.col("a"), F.col("b")), "suffix").otherwise("name").alias("rule"))
+
+
+_SAFE = ("kind", "source")
+
+
+@register("f11_redaction", "SELECT DISTINCT id, CASE WHEN metadata_json IS NULL OR json_extract_string(metadata_json, '$.kind') IS NULL THEN NULL ELSE json_extract_string(metadata_json, '$.kind') END AS kind, CASE WHEN content_summary IS NULL THEN [] ELSE ['content_summary'] END AS redacted, length(content_summary) AS n FROM messages WHERE id IS NOT NULL")
+def f11(spark: SparkSession, d: str) -> DataFrame:
+    """Structure stays, free text goes; the names of what went and its length are kept."""
+    m = load(spark, d, "messages").where("id is not null")
+    safe = tx.redact(F.create_map(F.lit("kind"), F.get_json_object("metadata_json", "$.kind"), F.lit("content_summary"), F.col("content_summary")), _SAFE)
+    return m.select("id", safe["kept"]["kind"].alias("kind"), safe["redacted"].alias("redacted"), F.length("content_summary").alias("n")).distinct()
+
+
+@register("f12_bounds", "SELECT feedback_token, coalesce(question_tokens, 10) AS \"limit\", coalesce(question_tokens, 10) BETWEEN 1 AND 50 AS limit_ok, least(50, greatest(1, coalesce(question_tokens, 10))) AS bounded, least(32000, greatest(400, coalesce(question_tokens, 10) * 30)) AS budget FROM retrieval_snapshots")
+def f12(spark: SparkSession, d: str) -> DataFrame:
+    """A request's numbers: whether they are within bounds, and brought within them."""
+    n = F.coalesce("question_tokens", F.lit(10))
+    return load(spark, d, "retrieval_snapshots").select("feedback_token", n.alias("limit"), n.between(*tx.LIMIT_BOUNDS).alias("limit_ok"), tx.bounded(n, tx.LIMIT_BOUNDS).alias("bounded"), tx.bounded(n * 30, tx.BUDGET_BOUNDS).alias("budget"))
+
+
+_VERSIONS = "a AS (SELECT uid, min(code) AS h, min(start_line) AS s, max(end_line) AS e FROM context_symbols WHERE uid IS NOT NULL AND NOT is_dirty GROUP BY 1), b AS (SELECT uid, min(code) AS h, min(start_line) AS s, max(end_line) AS e FROM context_symbols WHERE uid IS NOT NULL AND is_dirty GROUP BY 1)"
+
+
+@register("f13_changed_symbols", f"WITH {_VERSIONS} SELECT uid, CASE WHEN a.uid IS NULL THEN 'new' WHEN b.uid IS NULL THEN 'removed' WHEN a.h IS DISTINCT FROM b.h THEN 'changed' WHEN a.s IS DISTINCT FROM b.s OR a.e IS DISTINCT FROM b.e THEN 'moved' ELSE 'unchanged' END AS state FROM a FULL JOIN b USING (uid)")
+def f13(spark: SparkSession, d: str) -> DataFrame:
+    """Stored symbols against edited ones: new, removed, changed in text, moved in lines, or unchanged."""
+    s = load(spark, d, "context_symbols").where("uid is not null")
+    side = lambda cond, p: s.where(cond).groupBy("uid").agg(F.min("code").alias(f"{p}h"), F.min("start_line").alias(f"{p}s"), F.max("end_line").alias(f"{p}e"), F.lit(True).alias(f"{p}has"))
+    m = side("not is_dirty", "a").join(side("is_dirty", "b"), "uid", "full")
+    same = lambda c: F.col(f"a{c}").eqNullSafe(F.col(f"b{c}"))
+    state = F.when(F.col("ahas").isNull(), "new").when(F.col("bhas").isNull(), "removed").when(~same("h"), "changed").when(~same("s") | ~same("e"), "moved").otherwise("unchanged")
+    return m.select("uid", state.alias("state"))
 
 
 QUERIES, ORACLES = R.queries, R.oracles

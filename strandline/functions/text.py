@@ -194,3 +194,34 @@ def budget(intent: Column, base: Column) -> Column:
     least = min(BUDGET_WEIGHTS.values())
     weight = F.when(intent.isin(*MODE_INTENTS), BUDGET_WEIGHTS["impact"]).otherwise(BUDGET_WEIGHTS["architecture"])
     return F.greatest(F.lit(1), F.round(base * weight / F.lit(float(least))).cast("bigint"))
+
+
+def line_windows(text: Column, size: int, overlap: int = 0, least: int = 1) -> Column:
+    """Windows of ``size`` lines as struct(start, end, text), each starting ``size - overlap`` lines after the one before; a last one of fewer than ``least`` lines is
+    left out, unless it is the only one. Lines are counted from 1."""
+    every = F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n")
+    n = F.size(every)
+    starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size - overlap)), lambda s: (s == 0) | ((n - s >= least) & (n - s > overlap)))
+    return F.transform(starts, lambda s: F.struct((s + 1).alias("start"), F.least(n, s + size).alias("end"), F.array_join(F.slice(every, s + 1, size), "\n").alias("text")))
+
+
+def trim_to_budget(text: Column, budget: int, anchor: Column | None = None) -> Column:
+    """A text within three quarters of a token budget (at least 400): as it is if it fits, else whole lines, around the line ``anchor`` if one is given, from the start otherwise.
+
+    Tokens are a quarter of the length, rounded up. A window around a line has a quarter as many lines as tokens, at least 50, and begins a quarter of that before the line.
+    """
+    most = max(400, int(budget * 0.75))
+    room = max(50, most // 4)
+    every = F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n")
+    # An empty piece behind the last line end is no line.
+    every = F.when(F.element_at(every, -1) == "", F.slice(every, 1, F.size(every) - 1)).otherwise(every)
+    total = F.size(every)
+    step = lambda a, line: F.when(a["full"] | (F.floor((a["n"] + F.length(line) + 3) / 4) > most), F.struct(a["n"].alias("n"), a["k"].alias("k"), F.lit(True).alias("full"))).otherwise(F.struct((a["n"] + F.length(line) + 1).alias("n"), (a["k"] + 1).alias("k"), F.lit(False).alias("full")))
+    kept = F.aggregate(every, F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(False).alias("full")), step)["k"]
+    head = F.array_join(F.slice(every, 1, kept), "\n")
+    if anchor is not None:
+        centre = F.greatest(F.lit(0), F.least(anchor - 1, total - 1))
+        end = F.least(total, F.greatest(F.lit(0), centre - room // 2 // 2) + room)
+        around = F.array_join(F.slice(every, F.greatest(F.lit(0), end - room) + 1, room), "\n")
+        head = F.when(anchor.isNotNull(), around).otherwise(head)
+    return F.when(F.coalesce(text, F.lit("")) == "", "").when(token_estimate(text) <= most, text).otherwise(head)

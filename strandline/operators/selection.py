@@ -222,10 +222,3 @@ def render(code: Column, rung: str) -> Column:
     if rung == "signature_only":
         return F.element_at(lines, 1)
     return F.array_join(F.transform(lines, lambda s, i: F.when((i == 0) | s.rlike(declares) | s.rlike(r"^\s*(return|raise|yield)\b"), s).otherwise(F.lit(None).cast("string"))), "\n")
-
-
-def trim_to_budget(text: Column, tokens: int) -> Column:
-    """The longest run of whole lines from the start that keeps within a token budget of four characters each."""
-    lines = F.split(text, "\n")
-    total = F.aggregate(lines, F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"), F.lit(False).alias("full")), lambda a, s: F.when(a["full"] | (a["n"] + F.length(s) + 1 > tokens * 4), F.struct(a["n"].alias("n"), a["out"].alias("out"), F.lit(True).alias("full"))).otherwise(F.struct((a["n"] + F.length(s) + 1).alias("n"), F.array_append(a["out"], s).alias("out"), F.lit(False).alias("full"))))
-    return F.array_join(total["out"], "\n")

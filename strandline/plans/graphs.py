@@ -110,14 +110,6 @@ def g11(spark: SparkSession, d: str) -> DataFrame:
     return down.join(known, "node", "left_semi").groupBy("node").agg(F.min("seed").alias("evidence"))
 
 
-@register("g12_adjacency", f"{views.sql('edges')}, x AS (SELECT src AS node, 'out:' || rel_type AS label, dst AS other FROM edges UNION ALL SELECT dst, 'in:' || rel_type, src FROM edges) SELECT node, label, count(*) AS n, min(other) AS first, max(other) AS last FROM x GROUP BY 1, 2")
-def g12(spark: SparkSession, d: str) -> DataFrame:
-    """The adjacency maps of every node, summed up by label."""
-    a = gr.adjacency(views.edges(spark, d))
-    rows = [a.select("node", F.explode(col).alias("t", "o")).select("node", F.concat(F.lit(p), "t").alias("label"), F.size("o").alias("n"), F.array_min("o").alias("first"), F.array_max("o").alias("last")) for col, p in (("out", "out:"), ("inn", "in:"))]
-    return rows[0].union(rows[1])
-
-
 _FAN = "f AS (SELECT 'P' || p_partkey AS node, coalesce(k, 0) AS fan_in FROM part LEFT JOIN (SELECT dst, count(DISTINCT src) AS k FROM edges WHERE rel_type LIKE 'CALLS%' GROUP BY 1) ON dst = 'P' || p_partkey)"
 
 
@@ -128,36 +120,6 @@ def g14(spark: SparkSession, d: str) -> DataFrame:
     return gr.hub_gate(load(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("node")), fan, 1.2)
 
 
-@register("g16_trace_chain", f"""{views.sql('edges')}, t AS (SELECT src AS node, 0 AS o FROM edges WHERE rel_type LIKE 'CALLS%' AND dst = 'P3' UNION SELECT dst, 1 FROM edges WHERE rel_type = 'DEPENDS_ON' AND src = 'P3')
-SELECT node, o AS way FROM (SELECT node, min(o) AS o FROM t GROUP BY 1) ORDER BY o, node LIMIT 30""")
-def g16(spark: SparkSession, d: str) -> DataFrame:
-    """Callers, then callees; what is met first stays, at most 30."""
-    e = views.edges(spark, d)
-    t = e.where("rel_type like 'CALLS%' and dst = 'P3'").select(F.col("src").alias("node"), F.lit(0).alias("way")).union(e.where("rel_type = 'DEPENDS_ON' and src = 'P3'").select("dst", F.lit(1)))
-    return t.groupBy("node").agg(F.min("way").alias("way")).orderBy("way", "node").limit(30)
-
-
-@register("g17_structural_neighbours", _walk_sql(_BOTH, "SELECT 'P' || p_partkey AS seed FROM part WHERE p_partkey IN (10, 11, 12)", 2) + """, n AS (SELECT m.seed, m.node, m.depth, p_brand AS file_path FROM m JOIN part ON m.node = 'P' || p_partkey WHERE m.depth > 0 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey IN (10, 11, 12))),
-a AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS i FROM n), b AS (SELECT *, row_number() OVER (PARTITION BY seed, file_path ORDER BY i) AS k, min(i) OVER (PARTITION BY seed, file_path) AS f FROM a), c AS (SELECT *, dense_rank() OVER (PARTITION BY seed ORDER BY f) AS g2 FROM b)
-SELECT seed, node FROM (SELECT seed, node, row_number() OVER (PARTITION BY seed ORDER BY i) AS t FROM c WHERE k <= 2 AND g2 <= 5) WHERE t <= 10""")
-def g17(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbours in new files only, two of a file, five files, ten in all."""
-    part = load(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("node"), F.col("p_brand").alias("file_path"))
-    s = part.where(F.col("node").isin("P10", "P11", "P12"))
-    near = gr.reach(gr.directed(views.edges(spark, d), "undirected", ["DEPENDS_ON"]), s.select("node", F.col("node").alias("seed")), 2).where("depth > 0")
-    n = near.join(part, "node").join(s.select("file_path").distinct(), "file_path", "left_anti")
-    return se.cap_by_file(n, [F.col("depth"), F.col("node")], ["seed"]).select("seed", "node")
-
-
-@register("g20_phased_walk", _walk_sql(_BOTH, _FOUR, 1) + """, f AS (SELECT DISTINCT node FROM m), c AS (SELECT e.src AS node, count(DISTINCT e.dst) AS reach FROM edges e WHERE e.rel_type LIKE 'CALLS%' AND e.dst IN (SELECT node FROM f) GROUP BY 1) SELECT node, reach FROM c ORDER BY reach DESC, node LIMIT 12""")
-def g20(spark: SparkSession, d: str) -> DataFrame:
-    """A structural walk first, then callers of all it met; the twelve that reach most."""
-    e = views.edges(spark, d)
-    front = gr.reach(gr.directed(e, "undirected", ["DEPENDS_ON"]), _seeds(spark, d), 1).select("node").distinct()
-    c = e.where("rel_type like 'CALLS%'").join(front, F.col("dst") == F.col("node"), "left_semi").groupBy(F.col("src").alias("node")).agg(F.countDistinct("dst").alias("reach"))
-    return c.orderBy(F.desc("reach"), "node").limit(12)
-
-
 @register("g21_role_lookahead", f"{views.sql('edges')}, n AS (SELECT DISTINCT e.src AS seed, 'P' || p.p_partkey AS node, p.p_type AS role FROM edges e JOIN part p ON e.dst = 'P' || p.p_partkey WHERE e.rel_type = 'USES_TYPE' AND e.src IN ('S1', 'S2', 'S3')) SELECT role, count(DISTINCT node) AS hits FROM n GROUP BY 1 HAVING count(DISTINCT node) >= 3")
 def g21(spark: SparkSession, d: str) -> DataFrame:
     """Roles that enough neighbours have."""
@@ -166,32 +128,4 @@ def g21(spark: SparkSession, d: str) -> DataFrame:
     return e.join(p, "dst").groupBy("role").agg(F.countDistinct("dst").alias("hits")).where("hits >= 3")
 
 
-@register("g22_bridge", f"{views.sql('edges')}, {_FAN}, b AS (SELECT e.src AS seed, e.dst AS via, x.src AS node FROM edges e JOIN edges x ON e.dst = x.dst AND x.rel_type = 'CALLS_DIRECT' WHERE e.src IN ('S1', 'S2') AND e.rel_type = 'USES_TYPE') SELECT seed, b.node AS node, round(max(1 / ln(fan_in + 2)), 9) AS score FROM b JOIN f ON f.node = b.via WHERE fan_in <= 30 GROUP BY seed, b.node")
-def g22(spark: SparkSession, d: str) -> DataFrame:
-    """Expansion over a bridge, without hubs, scored by how rare the bridge is."""
-    e = views.edges(spark, d)
-    fan = e.where("rel_type like 'CALLS%'").groupBy(F.col("dst").alias("via")).agg(F.countDistinct("src").alias("fan_in")).where("fan_in <= 30")
-    a = e.where("rel_type = 'USES_TYPE'").where(F.col("src").isin("S1", "S2")).select(F.col("src").alias("seed"), F.col("dst").alias("via"))
-    b = e.where("rel_type = 'CALLS_DIRECT'").select(F.col("dst").alias("via"), F.col("src").alias("node"))
-    return a.join(fan, "via").join(b, "via").groupBy("seed", "node").agg(F.round(F.max(1 / F.log(F.col("fan_in") + 2)), 9).alias("score"))
-
-
-@register("g23_connectivity_gate", f"{views.sql('edges')}, {_FAN}, p AS (SELECT 'P' || p_partkey AS node, p_brand AS file FROM part), k AS (SELECT node, file, fan_in >= 15 AS ok FROM p JOIN f USING (node)) SELECT node FROM k WHERE ok UNION SELECT min(node) FROM k GROUP BY file HAVING NOT bool_or(ok)")
-def g23(spark: SparkSession, d: str) -> DataFrame:
-    """Seeds with enough links; a file that would lose all keeps one."""
-    fan = views.edges(spark, d).where("rel_type like 'CALLS%'").groupBy(F.col("dst").alias("node")).agg(F.countDistinct("src").alias("fan_in"))
-    k = load(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("node"), F.col("p_brand").alias("file")).join(fan, "node", "left").withColumn("ok", F.coalesce(F.col("fan_in") >= 15, F.lit(False)))
-    alone = k.groupBy("file").agg(F.min("node").alias("node"), F.max("ok").alias("any")).where("not any").select("node")
-    return k.where("ok").select("node").union(alone).distinct()
-
-
-@register("g25_fanout_limit", "SELECT uid, CASE WHEN r <= 3 THEN 8 WHEN ch >= 2 THEN 6 ELSE greatest(1, 8 - r // 5) END AS fanout FROM (SELECT uid, max(len(provenance)) AS ch, row_number() OVER (ORDER BY max(utility_score) DESC NULLS LAST, uid) AS r FROM context_symbols WHERE uid IS NOT NULL AND isfinite(utility_score) GROUP BY 1)")
-def g25(spark: SparkSession, d: str) -> DataFrame:
-    """Limit of expansion by rank and evidence."""
-    s = load(spark, d, "context_symbols").where("uid is not null and utility_score is not null and not isnan(utility_score) and abs(utility_score) < double('infinity')")
-    g = s.groupBy("uid").agg(F.max(F.size("provenance")).alias("ch"), F.max("utility_score").alias("u"))
-    g = rk.ranked(g, [F.desc("u"), F.col("uid")], "r")
-    return g.select("uid", F.when(F.col("r") <= 3, 8).when(F.col("ch") >= 2, 6).otherwise(F.greatest(F.lit(1), 8 - F.floor(F.col("r") / 5))).cast("bigint").alias("fanout"))
-
-
 QUERIES, ORACLES = R.queries, R.oracles

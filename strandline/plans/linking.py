@@ -127,13 +127,6 @@ def u07(spark: SparkSession, d: str) -> DataFrame:
     return s.select("uid", F.array_sort(F.array_intersect("provenance", F.array(*map(F.lit, ("graph:calls", "graph:affects", "lexical"))))).alias("axes")).distinct()
 
 
-@register("g02_file_class_anchor", f"{views.sql('symbols')} SELECT DISTINCT s.uid AS seed, c.uid AS start FROM symbols s JOIN symbols c ON c.file_path = s.file_path AND c.kind = 'class' WHERE s.kind = 'function'")
-def g02(spark: SparkSession, d: str) -> DataFrame:
-    """Walks of a function start from all classes of its file."""
-    s = views.symbols(spark, d).where("file_path is not null")
-    return s.where("kind = 'function'").select("file_path", F.col("uid").alias("seed")).join(s.where("kind = 'class'").select("file_path", F.col("uid").alias("start")), "file_path").select("seed", "start").distinct()
-
-
 @register("g06_affected_files", f"{views.sql('edges')}, a AS (SELECT DISTINCT src FROM edges WHERE rel_type = 'DEPENDS_ON' AND dst IN ('P1', 'P2', 'P3', 'P5', 'P8')) SELECT DISTINCT p_brand AS file_path FROM part JOIN a ON src = 'P' || p_partkey")
 def g06(spark: SparkSession, d: str) -> DataFrame:
     """Files of what depends on a set."""
@@ -142,41 +135,6 @@ def g06(spark: SparkSession, d: str) -> DataFrame:
     return p.join(a, "src", "left_semi").select("file_path").distinct()
 
 
-@register("g13_external_maps", f"{views.sql('edges')} SELECT dst AS external, count(DISTINCT src) AS n, min(src) AS first FROM edges WHERE rel_type = 'USES_TYPE' GROUP BY 1")
-def g13(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols by the external node they pass through, summed up."""
-    return views.edges(spark, d).where("rel_type = 'USES_TYPE'").groupBy(F.col("dst").alias("external")).agg(F.countDistinct("src").alias("n"), F.min("src").alias("first"))
-
-
-def _siblings(rel: str, hops: int, per: int, files: int, total: int) -> str:
-    pairs = f"SELECT src, dst FROM edges WHERE rel_type = '{rel}' UNION SELECT dst, src FROM edges WHERE rel_type = '{rel}'" if hops == 1 else f"SELECT src, dst FROM edges WHERE rel_type = '{rel}'"
-    return f"""{views.sql('edges', recursive=True)}, g AS (SELECT DISTINCT src, dst FROM ({pairs}) WHERE src <> dst), s AS (SELECT 'P' || p_partkey AS seed FROM part WHERE p_partkey IN (40, 41, 42)),
-w AS (SELECT seed, seed AS node, 0 AS depth FROM s UNION SELECT seed, dst, depth + 1 FROM w JOIN g ON src = node WHERE depth < {hops}), m AS (SELECT seed, node, min(depth) AS depth FROM w GROUP BY 1, 2),
-n AS (SELECT m.*, p_brand AS f FROM m JOIN part ON m.node = 'P' || p_partkey WHERE depth > 0 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_partkey IN (40, 41, 42))), a AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, node) AS i FROM n),
-b AS (SELECT *, row_number() OVER (PARTITION BY seed, f ORDER BY i) AS k, min(i) OVER (PARTITION BY seed, f) AS q FROM a), c AS (SELECT *, dense_rank() OVER (PARTITION BY seed ORDER BY q) AS z FROM b)
-SELECT seed, node FROM (SELECT seed, node, row_number() OVER (PARTITION BY seed ORDER BY i) AS t FROM c WHERE k <= {per} AND z <= {files}) WHERE t <= {total}"""
-
-
-def _new_files(spark: SparkSession, d: str, direction: str, hops: int, caps: tuple[int, int, int]) -> DataFrame:
-    part = load(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("node"), F.col("p_brand").alias("file_path"))
-    s = part.where(F.col("node").isin("P40", "P41", "P42"))
-    near = gr.reach(gr.directed(views.edges(spark, d), direction, ["DEPENDS_ON"]), s.select("node", F.col("node").alias("seed")), hops).where("depth > 0")
-    n = near.join(part, "node").join(s.select("file_path").distinct(), "file_path", "left_anti")
-    return se.cap_by_file(n, [F.col("depth"), F.col("node")], ["seed"], per_file=caps[0], files=caps[1], total=caps[2]).select("seed", "node")
-
-
-@register("g18_dataflow_siblings", _siblings("DEPENDS_ON", 1, 2, 3, 6))
-def g18(spark: SparkSession, d: str) -> DataFrame:
-    """One hop either way, new files only, with caps."""
-    return _new_files(spark, d, "undirected", 1, (2, 3, 6))
-
-
-@register("g19_inheritance_ancestors", _siblings("DEPENDS_ON", 3, 1, 4, 6))
-def g19(spark: SparkSession, d: str) -> DataFrame:
-    """Three levels of ancestors, one of a file, with caps."""
-    return _new_files(spark, d, "forward", 3, (1, 4, 6))
-
-
 @register("g24_hook_lifecycle", f"{views.sql('edges')} SELECT a.src AS declared, a.dst AS via, b.src AS registered FROM edges a JOIN edges b ON a.dst = b.dst AND b.rel_type = 'CALLS_IMPORTED' WHERE a.rel_type = 'USES_TYPE' AND a.src = 'S2'")
 def g24(spark: SparkSession, d: str) -> DataFrame:
     """From a declaration to its registrations."""

@@ -295,12 +295,6 @@ def o01_fold(spark: SparkSession, d: str) -> DataFrame:
     return c.select("uid", se.render(F.col("code"), "fold").alias("folded"))
 
 
-@register("o09_trim_to_budget")
-def o09(spark: SparkSession, d: str) -> DataFrame:
-    """Texts cut to whole lines within 50 tokens."""
-    return load(spark, d, "documents").where("text is not null").select("doc_id", se.trim_to_budget(F.col("text"), 50).alias("text"))
-
-
 @register("o10_cross_file_freeze", f"{views.sql('symbols')}, f AS (SELECT DISTINCT file_path FROM symbols WHERE uid LIKE '0%') SELECT uid, file_path NOT IN (SELECT file_path FROM f WHERE file_path IS NOT NULL) AS frozen FROM symbols WHERE file_path IS NOT NULL")
 def o10(spark: SparkSession, d: str) -> DataFrame:
     """Whether a symbol lies outside the files of the seeds."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, graphs, joins, linking, problem4, ranking, resolution, roles, sources, streams
+from . import aggregates, expanding, graphs, joins, linking, problem4, ranking, resolution, roles, sources, streams
 
-MODULES = (problem4, sources, joins, linking, aggregates, graphs, ranking, resolution, roles, streams)
+MODULES = (problem4, sources, joins, linking, aggregates, expanding, graphs, ranking, resolution, roles, streams)
 
 
 def queries() -> dict:

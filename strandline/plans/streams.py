@@ -102,13 +102,6 @@ def t15(spark: SparkSession, d: str) -> DataFrame:
     return sw.tumbling(load(spark, d, "events"), "ts", "12 hours", [], slide="6 hours").withColumn("total", F.round("total", 4))
 
 
-@register("w10_word_windows", r"""WITH x AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda y: y <> '') AS w FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, s // 32 AS n, array_to_string(w[s + 1:s + 40], ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(0, len(w), 32)) AS s FROM x)""")
-def w10(spark: SparkSession, d: str) -> DataFrame:
-    """Windows of 40 words with 8 in common."""
-    return load(spark, d, "documents").select("doc_id", F.posexplode(tx.word_windows(F.col("text"), 40, 8)).alias("n", "chunk"))
-
-
 @register("x01_identifier_parts", r"SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z][a-z0-9]+') AS parts FROM documents")
 def x01(spark: SparkSession, d: str) -> DataFrame:
     """Parts of all identifiers of a text."""

@@ -31,24 +31,32 @@ def states(jobs: DataFrame, most: int = MAX_ATTEMPTS) -> DataFrame:
 
 
 def state_stream(jobs: DataFrame, most: int = MAX_ATTEMPTS) -> DataFrame:
-    """The same on a stream: each batch of rows of a target advances its state, which is emitted."""
+    """The same on a stream: each batch of rows of a target advances its state, which is emitted; a stream read to its end gives what states() gives.
+
+    Rows come in any order and more than once, also over batches. The state of a target is the id of its last completion, the ids of the failures
+    after it (a completion clears those before it) and the greatest (id, status). It is kept for as long as the stream runs: a target has one row of state,
+    and its next row, however late, counts on from there.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def advance(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, current = state.get if state.exists else (0, None)
-        rows = pd.concat(list(batches)).sort_values("id").drop_duplicates(["id", "s"])
-        for s in rows["s"]:
-            if s == "completed":
-                failures, current = 0, s
-            elif s in ("failed", "dead_letter"):
-                failures, current = failures + 1, "failed"
-            elif s == "running":
-                current = s
-        state.update((failures, current))
-        yield pd.DataFrame({"target": [key[0]], "state": ["dead_letter" if failures >= most and current != "completed" else current], "failures": [failures]})
+        done, failed, at, current = state.get if state.exists else (None, [], None, None)
+        rows = pd.concat(list(batches)).drop_duplicates(["id", "s"])
+        ends = rows.loc[rows["s"] == "completed", "id"]
+        if len(ends):
+            done = int(ends.max()) if done is None else max(done, int(ends.max()))
+        new = rows.loc[rows["s"].isin(["failed", "dead_letter"]), "id"]
+        failed = sorted({i for i in [*failed, *map(int, new)] if done is None or i > done})
+        known = rows[rows["s"].isin(["running", "completed", "failed", "dead_letter"])]
+        for i, s in zip(known["id"], known["s"], strict=True):
+            if at is None or (int(i), s) > (at, current):
+                at, current = int(i), s
+        state.update((done, failed, at, current))
+        now = "dead_letter" if len(failed) >= most and current != "completed" else "failed" if current == "dead_letter" else current
+        yield pd.DataFrame({"target": [key[0]], "state": [now], "failures": [len(failed)]})
 
     j = jobs.where("target is not null").select("target", "id", F.lower(F.trim("status")).alias("s"))
-    return j.groupBy("target").applyInPandasWithState(advance, "target string, state string, failures int", "failures int, current string", "update", GroupStateTimeout.NoTimeout)
+    return j.groupBy("target").applyInPandasWithState(advance, "target string, state string, failures int", "done bigint, failed array<bigint>, at bigint, current string", "update", GroupStateTimeout.NoTimeout)
 
 
 def evict(entries: DataFrame, owner: str, updated: str, key: str, cap: int, oldest: int) -> DataFrame:

@@ -44,7 +44,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 #: The relations of the wide graph, by a number made of a line's keys.
 RELATIONS = (
     "CALLS_DIRECT CALLS_SCOPED CALLS_IMPORTED CALLS_DYNAMIC CALLS_INFERRED CALLS_GUESS USES_TYPE USES_TYPE HAS_API INHERITED_API INJECTS DEPENDS_ON HANDLES DECORATED_BY INSTANTIATES RESOLVES_ATTR COMPOSES READS_ATTR "
-    "WRITES_ATTR AFFECTS CALLS_ENDPOINT IMPLEMENTS_ENDPOINT"
+    "WRITES_ATTR AFFECTS CALLS_ENDPOINT IMPLEMENTS_ENDPOINT FLOWS_INTO"
 ).split()
 TYPE_KINDS, WRITE_KINDS = ("param", "annotation", "return", "isinstance"), ("write", "write_subscript", "write_subscript_local")
 
@@ -68,7 +68,7 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
     n = F.pmod(F.col("l_orderkey") * 7 + F.col("l_partkey") * 3 + F.col("l_linenumber"), F.lit(len(RELATIONS))).cast("int")
     q = F.col("l_quantity").cast("int")
     kind = F.when(n.isin(6, 7), F.element_at(F.array(*map(F.lit, TYPE_KINDS)), q % 4 + 1)).when(n == 18, F.element_at(F.array(*map(F.lit, WRITE_KINDS)), q % 3 + 1)).otherwise("")
-    dst = F.when(n >= 20, F.concat(F.lit("E"), F.col("l_suppkey") % 40)).otherwise(F.concat(F.lit("P"), F.col("l_suppkey") * 3 + F.col("l_linenumber")))
+    dst = F.when(n.isin(20, 21), F.concat(F.lit("E"), F.col("l_suppkey") % 40)).otherwise(F.concat(F.lit("P"), F.col("l_suppkey") * 3 + F.col("l_linenumber")))
     e = li.select(F.concat(F.lit("P"), "l_partkey").alias("src"), dst.alias("dst"), F.element_at(F.array(*map(F.lit, RELATIONS)), n + 1).alias("rel_type"), kind.alias("kind"), F.when(F.col("l_returnflag") != "N", F.round(1 - F.col("l_discount"), 2)).alias("stored"))
     e = e.where("src <> dst").groupBy("src", "dst", "rel_type", "kind").agg(F.max("stored").alias("stored"))
     return e.select("src", "dst", "rel_type", "kind", confidence(F.col("rel_type"), F.col("stored"), F.col("kind")).alias("confidence"))
@@ -83,7 +83,7 @@ def _relations_sql() -> str:
 
     case = lambda c, m: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in m.items()) + " ELSE 1.0 END"
     return f"""relations AS (SELECT src, dst, rel_type, kind, (CASE WHEN rel_type = 'USES_TYPE' THEN {case('kind', TYPE_WEIGHT)} ELSE coalesce(max(stored), {case('rel_type', CONFIDENCE)}) END)::DOUBLE AS confidence FROM (
-  SELECT 'P' || l_partkey AS src, CASE WHEN n >= 20 THEN 'E' || (l_suppkey % 40) ELSE 'P' || (l_suppkey * 3 + l_linenumber) END AS dst, {_sql_list(RELATIONS)}[n + 1] AS rel_type,
+  SELECT 'P' || l_partkey AS src, CASE WHEN n IN (20, 21) THEN 'E' || (l_suppkey % 40) ELSE 'P' || (l_suppkey * 3 + l_linenumber) END AS dst, {_sql_list(RELATIONS)}[n + 1] AS rel_type,
   CASE WHEN n IN (6, 7) THEN {_sql_list(TYPE_KINDS)}[q % 4 + 1] WHEN n = 18 THEN {_sql_list(WRITE_KINDS)}[q % 3 + 1] ELSE '' END AS kind, CASE WHEN l_returnflag <> 'N' THEN round(1 - l_discount, 2) END AS stored
   FROM (SELECT *, ((l_orderkey * 7 + l_partkey * 3 + l_linenumber) % {len(RELATIONS)})::INT AS n, trunc(l_quantity)::INT AS q FROM lineitem)) WHERE src <> dst GROUP BY 1, 2, 3, 4)"""
 

@@ -44,6 +44,27 @@ def test_job_states(spark, tmp_path):
     assert got == want
 
 
+def test_job_states_over_batches(spark, tmp_path):
+    """Rows out of order, and delivered again in a later batch, give what the whole table gives."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice("ab"), rng.choice(["running", "failed", "failed", "completed", "dead_letter"])) for i in range(40)]
+    said = rows + rng.sample(rows, 15)
+    rng.shuffle(said)
+    for n in range(5):
+        spark.createDataFrame(said[n::5], "id long, target string, status string").coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+    table = spark.read.parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
+    seen: dict = {}
+
+    def keep(df, _):
+        seen.update({r.target: (r.state, r.failures) for r in df.collect()})
+
+    jobs.state_stream(stream).writeStream.foreachBatch(keep).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    assert seen == {r.target: (r.state, r.failures) for r in jobs.states(table).collect()}
+
+
 def test_evict(spark):
     e = spark.createDataFrame([("o", i, i) for i in range(10)], "owner string, u int, k int")
     assert sorted(r.k for r in jobs.evict(e, "owner", "u", "k", 3, 2).collect()) == [7, 8, 9]

@@ -158,7 +158,12 @@ def r12(spark: SparkSession, d: str) -> DataFrame:
     return c.select("chunk_id", "owner_uid", "score").orderBy(F.desc("score"), "chunk_id", "owner_uid").limit(40)
 
 
-@register("r22_span_probe")
+_PROBE = "['queue', 'retry', 'resolver', 'cache', 'token']"
+_PARTS = r"regexp_extract_all(lower(regexp_replace(x, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[a-z][a-z0-9]+')"
+
+
+@register("r22_span_probe", f"""WITH c AS (SELECT uid, string_split(max(code), chr(10)) AS l FROM context_symbols WHERE code IS NOT NULL AND code <> '' AND uid IS NOT NULL GROUP BY 1), h AS (SELECT uid, list_transform(l, lambda x: list_filter({_PARTS}, lambda w: list_contains({_PROBE}, w))) AS h FROM c),
+w AS (SELECT uid, h, unnest(range(1, greatest(len(h) - 5, 1) + 1)) AS line FROM h), s AS (SELECT uid, line, len(list_distinct(flatten(h[line:line + 5]))) AS score FROM w) SELECT uid, max(score) AS score, arg_max(line, {{'s': score, 'l': -line}}) AS line FROM s GROUP BY 1 HAVING max(score) > 0""")
 def r22(spark: SparkSession, d: str) -> DataFrame:
     """The six lines of each symbol that share most words with a query; ties to the first."""
     words = F.array(*map(F.lit, ("queue", "retry", "resolver", "cache", "token")))

@@ -288,7 +288,8 @@ def o01(spark: SparkSession, d: str) -> DataFrame:
     return c.select("uid", se.render(F.col("code"), "signature_only").alias("signature"), F.length(se.render(F.col("code"), "full")).alias("n_full"))
 
 
-@register("o01_render_fold")
+@register("o01_render_fold", r"""WITH c AS (SELECT uid, string_split(max(code), chr(10)) AS l FROM context_symbols WHERE code IS NOT NULL AND code <> '' AND uid IS NOT NULL GROUP BY 1)
+SELECT uid, array_to_string(list_filter(l, lambda x, i: i = 1 OR regexp_matches(x, '^\s*(async def|def|class|func|function|fn|public|private|protected|export|interface|type|@)') OR regexp_matches(x, '^\s*(return|raise|yield)\b')), chr(10)) AS folded FROM c""")
 def o01_fold(spark: SparkSession, d: str) -> DataFrame:
     """A symbol folded to its declarations and returns."""
     c = load(spark, d, "context_symbols").where("code is not null and code <> '' and uid is not null").groupBy("uid").agg(F.max("code").alias("code"))

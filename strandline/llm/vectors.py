@@ -190,8 +190,9 @@ def centres(x: np.ndarray, n: int) -> np.ndarray:
 def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("r", kind="stable").head(FIT_ROWS)
     x = unit(np.stack(pdf["v"].to_numpy()))
-    n = int(min(MOST_CELLS, len(x), max(1, -(-int(pdf["n"].iloc[0]) // CELL_ROWS))))
-    return pd.DataFrame({"g": [pdf["g"].iloc[0]], "books": [pickle.dumps(fit(x).astype(np.float32))], "cells": [pickle.dumps(centres(x, n).astype(np.float32))]})
+    rows = int(pdf["n"].iloc[0])  # 0 where no cells are wanted
+    n = int(min(MOST_CELLS, len(x), -(-rows // CELL_ROWS)))
+    return pd.DataFrame({"g": [pdf["g"].iloc[0]], "books": [pickle.dumps(fit(x).astype(np.float32))], "cells": [pickle.dumps(centres(x, n).astype(np.float32)) if n else None]})
 
 
 def _in_cells(share: float | None):
@@ -251,8 +252,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, probed: float |
     shuffled again, by group and cell, and a query goes to the nearest cells only, that share of them. Cells that are too large for a
     block are salted by their counted size.
     """
-    sizes = vectors.groupBy("g").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    total = vectors.count()
     salts = max(1, -(-total // BLOCK_ROWS))
     salt = F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int")
     rows = (
@@ -261,7 +261,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, probed: float |
     r = F.xxhash64(F.lit(7), "key")
     share = min(1.0, FIT_ALL / max(1, total))
     sample = vectors.select("g", "v", r.alias("r")).where(F.pmod(r, F.lit(1 << 20)) < int(share * (1 << 20)))
-    books = sample.join(sizes, "g").groupBy("g").applyInPandas(_fit_group, BOOKS)
+    sizes = vectors.groupBy("g").agg(F.count("*").alias("n"))
+    books = (sample.withColumn("n", F.lit(0)) if probed is None else sample.join(sizes, "g")).groupBy("g").applyInPandas(_fit_group, BOOKS)
 
     asked = queries.select("query_id", "g", "key", salt.alias("s")).distinct()
     found = asked.join(rows, ["g", "s", "key"])

@@ -10,6 +10,7 @@ from ..functions import text as tx
 from ..operators import extract
 from ..sources.tables import load
 from ..streaming import jobs as sj
+from ..streaming import queue as sq
 from ..streaming import windows as sw
 from .sources import _ANCHOR
 from .base import Registry
@@ -25,6 +26,29 @@ def t01(spark: SparkSession, d: str) -> DataFrame:
     return sw.debounce(load(spark, d, "events"), "ts", ["user_id", "event_type"], "6 hours")
 
 
+_QUEUE = """e AS (SELECT event_id AS id, epoch_ms(ts) AS ms, 'w' || (user_id % 3) AS workspace, CASE WHEN event_type = 'error' THEN 'project' ELSE 'file' END AS kind, event_type || user_id AS target FROM events),
+k AS (SELECT workspace, kind, target, min(ms) AS enqueued_at, max(ms) AS updated_at, count(*) AS generation, min({'a': ms, 'i': id}) AS f FROM e GROUP BY 1, 2, 3), q AS (SELECT * FROM k ORDER BY f, workspace, kind, target LIMIT 120)"""
+
+
+def _queue(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    kind = F.when(F.col("event_type") == "error", "project").otherwise("file")
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    a = load(spark, d, "events").select(F.col("event_id").alias("id"), at.alias("at"), F.concat(F.lit("w"), F.col("user_id") % 3).alias("workspace"), kind.alias("kind"), F.concat("event_type", "user_id").alias("target"))
+    return sq.admit(spark.createDataFrame([], sq.ITEM), a, 120)
+
+
+@register("t01_work_queue", f"WITH {_QUEUE} SELECT workspace, kind, target, enqueued_at, updated_at, generation FROM q")
+def t01_queue(spark: SparkSession, d: str) -> DataFrame:
+    """The queue after all events, of 120 places: later saves of what waits count it up, new keys find it full."""
+    return _queue(spark, d)[0]
+
+
+@register("t01_outcomes", f"WITH {_QUEUE} SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN q.target IS NULL THEN 'queue_full' WHEN q.f.i = e.id THEN 'queued' ELSE 'coalesced' END AS outcome FROM e LEFT JOIN q USING (workspace, kind, target)) GROUP BY 1")
+def t01_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """What became of the events."""
+    return _queue(spark, d)[1].groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 _STATES = "a AS (SELECT target, arg_max(target_hash, {'l': landed_at, 'i': id, 'h': target_hash}) AS h FROM index_jobs WHERE target IS NOT NULL AND target_hash <> '' AND landed_at < TIMESTAMP '2026-02-01' GROUP BY 1), b AS (SELECT target, arg_max(target_hash, {'l': landed_at, 'i': id, 'h': target_hash}) AS h FROM index_jobs WHERE target IS NOT NULL AND target_hash <> '' AND landed_at < TIMESTAMP '2026-02-10' GROUP BY 1)"
 
 

@@ -26,7 +26,7 @@ def t01(spark: SparkSession, d: str) -> DataFrame:
     return sw.debounce(load(spark, d, "events"), "ts", ["user_id", "event_type"], "6 hours")
 
 
-_QUEUE = """e AS (SELECT event_id AS id, epoch_ms(ts) AS ms, 'w' || (user_id % 3) AS workspace, CASE WHEN event_type = 'error' THEN 'project' ELSE 'file' END AS kind, event_type || user_id AS target FROM events),
+_QUEUE = """e AS (SELECT event_id AS id, epoch_us(ts) // 1000 AS ms, 'w' || (user_id % 3) AS workspace, CASE WHEN event_type = 'error' THEN 'project' ELSE 'file' END AS kind, event_type || user_id AS target FROM events),
 k AS (SELECT workspace, kind, target, min(ms) AS enqueued_at, max(ms) AS updated_at, count(*) AS generation, min({'a': ms, 'i': id}) AS f FROM e GROUP BY 1, 2, 3), q AS (SELECT * FROM k ORDER BY f, workspace, kind, target LIMIT 120)"""
 
 

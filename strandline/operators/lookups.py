@@ -88,16 +88,35 @@ def bind_targets(bindings: DataFrame, symbols: DataFrame) -> DataFrame:
     return first_by(bindings.join(ends, "target"), ["proxy"], [F.length("qualified_name"), F.col("qualified_name"), F.col("uid")]).drop("qualified_name")
 
 
+#: Members of a group that are sent in one row, at most.
+MEMBERS = 256
+
+
 def link_bases(inherits: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """``sub_uid, base_uid``: classes with the classes of the base's name in the same file or in one that it imports.
 
-    ``inherits``: sub_uid, base_name, file_path; ``symbols``: uid, name, kind, file_path; ``imports``: file_path, imported. Two equi-joins on name and file
-    in place of an OR.
+    ``inherits``: sub_uid, base_name, file_path; ``symbols``: uid, name, kind, file_path; ``imports``: file_path, imported. Classes that name the same
+    bases in the same files meet as one, and so do bases of the same names and files: pairs of such groups are made distinct, by equi-joins on name and
+    file in place of an OR. Every class is in one group, so that the pairs of members, which can be many more, are distinct without a shuffle.
     """
-    base = symbols.where("kind = 'class'").select(F.col("uid").alias("base_uid"), F.col("name").alias("base_name"), "file_path")
-    near = inherits.select("sub_uid", "base_name", "file_path")
-    far = near.join(imports.select("file_path", "imported").distinct(), "file_path").select("sub_uid", "base_name", F.col("imported").alias("file_path"))
-    return near.unionByName(far).distinct().join(base, ["base_name", "file_path"]).where("sub_uid <> base_uid").select("sub_uid", "base_uid").distinct()
+    sub = _alike(inherits.select(F.col("sub_uid").alias("uid"), F.col("base_name").alias("name"), "file_path"))
+    base = _alike(symbols.where("kind = 'class'").select("uid", "name", "file_path"))
+    # explode_outer, as explode would have a filter put below the windows, and the groups would be made twice.
+    each = lambda df: df.where("uid = first").select("first", F.explode_outer("at").alias("at")).select("first", "at.*")
+    seen = imports.dropna().groupBy("file_path").agg(F.collect_set("imported").alias("seen"))
+    own = F.array("file_path")
+    near = each(sub).join(seen, "file_path", "left").select(F.col("first").alias("sub"), "name", F.explode(F.coalesce(F.array_union(own, "seen"), own)).alias("file_path"))
+    pairs = near.join(each(base).withColumnRenamed("first", "base"), ["name", "file_path"]).select("sub", "base").distinct()
+    subs = sub.groupBy(F.col("first").alias("sub"), "part").agg(F.collect_list("uid").alias("uids")).select("sub", "uids")
+    found = subs.join(pairs, "sub").join(base.select(F.col("first").alias("base"), F.col("uid").alias("base_uid")), "base")
+    return found.select(F.explode("uids").alias("sub_uid"), "base_uid").where("sub_uid <> base_uid")
+
+
+def _alike(df: DataFrame) -> DataFrame:
+    """``uid, at, first, part``: each uid once with all its (name, file_path), the least uid that has just the same, and the part of their group that it is in; rows with a null are left out."""
+    each = df.dropna().groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("name", "file_path"))).alias("at"))
+    w = W.partitionBy("at").orderBy("uid")
+    return each.select("uid", "at", F.first("uid").over(w).alias("first"), F.floor((F.row_number().over(w) - 1) / MEMBERS).alias("part"))
 
 
 def abstain_join(left: DataFrame, right: DataFrame, left_key: str, on: str, least: int = 1, most: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ visited. Hops are checkpointed to the shared folder, which cuts the lineage and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..session import checkpoint_dir
+from ..sources.tables import python_partitions
 from .lookups import top_by
 from .ranking import quantile
 
@@ -174,12 +176,37 @@ CALLS = ("CALLS", "CALLS_DIRECT", "CALLS_SCOPED", "CALLS_IMPORTED", "CALLS_DYNAM
 INHERITORS, CARRIERS, ENDPOINTS = ("EXTENDS_EXTERNAL", "INHERITED_API"), ("HAS_API",), ("CALLS_ENDPOINT", "IMPLEMENTS_ENDPOINT")
 
 
+#: Seeds of a block, a bit each in its words of 64; shares into which seeds are dealt; rows of words that are broadcast at a time; groups that a task adds up, about.
+BLOCK, SHARES, WORD_ROWS, GROUPS = 1024, 8, 100_000, 250_000
+
+
 def counterparts(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """``node, depth, reach``: what meets a seed (node) at an endpoint from the other side: client and handler, never two of a kind."""
-    e = edges.where(F.col("rel_type").isin(*ENDPOINTS)).select("src", "dst", "rel_type").distinct()
-    mine = e.join(seeds.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("src").alias("seed"), "dst", F.col("rel_type").alias("own"))
-    met = e.join(mine, "dst").where("rel_type <> own").select(F.col("src").alias("node"), "seed").distinct()
-    return met.groupBy("node").agg(F.lit(1).alias("depth"), F.count("*").alias("reach"))
+    """``node, depth, reach``: what meets a seed (node) at an endpoint from the other side: client and handler, never two of a kind.
+
+    A seed is a bit of a block's words, and each endpoint's side has the words of its seeds: a node's seeds are counted in the union of those, so that pairs of node
+    and seed are never rows. Nodes with the same ends are counted as one. Words are broadcast in turns of about ``WORD_ROWS`` rows, by block.
+    """
+    side = F.col("rel_type") == ENDPOINTS[0]
+    e = edges.where(F.col("rel_type").isin(*ENDPOINTS) & F.col("dst").isNotNull()).select("src", F.concat(F.when(side, "0").otherwise("1"), "dst").alias("end"), F.concat(F.when(side, "1").otherwise("0"), "dst").alias("other")).distinct()
+    mine = e.join(seeds.select(F.col("node").alias("src")).distinct(), "src", "left_semi").withColumn("share", F.pmod(F.xxhash64("src"), F.lit(SHARES)))
+    bit = mine.withColumn("n", F.dense_rank().over(W.partitionBy("share").orderBy("src")) - 1).select(F.col("other").alias("end"), "share", F.expr(f"n div {BLOCK}").alias("block"), F.expr(f"n % {BLOCK} div 64").alias("word"), F.expr("shiftleft(1L, n % 64)").alias("bit"))
+    words = [f"w{i}" for i in range(BLOCK // 64)]
+    held = _cut(bit.groupBy("end", "share", "block").agg(*[F.bit_or(F.when(F.col("word") == i, F.col("bit")).otherwise(F.lit(0))).alias(w) for i, w in enumerate(words)]))
+    rows, blocks = held.count(), held.select("share", "block").distinct().count()
+    known = held.select("end").distinct()
+    met = e.join(F.broadcast(known) if rows <= WORD_ROWS else known, "end", "left_semi")
+    ends = _cut(met.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set("end")).alias("ends")))
+    alike = ends.select("ends")
+    turns, parts = max(1, math.ceil(rows / WORD_ROWS)), max(python_partitions(edges.sparkSession), math.ceil(alike.distinct().count() * blocks / GROUPS))
+    # Named outright and before the distinct: a few bytes a node here are many groups behind.
+    each = alike.repartition(parts, "ends").distinct().select("ends", F.explode("ends").alias("end"))
+    counts = None
+    for turn in range(turns):
+        part = held if turns == 1 else held.where(F.pmod(F.hash("share", "block"), F.lit(turns)) == turn)
+        one = each.join(F.broadcast(part), "end").groupBy("ends", "share", "block").agg(*[F.bit_or(w).alias(w) for w in words])
+        one = one.select("ends", F.expr(" + ".join(f"bit_count({w})" for w in words)).cast("long").alias("seen"))
+        counts = one if counts is None else counts.unionByName(one)
+    return ends.join(counts.groupBy("ends").agg(F.sum("seen").alias("reach")), "ends").select("node", F.lit(1).alias("depth"), "reach")
 
 
 def impact(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, hops: int = 3, limit: int = 35, tests: bool = False, test_hops: int = 2, factor: float = 2.0, publisher: bool = False) -> DataFrame:
